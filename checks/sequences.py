@@ -224,11 +224,11 @@ def material(spark, d):
 
 @check(
     "seq_12_epd_key",
-    """select o_orderkey as id, o_orderstatus || '/' || o_orderpriority || ' w ' || cast(o_custkey as varchar) || ' -' as epd from orders""",
+    """select o_orderkey as id, o_orderstatus || '/' || replace(o_orderpriority, ' ', '_') || ' w ' || cast(o_custkey as varchar) || ' -' as epd from orders""",
 )
 def epd_key(spark, d):
     text = F.concat(
-        F.col("o_orderstatus"), F.lit("/"), F.col("o_orderpriority"), F.lit(" w  "), F.col("o_custkey").cast("string"),
+        F.col("o_orderstatus"), F.lit("/"), F.translate("o_orderpriority", " ", "_"), F.lit(" w  "), F.col("o_custkey").cast("string"),
         F.lit(" - "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" 17"),
     )
     return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.epd_key(text).alias("epd"))

@@ -59,7 +59,8 @@ if __name__ == "__main__":
 
     args = sys.argv[1:]
     d = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    session = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    session = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                                                  "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     con, queries, oracle = connect(d), entry.queries(), entry.oracle_sql()
     failed = 0
