@@ -198,14 +198,13 @@ def movetext(spark, d):
 )
 def wrap(spark, d):
     """Same words, no line over 80 (single longer words aside), no word that would fit on the line before."""
-    lines = F.split(C.wrap("text", 80), "\n")
-    fits = F.forall(lines, lambda x: (F.length(x) <= 80) | ~x.contains(" "))
-    nexts = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.coalesce(F.substring_index(F.get(lines, i), " ", 1), F.lit("?" * 90)))
-    full = F.forall(
-        F.zip_with(lines, nexts, lambda a, b: F.length(a) + 1 + F.length(b)), lambda n: n > 80
-    )
-    return V.table(spark, d, "documents").select(
-        "doc_id", F.md5(F.array_join(lines, " ")).alias("words"), fits.alias("fits"), full.alias("full_lines")
+    rows = V.table(spark, d, "documents").select("doc_id", F.split(C.wrap("text", 80), "\n").alias("lines"))
+    first = lambda x: F.substring_index(x, " ", 1)
+    nexts = F.concat(F.transform(F.slice("lines", F.lit(2), F.size("lines")), first), F.array(F.lit("?" * 90)))
+    return rows.select(
+        "doc_id", F.md5(F.array_join("lines", " ")).alias("words"),
+        F.forall("lines", lambda x: (F.length(x) <= 80) | ~x.contains(" ")).alias("fits"),
+        F.forall(F.zip_with("lines", nexts, lambda a, b: F.length(a) + 1 + F.length(b)), lambda n: n > 80).alias("full_lines"),
     )
 
 

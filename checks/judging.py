@@ -30,9 +30,9 @@ def evals(spark, d):
     )
 
 
-@check("win_01_chance", f"with {_EVALS} select event_id, cast(round(chance, 9) as double) as chance from wc")
+@check("win_01_chance", f"with {_EVALS} select event_id, cast(round(chance, 6) as double) as chance from wc")
 def chance(spark, d):
-    return evals(spark, d).select("event_id", F.round(S.winning_chance("cp", "mate"), 9).alias("chance"))
+    return evals(spark, d).select("event_id", F.round(S.winning_chance("cp", "mate"), 6).alias("chance"))
 
 
 _JUDGED = f"""{_EVALS}, jd as (select a.game_id, a.ply, a.event_id, a.cp, a.mate, (case when a.ply % 2 = 1 then 1.0 else -1.0 end) * (b.chance - a.chance) as drp
@@ -40,9 +40,9 @@ _JUDGED = f"""{_EVALS}, jd as (select a.game_id, a.ply, a.event_id, a.cp, a.mate
 jj as (select *, case when drp >= 0.6 then 'blunder' when drp >= 0.4 then 'mistake' when drp >= 0.2 then 'inaccuracy' end as judgement from jd)"""
 
 
-@check("win_02_judge", f"with {_JUDGED} select game_id, cast(ply as bigint) as ply, judgement, cast(round(drp, 9) as double) as drop from jj")
+@check("win_02_judge", f"with {_JUDGED} select game_id, cast(ply as bigint) as ply, judgement, cast(round(drp, 6) + 0.0 as double) as drop from jj")
 def judge(spark, d):
-    return J.judge(evals(spark, d), ["game_id"]).select("game_id", "ply", "judgement", F.round("drop", 9).alias("drop"))
+    return J.judge(evals(spark, d), ["game_id"]).select("game_id", "ply", "judgement", (F.round("drop", 6) + 0.0).alias("drop"))
 
 
 _SUM = lambda j: f"cast(sum(case when judgement = '{j}' then 1 else 0 end) as bigint) as {j}"

@@ -1 +1,75 @@
-"""pending"""
+"""Changing stored tables (DML) and merging state rows (SET-2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import check
+from checks import views as V
+from ludograph.plans import tables as T
+
+_COLS = "hash, move, game_id, cast(ply as bigint) as ply, result, elo, year"
+SHIFT = 100_000_000_000  # new sessions get ids beyond the old ones
+
+
+def tables(spark, d):
+    games = V.sessions(spark, d).select(F.col("game_id").alias("id"), "result", "elo", "year")
+    return T.Tables(games, V.positions(spark, d))
+
+
+@check("set_02_merge_positions", f"with {V.P} select {_COLS} from p")
+def merge(spark, d):
+    p = V.positions(spark, d)
+    old = p.filter(F.col("game_id") % 2 == 0)
+    return T.merge_positions(old, p.filter(F.col("game_id") % 3 != 0).unionByName(p.filter(F.col("game_id") % 2 == 1)))
+
+
+@check("dml_01_add", f"with {V.P} select {_COLS} from p union all select hash, move, game_id + {SHIFT}, cast(ply as bigint), result, elo, year from p where game_id % 5 = 0")
+def add(spark, d):
+    t = tables(spark, d)
+    games = t.games.filter(F.col("id") % 5 == 0).withColumn("id", F.col("id") + SHIFT)
+    rows = t.positions.filter(F.col("game_id") % 5 == 0).withColumn("game_id", F.col("game_id") + SHIFT)
+    return T.add_games(t, games, rows, V.HORIZON).positions
+
+
+@check("dml_02_replace", f"with {V.P} select hash, move, game_id, cast(ply as bigint) as ply, case when game_id % 2 = 1 then 3 else result end as result, elo, year from p where game_id % 2 = 0 or ply <= 1")
+def replace(spark, d):
+    t = tables(spark, d)
+    odd = t.games.filter(F.col("id") % 2 == 1).withColumn("result", F.lit(3))
+    rows = t.positions.filter((F.col("game_id") % 2 == 1) & (F.col("ply") <= 1)).withColumn("result", F.lit(3))
+    return T.replace_games(t, odd, rows).positions
+
+
+@check("dml_02b_replaced_games", f"with {V.P} select game_id as id, case when game_id % 2 = 1 then 3 else result end as result, elo, year from facts")
+def replaced_games(spark, d):
+    t = tables(spark, d)
+    odd = t.games.filter(F.col("id") % 2 == 1).withColumn("result", F.lit(3))
+    return T.replace_games(t, odd, t.positions.filter(F.col("game_id") % 2 == 1)).games
+
+
+@check("dml_03_delete", f"with {V.P} select {_COLS} from p where game_id % 3 <> 0")
+def delete(spark, d):
+    t = tables(spark, d)
+    return T.delete_games(t, t.games.filter(F.col("id") % 3 == 0)).positions
+
+
+@check("dml_04_touch", f"with {V.P} select cast(8 as bigint) as version, cast(0 as bigint) as base, {V.HORIZON} as horizon, (select cast(count(*) as bigint) from facts where game_id % 3 <> 0) as games, cast(count(*) as bigint) as positions, cast(-1 as bigint) as batch from p where game_id % 3 <> 0")
+def touch(spark, d):
+    t = tables(spark, d)
+    before = T.counts(t, 7, V.HORIZON)
+    return T.touch(before, T.delete_games(t, t.games.filter(F.col("id") % 3 == 0)))
+
+
+@check("dml_05_stored_changes", f"with {V.P} select {_COLS} from p where game_id % 4 <> 0")
+def stored_changes(spark, d):
+    """Two additions, then a deletion, through stored versions."""
+    store = T.Store(spark, V.scratch(spark))
+    t = tables(spark, d)
+    facts = t.games.withColumn("date", F.col("year"))
+    for part in (0, 1):
+        store.append(
+            T.Tables(facts.filter(F.col("id") % 2 == part), t.positions.filter(F.col("game_id") % 2 == part)), V.HORIZON
+        )
+    now = store.read()
+    store.rewrite(T.delete_games(now, now.games.filter(F.col("id") % 4 == 0)))
+    return store.read().positions

@@ -187,6 +187,11 @@ R = f"""{G},
 r as (select id as k, white, black, event, date, result, white_elo, {MOVE_COUNT.replace('k', 'id')} as n from g),
 m as (select k, i, {', '.join(f'{v} as {n}' for n, v in SQL_PARTS.items())} from
   (select k, unnest(range(0, n)) as i from r))"""
+# The movetext as SQL text: pieces in order, then the result.
+PIECE_SQL = """case when i % 2 = 0 then cast(i // 2 + 1 as varchar) || '. ' when (k + i) % 3 = 0 then cast(i // 2 + 1 as varchar) || '... ' else '' end
+  || tok || case when has_glyph then '!?' else '' end || case when has_nag then ' $' || cast(nag as varchar) else '' end
+  || case when has_note then ' {' || note || '}' else '' end
+  || case when has_var then ' (' || alt || ' ' || alt2 || ' {in) line}' || case when has_deep then ' (' || deep || ')' else '' end || ')' else '' end"""
 RESULT_SQL = "case result when 1 then '1-0' when 2 then '0-1' else '1/2-1/2' end"
 DATE_SQL = """concat_ws('.', cast(cast(floor(date / 10000) as int) as varchar),
   case when cast(floor(date / 100) as int) % 100 > 0 then lpad(cast(cast(floor(date / 100) as int) % 100 as varchar), 2, '0') else '??' end,
@@ -276,3 +281,23 @@ def chess(spark: SparkSession, d: str) -> DataFrame:
 
 def named_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NAMED, "eco string, name string, moves string")
+
+
+def chess_records(spark: SparkSession, d: str) -> DataFrame:
+    """(k, raw): the games of ``chess`` as record texts. Some repeat: names and rounds recur."""
+    games = chess(spark, d)
+    owners = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("w"), (F.col("o_orderkey") % 4).alias("r")
+    )
+    white = F.concat(F.lit("Player "), F.col("w").cast("string"))
+    heads = C.headers(
+        event=F.lit("Club"), site=F.lit(None).cast("string"), date=F.lit(20200000), round=F.col("r").cast("string"),
+        white=white, black=F.concat(F.lit("Guest "), F.col("r").cast("string")), result="result",
+    )
+    text = C.wrap(C.movetext_of("tokens", C.result_text("result")))
+    return games.join(owners, "id").select(F.col("id").alias("k"), C.format_record(heads, text).alias("raw"))
+
+
+# The same games, one row per distinct record (first in order), with the opening of the played moves.
+CHESS_GAMES = f"""{CHESS}, cg as (select c.*, o.o_custkey % 40 as w, c.id % 4 as r, array_to_string(ucis[1:m], ' ') as moves from c join orders o on o.o_orderkey = c.id),
+kept as (select w, r, result, moves, min(id) as id, any_value(line) as line, any_value(m) as m from cg group by w, r, result, moves)"""

@@ -28,6 +28,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Work ``value`` out once for a body that uses it often (a lambda would repeat it per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(c: Column | str) -> Column:
     """Collapse whitespace; texts that mean "unknown" become NULL."""
     text = F.trim(F.regexp_replace(col(c), r"[\s\x{00a0}\x{feff}]+", " "))
@@ -225,21 +230,19 @@ def pack_board(board: Column | str) -> Column:
 
 def insufficient_material(epd: Column | str) -> Column:
     """Bare kings, one minor piece, or only bishops that share a square colour."""
-    board = spread_board(epd)
-    pieces = F.regexp_replace(board, r"[.kK]", "")
-    minors = F.length(pieces)
-    heavy = pieces.rlike("[pPrRqQ]")
     # Squares of one colour: (row + file) even, in reading order.
     light = F.lit("".join("L" if (i // 8 + i % 8) % 2 == 0 else "D" for i in range(64)))
-    squares = F.sequence(F.lit(1), F.lit(64))
-    colours = F.array_distinct(
-        F.transform(
-            F.filter(squares, lambda i: F.substring(board, i, F.lit(1)).isin("b", "B")),
-            lambda i: F.substring(light, i, F.lit(1)),
+
+    def poor(board: Column) -> Column:
+        pieces = F.regexp_replace(board, r"[.kK]", "")
+        bishops = F.filter(
+            F.sequence(F.lit(1), F.lit(64)), lambda i: F.substring(board, i, F.lit(1)).isin("b", "B")
         )
-    )
-    bishops_only = ~pieces.rlike("[nN]") & (F.size(colours) <= 1)
-    return ~heavy & ((minors <= 1) | bishops_only)
+        colours = F.array_distinct(F.transform(bishops, lambda i: F.substring(light, i, F.lit(1))))
+        bishops_only = ~pieces.rlike("[nN]") & (F.size(colours) <= 1)
+        return ~pieces.rlike("[pPrRqQ]") & ((F.length(pieces) <= 1) | bishops_only)
+
+    return let(spread_board(epd), poor)
 
 
 def ending_kind(last_token: Column | str, epd: Column | str) -> Column:

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ludograph.functions.columns import col, spread_board
+from ludograph.functions.columns import col, let, spread_board
 
 N_KEYS = 781
 PIECE_ORDER = "pPnNbBrRqQkK"  # fixed value: order of the piece keys
@@ -55,32 +55,41 @@ def position_hash(c: Column | str, keys: tuple[int, ...] | None = None) -> Colum
     """State key of a position text, row by row (no shuffle: the keys are an array literal)."""
     keys = keys or rule_keys()
     table = F.array(*[F.lit(k) for k in keys[:768]])
-    parts = F.split(col(c), r"\s+")
-    board = spread_board(c)
-    turn, rights, ep = F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.get(parts, F.lit(3))
-
-    def piece_key(i: Column) -> Column:
-        kind = F.instr(F.lit(PIECE_ORDER), F.substring(board, i + 1, F.lit(1))) - 1
-        # Reading order starts at a8, keys at a1.
-        square = (F.lit(7) - F.floor(i / 8)) * 8 + i % 8
-        return F.when(kind >= 0, F.element_at(table, (kind * 64 + square + 1).cast("int"))).otherwise(F.lit(0))
-
-    def xor(acc: Column, i: Column) -> Column:
-        return acc.bitwiseXOR(piece_key(i).cast("bigint"))
-
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), xor)
-    for n, letter in enumerate("KQkq"):
-        total = total.bitwiseXOR(F.when(rights.contains(letter), F.lit(keys[768 + n])).otherwise(F.lit(0)))
-    file = F.instr(F.lit("abcdefgh"), F.substring(ep, 1, 1))
-    # The pushed pawn stands on rank 5 for White to move, on rank 4 otherwise.
-    rank_start = F.when(turn == "w", 24).otherwise(32)
-    pawn = F.when(turn == "w", "P").otherwise("p")
-    left = (file > 1) & (F.substring(board, rank_start + file - 1, F.lit(1)) == pawn)
-    right = (file < 8) & (F.substring(board, rank_start + file + 1, F.lit(1)) == pawn)
     files = F.array(*[F.lit(k) for k in keys[772:780]])
-    capturable = (ep != "-") & (file > 0) & (left | right)
-    total = total.bitwiseXOR(F.when(capturable, F.element_at(files, file)).otherwise(F.lit(0)))
-    return total.bitwiseXOR(F.when(turn == "w", F.lit(keys[780])).otherwise(F.lit(0)))
+    zero = F.lit(0).cast("bigint")
+
+    def total(p: Column) -> Column:
+        board, turn, rights, ep = p["board"], p["turn"], p["rights"], p["ep"]
+
+        def piece_key(i: Column) -> Column:
+            kind = F.instr(F.lit(PIECE_ORDER), F.substring(board, i + 1, F.lit(1))) - 1
+            # Reading order starts at a8, keys at a1.
+            square = (F.lit(7) - F.floor(i / 8)) * 8 + i % 8
+            return F.when(kind >= 0, F.element_at(table, (kind * 64 + square + 1).cast("int"))).otherwise(zero)
+
+        out = F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)), zero, lambda acc, i: acc.bitwiseXOR(piece_key(i))
+        )
+        for n, letter in enumerate("KQkq"):
+            out = out.bitwiseXOR(F.when(rights.contains(letter), F.lit(keys[768 + n])).otherwise(zero))
+        file = F.instr(F.lit("abcdefgh"), F.substring(ep, 1, 1))
+        # The pushed pawn stands on rank 5 for White to move, on rank 4 otherwise.
+        before = F.when(turn == "w", 24).otherwise(32)
+        pawn = F.when(turn == "w", "P").otherwise("p")
+        left = (file > 1) & (F.substring(board, before + file - 1, F.lit(1)) == pawn)
+        right = (file < 8) & (F.substring(board, before + file + 1, F.lit(1)) == pawn)
+        capturable = (ep != "-") & (file > 0) & (left | right)
+        out = out.bitwiseXOR(F.when(capturable, F.element_at(files, file)).otherwise(zero))
+        return out.bitwiseXOR(F.when(turn == "w", F.lit(keys[780])).otherwise(zero))
+
+    parts = F.split(col(c), r"\s+")
+    return let(
+        F.struct(
+            spread_board(c).alias("board"), F.get(parts, F.lit(1)).alias("turn"),
+            F.get(parts, F.lit(2)).alias("rights"), F.get(parts, F.lit(3)).alias("ep"),
+        ),
+        total,
+    )
 
 
 def text_key(c: Column, digits: int = 15) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ludograph.functions.columns import col
+from ludograph.functions.columns import col, let
 
 # Annotation glyphs and evaluation symbols with their numeric codes.
 GLYPHS = {"!": 1, "?": 2, "!!": 3, "??": 4, "!?": 5, "?!": 6}
@@ -35,20 +35,29 @@ _SYMBOL = r"[^\s\x{00a0}\x{feff}{}()\[\];$\"]+"
 def tags(c: Column | str, name: str = r"\w+") -> Column:
     """Tag pairs as a map: escapes undone, a repeated tag keeps its last value."""
     rows = rf"(?m)^[ \t\x{{feff}}]*\[[ \t]*({name})[ \t]*\"({_VALUE})\""
-    head = tag_section(c)
-    keys = F.regexp_extract_all(head, F.lit(rows), F.lit(1))
-    values = F.transform(
-        F.regexp_extract_all(head, F.lit(rows), F.lit(2)),
-        lambda v: F.regexp_replace(v, r'\\(["\\])', "$1"),
-    )
-    # Last value wins without depending on the session's map key policy.
-    last = F.filter(
-        F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))),
-        lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.greatest(F.size(keys), F.lit(1))), e["k"]),
-    )
-    return F.map_from_arrays(
-        F.transform(last, lambda e: e["k"]), F.transform(last, lambda e: F.get(values, e["i"]))
-    )
+    entry = "struct<key:string,value:string>"
+
+    def pairs(head: Column) -> Column:
+        keys = F.regexp_extract_all(head, F.lit(rows), F.lit(1))
+        values = F.regexp_extract_all(head, F.lit(rows), F.lit(2))
+        return F.zip_with(
+            keys, values,
+            lambda k, v: F.struct(k.alias("key"), F.regexp_replace(v, r'\\(["\\])', "$1").alias("value")),
+        )
+
+    def newest(found: Column) -> Column:
+        # Independent of the session's policy for repeated map keys.
+        return F.aggregate(
+            found, F.array().cast(f"array<{entry}>"),
+            lambda acc, e: F.concat(F.filter(acc, lambda o: o["key"] != e["key"]), F.array(e)),
+        )
+
+    def as_map(found: Column) -> Column:
+        names = F.transform(found, lambda e: e["key"])
+        single = F.size(F.array_distinct(names)) == F.size(found)
+        return F.when(single, F.map_from_entries(found)).otherwise(F.map_from_entries(newest(found)))
+
+    return let(let(tag_section(c), pairs), as_map)
 
 
 _HEAD = (
@@ -80,8 +89,6 @@ def mainline_text(c: Column | str) -> Column:
     Works on the pieces between parentheses, so its cost follows the number of variations and is
     one regular expression for the many records that have none.
     """
-    text = without_comments(c)
-    pieces = F.regexp_extract_all(text, F.lit(r"([()]|[^()]+)"), F.lit(1))
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -94,8 +101,12 @@ def mainline_text(c: Column | str) -> Column:
         out = F.when(keep, F.concat(acc["out"], F.lit(" "), piece)).otherwise(acc["out"])
         return F.struct(depth.alias("depth"), out.alias("out"))
 
-    nested = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(text.contains("(") | text.contains(")"), nested).otherwise(text)
+    def outer(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(r"([()]|[^()]+)"), F.lit(1))
+        nested = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+        return F.when(text.contains("(") | text.contains(")"), nested).otherwise(text)
+
+    return let(without_comments(c), outer)
 
 
 def _symbols(text: Column) -> Column:
@@ -121,18 +132,35 @@ def _moves(tokens: Column) -> Column:
     return F.filter(words, lambda t: t.rlike(MOVE_SHAPE))
 
 
+def main_words(c: Column | str) -> Column:
+    """Words of the main line: numbers, moves, glyphs, results."""
+    return _symbols(mainline_text(c))
+
+
+def moves_of(words: Column) -> Column:
+    """Move words before the first result."""
+
+    def first_game(w: Column) -> Column:
+        ends = F.array_position(F.transform(w, is_result), True).cast("int")
+        return _moves(F.when(ends > 0, F.slice(w, F.lit(1), F.greatest(ends, F.lit(1)))).otherwise(w))
+
+    return let(words, first_game)
+
+
+def result_of(words: Column) -> Column:
+    """The last result word, in its usual spelling; NULL if there is none."""
+    last = F.get(F.reverse(F.filter(words, is_result)), F.lit(0))
+    return F.when(last.isin("*", "1-0", "0-1"), last).when(last.isNotNull(), F.lit("1/2-1/2"))
+
+
 def mainline_tokens(c: Column | str) -> Column:
     """Move words of the main line, up to the first result."""
-    tokens = _symbols(mainline_text(c))
-    ends = F.array_position(F.transform(tokens, is_result), True).cast("int")
-    return _moves(F.when(ends > 0, F.slice(tokens, 1, F.greatest(ends, F.lit(1)))).otherwise(tokens))
+    return moves_of(main_words(c))
 
 
 def result_token(c: Column | str) -> Column:
-    """The result written in the main line (the last one), in its usual spelling; NULL if none."""
-    found = F.filter(_symbols(mainline_text(c)), is_result)
-    last = F.get(found, F.size(found) - 1)
-    return F.when(last.isin("*", "1-0", "0-1"), last).when(last.isNotNull(), F.lit("1/2-1/2"))
+    """The result written in the main line (the last one); NULL if none."""
+    return let(main_words(c), result_of)
 
 
 def nag_codes(token: Column) -> Column:
@@ -165,7 +193,10 @@ def comments(c: Column | str) -> Column:
 def is_annotated(c: Column | str) -> Column:
     """True when there is any comment, annotation code or variation."""
     body = F.regexp_replace(col(c), ESCAPE_LINE, " ")
-    return body.rlike(r"[{;(]|\$\d") | (F.size(nags(c)) > 0)
+    sure = body.rlike(r"[{;(]|\$\d")
+    # Without any of these characters there is no glyph or symbol to look for.
+    maybe = body.rlike(r"[!?=∞⩲⩱±∓□]|[+-]/?[+-]|N(?:[\s$]|\z)")
+    return F.when(sure, True).when(maybe, F.size(nags(c)) > 0).otherwise(False)
 
 
 def split_by_result(c: Column | str) -> Column:
@@ -215,47 +246,50 @@ COLOURS = {"G": "#15781b", "R": "#882020", "Y": "#e68f00", "B": "#003088"}
 
 def comment_commands(c: Column | str) -> Column:
     """Struct of text (without commands), clock, eval, arrows, highlights of one comment."""
-    raw = col(c)
-    names = F.regexp_extract_all(raw, F.lit(_COMMAND), F.lit(1))
-    args = F.regexp_extract_all(raw, F.lit(_COMMAND), F.lit(2))
-    pairs = F.arrays_zip(names.alias("name"), args.alias("arg"))
+    colour = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
 
-    def values(name: str) -> Column:
-        return F.transform(F.filter(pairs, lambda p: p["name"] == name), lambda p: F.trim(p["arg"]))
+    def read(p: Column) -> Column:
+        def values(name: str) -> Column:
+            return F.transform(F.filter(p["pairs"], lambda e: e["name"] == name), lambda e: F.trim(e["arg"]))
 
-    def last(name: str) -> Column:
-        found = values(name)
-        return F.get(found, F.size(found) - 1)
+        def last(name: str) -> Column:
+            return F.get(F.reverse(values(name)), F.lit(0))
 
-    colour = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
+        def marks(name: str, pattern: str) -> Column:
+            words = F.flatten(F.transform(values(name), lambda v: F.split(v, ",")))
+            return F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w.rlike(pattern))
 
-    def marks(name: str, pattern: str) -> Column:
-        words = F.flatten(F.transform(values(name), lambda v: F.split(v, ",")))
-        return F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w.rlike(pattern))
-
-    arrows = F.transform(
-        marks("cal", "^[RGYB][a-h][1-8][a-h][1-8]$"),
-        lambda w: F.struct(
-            F.element_at(colour, F.substring(w, 1, 1)).alias("colour"),
-            F.substring(w, 2, 2).alias("src"),
-            F.substring(w, 4, 2).alias("dst"),
-        ),
-    )
-    squares = F.transform(
-        marks("csl", "^[RGYB][a-h][1-8]$"),
-        lambda w: F.struct(
-            F.element_at(colour, F.substring(w, 1, 1)).alias("colour"),
-            F.substring(w, 2, 2).alias("square"),
-        ),
-    )
-    text = F.trim(F.regexp_replace(F.regexp_replace(raw, _COMMAND, " "), r"\s+", " "))
-    return F.struct(
-        text.alias("text"),
-        F.regexp_replace(F.regexp_replace(last("clk"), "^0:", ""), r"\.\d+$", "").alias("clock"),
-        F.substring_index(last("eval"), ",", 1).alias("eval"),
-        arrows.alias("arrows"),
-        squares.alias("highlights"),
+        arrows = F.transform(
+            marks("cal", "^[RGYB][a-h][1-8][a-h][1-8]$"),
+            lambda w: F.struct(
+                F.element_at(colour, F.substring(w, 1, 1)).alias("colour"),
+                F.substring(w, 2, 2).alias("src"),
+                F.substring(w, 4, 2).alias("dst"),
+            ),
+        )
+        squares = F.transform(
+            marks("csl", "^[RGYB][a-h][1-8]$"),
+            lambda w: F.struct(
+                F.element_at(colour, F.substring(w, 1, 1)).alias("colour"),
+                F.substring(w, 2, 2).alias("square"),
+            ),
+        )
+        text = F.trim(F.regexp_replace(F.regexp_replace(p["raw"], _COMMAND, " "), r"\s+", " "))
+        return F.struct(
+            text.alias("text"),
+            F.regexp_replace(F.regexp_replace(last("clk"), "^0:", ""), r"\.\d+$", "").alias("clock"),
+            F.substring_index(last("eval"), ",", 1).alias("eval"),
+            arrows.alias("arrows"),
+            squares.alias("highlights"),
+        )
+
+    raw = col(c)
+    pairs = F.zip_with(
+        F.regexp_extract_all(raw, F.lit(_COMMAND), F.lit(1)),
+        F.regexp_extract_all(raw, F.lit(_COMMAND), F.lit(2)),
+        lambda n, a: F.struct(n.alias("name"), a.alias("arg")),
     )
+    return let(F.struct(raw.alias("raw"), pairs.alias("pairs")), read)
 
 
 def strip_annotations(

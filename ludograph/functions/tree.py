@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ludograph.functions.columns import let
 from ludograph.functions.text import (
     BRACE_COMMENT, ESCAPE_LINE, LINE_COMMENT, MOVE_SHAPE, _SPACE, _SYMBOL, bare_move, is_result, nag_codes,
 )
@@ -38,31 +39,36 @@ def tree(c: Column | str) -> Column:
     from the start), san, nags, comment, start_comment, child_ix (0 = main continuation). A move
     repeated in a variation is a node of its own. Root comments belong to node 0 (``root_comment``).
     """
-    events = _walk(F.col(c) if isinstance(c, str) else c)
-    moves = F.filter(events, lambda e: e["kind"] == "m")
-
-    def node(m: Column) -> Column:
-        of = F.filter(events, lambda e: e["node"] == m["node"])
-        texts = lambda kind: F.transform(F.filter(of, lambda e: e["kind"] == kind), lambda e: e["text"])
-        joined = lambda kind: F.when(F.size(texts(kind)) > 0, F.array_join(texts(kind), " "))
-        nags = F.array_distinct(F.transform(F.filter(of, lambda e: e["kind"] == "n"), lambda e: e["nag"]))
-        elder = F.filter(moves, lambda o: (o["parent"] == m["parent"]) & (o["node"] < m["node"]))
-        return F.struct(
-            m["node"].alias("node"), m["parent"].alias("parent"), m["depth"].alias("depth"),
-            m["variation"].alias("variation"), m["ply"].alias("ply"), m["text"].alias("san"),
-            nags.alias("nags"), joined("c").alias("comment"), joined("s").alias("start_comment"),
-            F.size(elder).alias("child_ix"),
-        )
 
-    return F.transform(moves, node)
+    def nodes(w: Column) -> Column:
+        def node(m: Column) -> Column:
+            of = lambda kind: F.filter(w["events"], lambda e: (e["node"] == m["node"]) & (e["kind"] == kind))
+
+            def joined(kind: str) -> Column:
+                texts = F.array_join(F.transform(of(kind), lambda e: e["text"]), " ")
+                return F.when(texts != "", texts)
+
+            nags = F.array_distinct(F.transform(of("n"), lambda e: e["nag"]))
+            elder = F.filter(w["moves"], lambda o: (o["parent"] == m["parent"]) & (o["node"] < m["node"]))
+            return F.struct(
+                m["node"].alias("node"), m["parent"].alias("parent"), m["depth"].alias("depth"),
+                m["variation"].alias("variation"), m["ply"].alias("ply"), m["text"].alias("san"),
+                nags.alias("nags"), joined("c").alias("comment"), joined("s").alias("start_comment"),
+                F.size(elder).alias("child_ix"),
+            )
+
+        return F.transform(w["moves"], node)
+
+    def split(events: Column) -> Column:
+        return F.struct(events.alias("events"), F.filter(events, lambda e: e["kind"] == "m").alias("moves"))
+
+    return let(let(_walk(F.col(c) if isinstance(c, str) else c), split), nodes)
 
 
 def root_comment(c: Column | str) -> Column:
-    events = _walk(F.col(c) if isinstance(c, str) else c)
-    texts = F.transform(
-        F.filter(events, lambda e: (e["node"] == 0) & (e["kind"] == "c")), lambda e: e["text"]
-    )
-    return F.when(F.size(texts) > 0, F.array_join(texts, " "))
+    root = lambda events: F.filter(events, lambda e: (e["node"] == 0) & (e["kind"] == "c"))
+    text = F.array_join(F.transform(root(_walk(F.col(c) if isinstance(c, str) else c)), lambda e: e["text"]), " ")
+    return F.when(text != "", text)
 
 
 _EVENT = "array<struct<kind:string,node:int,parent:int,depth:int,variation:int,ply:int,text:string,nag:int>>"

@@ -53,13 +53,14 @@ def scan(records: DataFrame, options: Options = Options()) -> DataFrame:
     if not options.headerless:
         rows = rows.filter(F.col("sub") == 0)
     none = F.map_filter("tags", lambda k, v: F.lit(False))
+    rows = rows.withColumn("words", X.main_words("body"))
     return rows.select(
         F.shiftleft(F.col("pos"), SUB_BITS).bitwiseOR(F.col("sub")).alias("seq"),
         F.when(F.col("sub") == 0, F.col("tags")).otherwise(none).alias("tags"),
         (F.col("sub") > 0).alias("headerless"),
-        X.mainline_tokens("body").alias("tokens"),
+        X.moves_of(F.col("words")).alias("tokens"),
         F.when(X.is_annotated("body"), F.col("body")).alias("movetext"),
-        X.result_token("body").alias("result_token"),
+        X.result_of(F.col("words")).alias("result_token"),
     )
 
 

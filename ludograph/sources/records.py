@@ -135,13 +135,19 @@ def needs_strict(records: DataFrame) -> DataFrame:
     return records.filter(odd).select("file").distinct()
 
 
+def records_of_texts(texts: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    """Texts in a column (uploads, one per row) -> the same rows as ``read_records``."""
+    lines = texts.select(
+        F.col(name).cast("string").alias("file"), F.lit(0).cast("bigint").alias("block"),
+        F.posexplode(F.split(text, "\n")).alias("line", "value"),
+    )
+    return group_lines(line_states(lines.withColumn("line", F.col("line").cast("bigint"))))
+
+
 def records_from_text(spark: SparkSession, texts: list[str]) -> DataFrame:
-    """Texts in hand (an upload, a form) -> the same rows as ``read_records``."""
-    lines = [
-        (f"text-{n:06d}", 0, i, line) for n, t in enumerate(texts) for i, line in enumerate(t.split("\n"))
-    ]
-    df = spark.createDataFrame(lines, "file string, block bigint, line bigint, value string")
-    return group_lines(line_states(df))
+    """A few texts in hand (a form, a message) -> records."""
+    rows = [(f"text-{n:06d}", t) for n, t in enumerate(texts)]
+    return records_of_texts(spark.createDataFrame(rows, "name string, text string"))
 
 
 def list_records(records: DataFrame, raw: str = "raw") -> DataFrame:
