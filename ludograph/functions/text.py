@@ -23,17 +23,31 @@ _CASTLING = r"[O0]-?[O0](?:-?[O0])?"
 _PASS = r"--|Z0|@@|0000"
 MOVE_SHAPE = rf"^(?:{_PIECE_MOVE}|{_CASTLING}|{_PASS})[+#]*(?:e\.p\.)?$"
 
+# A word is bounded by these; a move may carry its number in front and glyphs behind.
+_BREAK = r"\s\x{00a0}\x{feff}{}()\[\];$\""
+_BEGIN, _END = rf"(?<![^{_BREAK}])", rf"(?![^{_BREAK}])"
+_NUMBER = r"(?:(?!0-0|0000)\d++\.*+|\.++)?+"
+_MOVE_WORD = rf"{_NUMBER}((?:{_PIECE_MOVE}|{_CASTLING}|{_PASS})[+#]*(?:e\.p\.)?)"
+MOVE_WORDS = rf"{_BEGIN}{_MOVE_WORD}[!?]*+{_END}"
+_RESULT = r"1-0|0-1|\*|1/2-1/2|½-½|1/2|0\.5-0\.5"
+RESULT_WORDS = rf"{_BEGIN}({_RESULT}){_END}"
+
 BRACE_COMMENT = r"\{[^}]*(?:\}|\z)"
 LINE_COMMENT = r";[^\n]*"
 ESCAPE_LINE = r"(?m:^[ \t\r]*%[^\n]*)"
 _SPACE = r"[\s\x{00a0}\x{feff}]"
 # A tag value: escapes, and quotes that do not close it (no bracket or line end behind them).
-_VALUE = r"(?:[^\"\\\n]|\\[\"\\]|\\|\"(?![ \t]*(?:\]|\r|\n|\z)))*+"
+_VALUE = r"(?:[^\"\\\n]++|\\[\"\\]|\\|\"(?![ \t]*(?:\]|\r|\n|\z)))*+"
 _SYMBOL = r"[^\s\x{00a0}\x{feff}{}()\[\];$\"]+"
 
 
 def tags(c: Column | str, name: str = r"\w+") -> Column:
     """Tag pairs as a map: escapes undone, a repeated tag keeps its last value."""
+    return tags_of(tag_section(c), name)
+
+
+def tags_of(head: Column, name: str = r"\w+") -> Column:
+    """The same, for a tag section already cut off."""
     rows = rf"(?m)^[ \t\x{{feff}}]*\[[ \t]*({name})[ \t]*\"({_VALUE})\""
     entry = "struct<key:string,value:string>"
 
@@ -57,12 +71,12 @@ def tags(c: Column | str, name: str = r"\w+") -> Column:
         single = F.size(F.array_distinct(names)) == F.size(found)
         return F.when(single, F.map_from_entries(found)).otherwise(F.map_from_entries(newest(found)))
 
-    return let(let(tag_section(c), pairs), as_map)
+    return let(let(head, pairs), as_map)
 
 
 _HEAD = (
-    r"(?s)^((?:[\s\x{feff}]|%[^\n]*+(?:\n|\z)"
-    r"|\[(?:[^\]\"\n]|\"(?:[^\"\\\n]|\\[^\n])*+(?:\"|(?=\n)|\z))*+(?:\]|(?=\n)|\z))*+)"
+    r"(?s)^((?:[\s\x{feff}]++|%[^\n]*+(?:\n|\z)"
+    r"|\[(?:[^\]\"\n]++|\"(?:[^\"\\\n]++|\\[^\n])*+(?:\"|(?=\n)|\z))*+(?:\]|(?=\n)|\z))*+)"
 )
 
 
@@ -73,8 +87,16 @@ def tag_section(c: Column | str) -> Column:
 
 def movetext(c: Column | str) -> Column:
     """Everything after the tag section, trimmed."""
-    body = F.substr(col(c), F.length(tag_section(c)) + 1)
-    return F.regexp_replace(body, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return body_of(col(c), tag_section(c))
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+\z", "")
+
+
+def body_of(raw: Column, head: Column) -> Column:
+    """The same, given the tag section."""
+    return trimmed(F.substr(raw, F.length(head) + 1))
 
 
 def without_comments(c: Column | str) -> Column:
@@ -109,11 +131,6 @@ def mainline_text(c: Column | str) -> Column:
     return let(without_comments(c), outer)
 
 
-def _symbols(text: Column) -> Column:
-    """Words of a text, without ``$n`` codes."""
-    return F.regexp_extract_all(F.regexp_replace(text, r"\$\d*", " "), F.lit(f"({_SYMBOL})"), F.lit(1))
-
-
 def is_result(token: Column) -> Column:
     return token.isin(RESULT_TOKENS)
 
@@ -127,40 +144,28 @@ def bare_move(token: Column) -> Column:
     return F.when(word == "0000", "--").otherwise(word)
 
 
-def _moves(tokens: Column) -> Column:
-    words = F.transform(F.filter(tokens, lambda t: ~is_result(t)), bare_move)
-    return F.filter(words, lambda t: t.rlike(MOVE_SHAPE))
-
-
-def main_words(c: Column | str) -> Column:
-    """Words of the main line: numbers, moves, glyphs, results."""
-    return _symbols(mainline_text(c))
-
+def moves_of(main: Column) -> Column:
+    """Move words of main-line text, up to the first result."""
+    first = F.regexp_replace(main, rf"(?s){RESULT_WORDS}.*", "")
+    words = F.regexp_extract_all(first, F.lit(MOVE_WORDS), F.lit(1))
+    plain = lambda w: F.transform(w, lambda m: F.when(m == "0000", "--").otherwise(m))
+    return F.when(main.contains("0000"), plain(words)).otherwise(words)
 
-def moves_of(words: Column) -> Column:
-    """Move words before the first result."""
 
-    def first_game(w: Column) -> Column:
-        ends = F.array_position(F.transform(w, is_result), True).cast("int")
-        return _moves(F.when(ends > 0, F.slice(w, F.lit(1), F.greatest(ends, F.lit(1)))).otherwise(w))
-
-    return let(words, first_game)
-
-
-def result_of(words: Column) -> Column:
-    """The last result word, in its usual spelling; NULL if there is none."""
-    last = F.get(F.reverse(F.filter(words, is_result)), F.lit(0))
+def result_of(main: Column) -> Column:
+    """The last result of main-line text, in its usual spelling; NULL if there is none."""
+    last = F.get(F.reverse(F.regexp_extract_all(main, F.lit(RESULT_WORDS), F.lit(1))), F.lit(0))
     return F.when(last.isin("*", "1-0", "0-1"), last).when(last.isNotNull(), F.lit("1/2-1/2"))
 
 
 def mainline_tokens(c: Column | str) -> Column:
     """Move words of the main line, up to the first result."""
-    return moves_of(main_words(c))
+    return let(mainline_text(c), moves_of)
 
 
 def result_token(c: Column | str) -> Column:
     """The result written in the main line (the last one); NULL if none."""
-    return let(main_words(c), result_of)
+    return let(mainline_text(c), result_of)
 
 
 def nag_codes(token: Column) -> Column:
@@ -228,12 +233,9 @@ def split_by_result(c: Column | str) -> Column:
         )
 
     games = F.aggregate(many, start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
-    pieces = F.transform(games, lambda g: F.regexp_replace(g, rf"^{_SPACE}+|{_SPACE}+\z", ""))
-    # At most one result word in the whole text: nothing to split, and no walk over the tokens.
-    words = F.size(F.filter(_symbols(col(c)), is_result))
-    return F.when(words > 1, pieces).otherwise(
-        F.array(F.regexp_replace(col(c), rf"^{_SPACE}+|{_SPACE}+\z", ""))
-    )
+    # At most one result in the whole text: nothing to split, and no walk over the words.
+    several = F.regexp_count(col(c), F.lit(RESULT_WORDS)) > 1
+    return F.when(several, F.transform(games, trimmed)).otherwise(F.array(trimmed(col(c))))
 
 
 # ---- commands inside comments -----------------------------------------------------------

@@ -7,29 +7,40 @@ from pyspark.sql import functions as F
 
 from ludograph.functions.columns import let
 from ludograph.functions.text import (
-    BRACE_COMMENT, ESCAPE_LINE, LINE_COMMENT, MOVE_SHAPE, _SPACE, _SYMBOL, bare_move, is_result, nag_codes,
+    _BEGIN, _END, _MOVE_WORD, _SYMBOL, ESCAPE_LINE, GLYPHS, SYMBOLS, trimmed,
 )
 
-_UNIT = rf"({ESCAPE_LINE}|{BRACE_COMMENT}|{LINE_COMMENT}|[()]|\$\d*|{_SYMBOL})"
+# One pass per group gives aligned arrays: brace comment, line comment, parenthesis, $n, move, its
+# glyphs, any other word.
+_UNIT = (
+    rf"{ESCAPE_LINE}|\{{([^}}]*+)(?:\}}|\z)|;([^\n]*+)|([()])|\$(\d*+)"
+    rf"|{_BEGIN}{_MOVE_WORD}([!?]*+){_END}|({_SYMBOL})"
+)
 
 
 def _tokens(c: Column) -> Column:
-    """Typed tokens: kind c(omment), m(ove), n(ag), ( and ); moves carry the code of their glyph."""
-    words = F.regexp_extract_all(c, F.lit(_UNIT), F.lit(1))
+    """Typed tokens: kind c(omment), m(ove), n(ag), ( and ); moves carry the code of their glyphs."""
+    names = ["brace", "line", "paren", "code", "move", "glyph", "word"]
+    groups = [F.regexp_extract_all(c, F.lit(_UNIT), F.lit(n + 1)).alias(name) for n, name in enumerate(names)]
+    glyphs = F.create_map(*[F.lit(x) for kv in GLYPHS.items() for x in kv])
+    words = F.create_map(*[F.lit(x) for kv in {**GLYPHS, **SYMBOLS}.items() for x in kv])
 
     def typed(t: Column) -> Column:
-        comment = t.startswith("{") | t.startswith(";")
-        move = bare_move(t).rlike(MOVE_SHAPE) & ~is_result(t)
+        note = trimmed(F.concat(t["brace"], t["line"]))
+        nag = (
+            F.when(t["code"] != "", t["code"].try_cast("int"))
+            .when(t["glyph"] != "", F.element_at(glyphs, t["glyph"]))
+            .when(t["word"] != "", F.element_at(words, F.regexp_replace(t["word"], r"^\d+\.*|^\.+", "")))
+        )
         kind = (
-            F.when(t.isin("(", ")"), t)
-            .when(comment, "c")
-            .when(move, "m")
-            .when(nag_codes(t).isNotNull() & ~is_result(t), "n")
+            F.when(t["move"] != "", "m").when(t["paren"] != "", t["paren"])
+            .when((t["code"] != "") | (t["word"] != ""), "n").when(note != "", "c")
         )
-        text = F.when(comment, F.regexp_replace(t, rf"^[{{;]{_SPACE}*|{_SPACE}*\}}?\z", "")).otherwise(bare_move(t))
-        return F.struct(kind.alias("kind"), text.alias("text"), nag_codes(t).alias("nag"))
+        text = F.when(t["move"] == "0000", "--").when(t["move"] != "", t["move"]).otherwise(note)
+        return F.struct(kind.alias("kind"), text.alias("text"), nag.alias("nag"))
 
-    return F.filter(F.transform(words, typed), lambda t: t["kind"].isNotNull())
+    kept = lambda t: (t["kind"] != "n") | t["nag"].isNotNull()
+    return F.filter(F.transform(F.arrays_zip(*groups), typed), kept)
 
 
 def tree(c: Column | str) -> Column:

@@ -47,20 +47,21 @@ SUB_BITS = 20  # room for games without tags inside one record
 
 def scan(records: DataFrame, options: Options = Options()) -> DataFrame:
     """(pos, raw) -> one row per game with tags, tokens, annotated flag and result. Native columns."""
-    rows = records.select("pos", X.tags("raw").alias("tags"), X.movetext("raw").alias("body"))
+    rows = records.select("pos", "raw", X.tag_section("raw").alias("head"))
+    rows = rows.select("pos", X.tags_of(F.col("head")).alias("tags"), X.body_of(F.col("raw"), F.col("head")).alias("body"))
     rows = rows.select("pos", "tags", F.posexplode(X.split_by_result("body")).alias("sub", "body"))
     rows = rows.filter((F.col("sub") == 0) | (F.col("body") != ""))
     if not options.headerless:
         rows = rows.filter(F.col("sub") == 0)
     none = F.map_filter("tags", lambda k, v: F.lit(False))
-    rows = rows.withColumn("words", X.main_words("body"))
+    rows = rows.withColumn("main", X.mainline_text("body"))
     return rows.select(
         F.shiftleft(F.col("pos"), SUB_BITS).bitwiseOR(F.col("sub")).alias("seq"),
         F.when(F.col("sub") == 0, F.col("tags")).otherwise(none).alias("tags"),
         (F.col("sub") > 0).alias("headerless"),
-        X.moves_of(F.col("words")).alias("tokens"),
+        X.moves_of(F.col("main")).alias("tokens"),
         F.when(X.is_annotated("body"), F.col("body")).alias("movetext"),
-        X.result_of(F.col("words")).alias("result_token"),
+        X.result_of(F.col("main")).alias("result_token"),
     )
 
 
