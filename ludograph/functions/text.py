@@ -24,13 +24,15 @@ _PASS = r"--|Z0|@@|0000"
 MOVE_SHAPE = rf"^(?:{_PIECE_MOVE}|{_CASTLING}|{_PASS})[+#]*(?:e\.p\.)?$"
 
 # A word is bounded by these; a move may carry its number in front and glyphs behind.
-_BREAK = r"\s\x{00a0}\x{feff}{}()\[\];$\""
-_BEGIN, _END = rf"(?<![^{_BREAK}])", rf"(?![^{_BREAK}])"
+# Spelled out, because a class of single characters is looked up in a table.
+_BREAK = r" \t\n\x0B\f\r\x{a0}\x{feff}{}()\[\];$\""
+_END = rf"(?![^{_BREAK}])"
 _NUMBER = r"(?:(?!0-0|0000)\d++\.*+|\.++)?+"
 _MOVE_WORD = rf"{_NUMBER}((?:{_PIECE_MOVE}|{_CASTLING}|{_PASS})[+#]*(?:e\.p\.)?)"
-MOVE_WORDS = rf"{_BEGIN}{_MOVE_WORD}[!?]*+{_END}"
-_RESULT = r"1-0|0-1|\*|1/2-1/2|½-½|1/2|0\.5-0\.5"
-RESULT_WORDS = rf"{_BEGIN}({_RESULT}){_END}"
+# Group 1 is the move, empty for other words. Every word is taken whole, so matches begin at words.
+MOVE_WORDS = rf"{_MOVE_WORD}[!?]*+{_END}|[^{_BREAK}]++"
+# The look ahead fails at once on most characters, before the costlier look behind.
+RESULT_WORDS = rf"(?=[01*½])(?<![^{_BREAK}])(1-0|0-1|\*|1/2-1/2|½-½|1/2|0\.5-0\.5){_END}"
 
 BRACE_COMMENT = r"\{[^}]*(?:\}|\z)"
 LINE_COMMENT = r";[^\n]*"
@@ -38,7 +40,7 @@ ESCAPE_LINE = r"(?m:^[ \t\r]*%[^\n]*)"
 _SPACE = r"[\s\x{00a0}\x{feff}]"
 # A tag value: escapes, and quotes that do not close it (no bracket or line end behind them).
 _VALUE = r"(?:[^\"\\\n]++|\\[\"\\]|\\|\"(?![ \t]*(?:\]|\r|\n|\z)))*+"
-_SYMBOL = r"[^\s\x{00a0}\x{feff}{}()\[\];$\"]+"
+_SYMBOL = rf"[^{_BREAK}]++"
 
 
 def tags(c: Column | str, name: str = r"\w+") -> Column:
@@ -56,7 +58,7 @@ def tags_of(head: Column, name: str = r"\w+") -> Column:
         values = F.regexp_extract_all(head, F.lit(rows), F.lit(2))
         return F.zip_with(
             keys, values,
-            lambda k, v: F.struct(k.alias("key"), F.regexp_replace(v, r'\\(["\\])', "$1").alias("value")),
+            lambda k, v: F.struct(k.alias("key"), _unescaped(v).alias("value")),
         )
 
     def newest(found: Column) -> Column:
@@ -74,6 +76,10 @@ def tags_of(head: Column, name: str = r"\w+") -> Column:
     return let(let(head, pairs), as_map)
 
 
+def _unescaped(v: Column) -> Column:
+    return F.when(v.contains("\\"), F.regexp_replace(v, r'\\(["\\])', "$1")).otherwise(v)
+
+
 _HEAD = (
     r"(?s)^((?:[\s\x{feff}]++|%[^\n]*+(?:\n|\z)"
     r"|\[(?:[^\]\"\n]++|\"(?:[^\"\\\n]++|\\[^\n])*+(?:\"|(?=\n)|\z))*+(?:\]|(?=\n)|\z))*+)"
@@ -91,7 +97,7 @@ def movetext(c: Column | str) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r\u00a0\ufeff"))
 
 
 def body_of(raw: Column, head: Column) -> Column:
@@ -147,7 +153,7 @@ def bare_move(token: Column) -> Column:
 def moves_of(main: Column) -> Column:
     """Move words of main-line text, up to the first result."""
     first = F.regexp_replace(main, rf"(?s){RESULT_WORDS}.*", "")
-    words = F.regexp_extract_all(first, F.lit(MOVE_WORDS), F.lit(1))
+    words = F.filter(F.regexp_extract_all(first, F.lit(MOVE_WORDS), F.lit(1)), lambda w: w != "")
     plain = lambda w: F.transform(w, lambda m: F.when(m == "0000", "--").otherwise(m))
     return F.when(main.contains("0000"), plain(words)).otherwise(words)
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ludograph.functions.columns import let
 from ludograph.functions.text import (
-    _BEGIN, _END, _MOVE_WORD, _SYMBOL, ESCAPE_LINE, GLYPHS, SYMBOLS, trimmed,
+    _END, _MOVE_WORD, _SYMBOL, ESCAPE_LINE, GLYPHS, SYMBOLS, trimmed,
 )
 
 # One pass per group gives aligned arrays: brace comment, line comment, parenthesis, $n, move, its
 # glyphs, any other word.
 _UNIT = (
     rf"{ESCAPE_LINE}|\{{([^}}]*+)(?:\}}|\z)|;([^\n]*+)|([()])|\$(\d*+)"
-    rf"|{_BEGIN}{_MOVE_WORD}([!?]*+){_END}|({_SYMBOL})"
+    rf"|{_MOVE_WORD}([!?]*+){_END}|({_SYMBOL})"
 )
 
 
