@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ludograph.functions.columns import MOVE_END
 from ludograph.functions.hashing import text_key
-from ludograph.operators.skew import HOT_ROWS, running
+from ludograph.operators.skew import HOT_ROWS, hot_keys, running
 
 
 def states(
@@ -22,9 +22,10 @@ def states(
     Rows keep their columns. See ``running`` for ``bucket``.
     """
     if mode == "path":
-        plies = running(df, by, order, bucket=bucket, sums={"ply": F.lit(1)}, min_rows=min_rows)
+        hot = None if bucket is None else hot_keys(df, by, min_rows)
+        plies = running(df, by, order, bucket=bucket, sums={"ply": F.lit(1)}, hot=hot)
         key = text_key(F.concat_ws("|", F.col("ply").cast("string"), F.col(step)))
-        return running(plies, by, order, bucket=bucket, xors={"state": key}, min_rows=min_rows)
+        return running(plies, by, order, bucket=bucket, xors={"state": key}, hot=hot)
     sums: dict[str, Column] = {"ply": F.lit(1)}
     if vocabulary is None:
         sums["state"] = text_key(F.col(step), 9)

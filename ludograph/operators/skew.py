@@ -30,6 +30,7 @@ def running(
     xors: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
     latest: dict[str, Column] | None = None,
+    hot: DataFrame | None = None,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running values over ordered sequences: what lies strictly before each row, and the next row.
@@ -37,7 +38,8 @@ def running(
     ``sums`` and ``xors`` give the total over the preceding rows (0 at the start), ``latest`` the last
     value before the row that is not NULL, ``following`` the value of the next row. ``bucket`` is an integer that never decreases along ``order``; sequences
     with more than ``min_rows`` rows are cut at its changes, worked on piece by piece, and joined up
-    through the pieces' totals. Without ``bucket`` a sequence must be bounded by nature (one record).
+    through the pieces' totals. ``hot`` are the keys to split, where the caller has counted them already
+    (in one pass for several calls). Without ``bucket`` a sequence must be bounded by nature (one record).
     """
     sums, xors, following, latest = sums or {}, xors or {}, following or {}, latest or {}
     values = {**{f"_s_{k}": v for k, v in sums.items()}, **{f"_x_{k}": v for k, v in xors.items()}}
@@ -46,8 +48,9 @@ def running(
     work = df.select("*", *[v.alias(k) for k, v in values.items()])
     part = list(by)
     if bucket is not None:
-        hot = hot_keys(df, by, min_rows).withColumn("_hot", F.lit(True))
-        work = work.join(F.broadcast(hot), by, "left")
+        keys = hot_keys(df, by, min_rows) if hot is None else hot
+        # At most ``HOT_KEYS`` rows, see ``hot_keys``.
+        work = work.join(F.broadcast(keys.withColumn("_hot", F.lit(True))), by, "left")
         work = work.withColumn("_bucket", F.when(F.col("_hot"), bucket.cast("bigint"))).drop("_hot")
         part.append("_bucket")
     ordered = Window.partitionBy(*part).orderBy(*order)

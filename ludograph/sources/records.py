@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ludograph.functions import text as X
 from ludograph.functions.columns import col
-from ludograph.operators.skew import HOT_ROWS, running
+from ludograph.operators.skew import HOT_KEYS, running
+from ludograph.session import checkpointed
 
 MARK = "\n[Event "
+MAX_FILE = 256 << 20
 
 
 def decode_text(c: Column | str) -> Column:
@@ -26,15 +28,18 @@ def decode_text(c: Column | str) -> Column:
     return F.regexp_replace(text, r"^\x{feff}|\r", "")
 
 
-def read_records(spark: SparkSession, paths: str | list[str], strict: bool = False, min_rows: int = HOT_ROWS) -> DataFrame:
+def read_records(
+    spark: SparkSession, paths: str | list[str], strict: bool = False, max_file: int = MAX_FILE
+) -> DataFrame:
     """(file, block, line, raw): one row per record, ordered by the first three.
 
     The fast way cuts at ``[Event `` lines while reading, so one large file is split over many tasks.
     It assumes Event is the first tag, as in almost all files. ``strict`` reads lines and cuts where a
-    tag line follows movetext outside comments; it too reads a file in splits, joined up by totals.
+    tag line follows movetext outside comments. There a file is worked on as a whole up to ``max_file``
+    bytes; a larger one by its splits, joined up by totals.
     """
     if strict:
-        return _read_strict(spark, paths, min_rows)
+        return _read_strict(spark, paths, max_file)
     rows = spark.read.option("lineSep", MARK).text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -72,13 +77,19 @@ def _open_after(text: Column) -> Column:
     return F.regexp_replace(shown, r"\{[^}]*\}", "").contains("{")
 
 
-def line_states(lines: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Mark the last movetext line of every record: (file, block, line, value, ends).
+def line_records(lines: DataFrame, bucket: Column | None = None, hot: DataFrame | None = None, stage=None) -> DataFrame:
+    """Number the record of every line: (file, block, line, value) -> + record (0.. per file).
 
-    A record ends where movetext was seen and the next line that is neither blank nor a comment line
-    is a tag line outside comments. Whether a comment is open follows from the latest line that
-    settles it; both questions are running values, so they work across the splits of a file.
+    A record begins at a tag line outside comments when the nearest line before it that is neither
+    blank nor a comment line ended in movetext. Whether a comment is open follows from the latest
+    line that settles it. All of these are running values. Without ``bucket`` they share one shuffle
+    by file; with it, ``stage`` materialises the rows between the passes.
     """
+    stage = stage or (lambda df: df)
+
+    def along(df: DataFrame, **what) -> DataFrame:
+        return running(df, ["file"], ["block", "line"], bucket=bucket, hot=hot, **what)
+
     rows = lines.withColumn("value", F.regexp_replace("value", r"^\x{feff}|\r", ""))
     line = F.col("value")
     from_outside = ~line.rlike(r"^[ \t]*[%\[]") & _open_after(line)
@@ -86,9 +97,7 @@ def line_states(lines: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
         line.contains("}"), _open_after(F.substr(line, F.instr(line, "}") + 1))
     ).otherwise(True)
     settled = F.when(from_outside == from_inside, from_inside)
-    rows = running(
-        rows, ["file"], ["block", "line"], bucket=F.col("block"), latest={"_in": settled}, min_rows=min_rows
-    )
+    rows = stage(along(rows, latest={"_in": settled}))
     inside = F.coalesce("_in", F.lit(False))
     tag = line.rlike(r"^[ \t]*\[") & ~inside
     behind = F.regexp_replace(line, r'^(?:[ \t]*\[(?:[^\]"]|"(?:[^"\\]|\\.)*+")*+\])++', "")
@@ -96,37 +105,40 @@ def line_states(lines: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
         inside | (line.rlike(r"\S") & ~line.rlike(r"^[ \t]*[%;]"))
     )
     marked = rows.select("file", "block", "line", "value", tag.alias("tag"), text.alias("text"))
-    after = running(
-        marked.filter("tag or text"), ["file"], ["block", "line"], bucket=F.col("block"),
-        following={"next_tag": F.col("tag")}, min_rows=min_rows,
-    )
-    ends = after.filter("text and next_tag").select("file", "block", "line", F.lit(1).alias("ends"))
-    return marked.join(ends, ["file", "block", "line"], "left").select(
-        "file", "block", "line", "value", F.coalesce("ends", F.lit(0)).cast("bigint").alias("ends")
-    )
+    said = F.when(F.col("tag") | F.col("text"), F.col("text"))
+    marked = stage(along(marked, latest={"_before": said}))
+    begins = (F.col("tag") & F.coalesce("_before", F.lit(False))).cast("bigint")
+    counted = along(marked.select("file", "block", "line", "value", begins.alias("_begins")), sums={"record": F.col("_begins")})
+    return counted.withColumn("record", F.col("record") + F.col("_begins")).drop("_begins")
 
 
-def _read_strict(spark: SparkSession, paths, min_rows: int) -> DataFrame:
+def _read_strict(spark: SparkSession, paths, max_file: int) -> DataFrame:
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
-    return group_lines(line_states(lines, min_rows), min_rows)
+    # A listing, not a read: contents are not asked for.
+    sizes = spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length")
+    )
+    large = sizes.filter(F.col("length") > max_file)
+    if large.limit(1).count() == 0:
+        return group_lines(line_records(lines))
+    # The largest files are split; any other one is then less than a thousandth of the input.
+    hot = large.orderBy(F.desc("length"), "file").limit(HOT_KEYS).select("file")
+    return group_lines(line_records(lines, F.col("block"), hot, checkpointed))
 
 
-def group_lines(marked: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Lines with record-end marks -> records. A record's lines are few, so they may be gathered."""
-    counted = running(
-        marked, ["file"], ["block", "line"], bucket=F.col("block"), sums={"record": F.col("ends")}, min_rows=min_rows
-    )
+def group_lines(numbered: DataFrame) -> DataFrame:
+    """Numbered lines -> records. A record's lines are few, so they may be gathered."""
     rows = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    records = counted.groupBy("file", "record").agg(rows.alias("rows"))
+    records = numbered.groupBy("file", "record").agg(rows.alias("rows"))
     raw = F.array_join(F.transform("rows", lambda r: r["value"]), "\n")
     first = F.get("rows", F.lit(0))
     out = records.select("file", first["block"].alias("block"), first["line"].alias("line"), raw.alias("raw"))
-    return out.filter(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "")
+    return out.filter(F.col("raw").rlike(r"\S"))
 
 
 def needs_strict(records: DataFrame) -> DataFrame:
@@ -141,7 +153,8 @@ def records_of_texts(texts: DataFrame, name: str = "name", text: str = "text") -
         F.col(name).cast("string").alias("file"), F.lit(0).cast("bigint").alias("block"),
         F.posexplode(F.split(text, "\n")).alias("line", "value"),
     )
-    return group_lines(line_states(lines.withColumn("line", F.col("line").cast("bigint"))))
+    # A text is one row, so its lines are bounded.
+    return group_lines(line_records(lines.withColumn("line", F.col("line").cast("bigint"))))
 
 
 def records_from_text(spark: SparkSession, texts: list[str]) -> DataFrame:
