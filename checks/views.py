@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludograph.functions import columns as C
+from ludograph.session import shared_folder, spread
 from ludograph.operators.sequences import first_visit, horizon, position_index, states, with_final
 
 STEPS = ["click", "error", "purchase", "signup", "view"]
@@ -21,13 +21,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder beside the shared checkpoint folder (a local one only where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="ludograph-")
-    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new folder inside the shared one."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # ---- G: one row per order, read as a game -------------------------------------------------
@@ -60,7 +55,9 @@ g as (select *, case when white_elo is not null and black_elo is not null then l
 
 
 def games(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.sql(_G, **{t: table(spark, d, t) for t in _TABLES})
+    frames = {t: table(spark, d, t) for t in _TABLES}
+    frames["orders"] = spread(frames["orders"], "o_orderkey")
+    g = spark.sql(_G, **frames)
     return g.select(
         "*",
         C.min_rating("white_elo", "black_elo").alias("min_elo"),
@@ -200,7 +197,7 @@ DATE_SQL = """concat_ws('.', cast(cast(floor(date / 10000) as int) as varchar),
 
 def bodies(spark: SparkSession, d: str) -> DataFrame:
     """(k, body): movetext with comments, codes and nested variations."""
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    orders = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus"), "k")
     result = "case o_orderstatus when 'F' then '1-0' when 'O' then '0-1' else '1/2-1/2' end"
     return orders.select(
         "k",
@@ -273,9 +270,11 @@ def chess(spark: SparkSession, d: str) -> DataFrame:
     m = F.floor(k / len(LINES)) % F.size(line) + 1
     head = F.slice(line, F.lit(1), m.cast("int"))
     tokens = F.when(k % 6 == 0, F.concat(head, F.array(F.lit(ILLEGAL)))).otherwise(head)
-    return table(spark, d, "orders").select(
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), "o_orderkey")
+    return orders.select(
         k.alias("id"), tokens.alias("tokens"), F.lit(None).cast("string").alias("start_state"),
         F.expr("case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end").alias("result"),
+        (F.col("o_custkey") % 40).alias("w"),
     )
 
 
@@ -286,16 +285,14 @@ def named_lines(spark: SparkSession) -> DataFrame:
 def chess_records(spark: SparkSession, d: str) -> DataFrame:
     """(k, raw): the games of ``chess`` as record texts. Some repeat: names and rounds recur."""
     games = chess(spark, d)
-    owners = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("w"), (F.col("o_orderkey") % 4).alias("r")
-    )
+    games = games.withColumn("r", F.col("id") % 4)
     white = F.concat(F.lit("Player "), F.col("w").cast("string"))
     heads = C.headers(
         event=F.lit("Club"), site=F.lit(None).cast("string"), date=F.lit(20200000), round=F.col("r").cast("string"),
         white=white, black=F.concat(F.lit("Guest "), F.col("r").cast("string")), result="result",
     )
     text = C.wrap(C.movetext_of("tokens", C.result_text("result")))
-    return games.join(owners, "id").select(F.col("id").alias("k"), C.format_record(heads, text).alias("raw"))
+    return games.select(F.col("id").alias("k"), C.format_record(heads, text).alias("raw"))
 
 
 # The same games, one row per distinct record (first in order), with the opening of the played moves.

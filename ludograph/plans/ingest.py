@@ -19,7 +19,7 @@ from ludograph.operators.dims import dedupe, game_fingerprint, only_new
 from ludograph.operators.openings import classify
 from ludograph.operators.replay import index_rows, replay_games
 from ludograph.operators.sequences import validate
-from ludograph.session import checkpointed
+from ludograph.session import staged
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def facts(played: DataFrame, options: Options = Options()) -> DataFrame:
 def ingest(
     records: DataFrame, openings: DataFrame | None = None, options: Options = Options(), *,
     stored: DataFrame | None = None, keys: tuple[int, ...] | None = None, first_id: int = 1,
-    batch: int = 0, stage=checkpointed,
+    batch: int = 0, stage=staged,
 ) -> Ingested:
     """The whole import of one batch of (pos, raw) records.
 

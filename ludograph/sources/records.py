@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ludograph.functions import text as X
 from ludograph.functions.columns import col
 from ludograph.operators.skew import HOT_KEYS, running
-from ludograph.session import checkpointed
+from ludograph.session import staged
 
 MARK = "\n[Event "
 MAX_FILE = 256 << 20
@@ -128,7 +128,7 @@ def _read_strict(spark: SparkSession, paths, max_file: int) -> DataFrame:
         return group_lines(line_records(lines))
     # The largest files are split; any other one is then less than a thousandth of the input.
     hot = large.orderBy(F.desc("length"), "file").limit(HOT_KEYS).select("file")
-    return group_lines(line_records(lines, F.col("block"), hot, checkpointed))
+    return group_lines(line_records(lines, F.col("block"), hot, staged))
 
 
 def group_lines(numbered: DataFrame) -> DataFrame:
