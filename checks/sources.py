@@ -131,7 +131,7 @@ def ingest_games(spark, d):
     """Record texts -> replayed, named, de-duplicated games."""
     path = V.scratch(spark)
     _write_records(V.chess_records(spark, d), path)
-    done = ingest(R.numbered_records(R.read_records(spark, path)), openings_from_lines(V.named_lines(spark)))
+    done = ingest(R.read_records(spark, path), openings_from_lines(V.named_lines(spark)))
     return _facts(done.games)
 
 
@@ -144,7 +144,7 @@ def ingest_games(spark, d):
 def ingest_positions(spark, d):
     path = V.scratch(spark)
     _write_records(V.chess_records(spark, d), path)
-    done = ingest(R.numbered_records(R.read_records(spark, path)))
+    done = ingest(R.read_records(spark, path))
     # Line 7 is back at the start after four plies; games that end there have no row for it.
     return done.positions.groupBy("ply", F.col("result").cast("int").alias("result")).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("move") == C.MOVE_END).cast("bigint")).alias("ended")
@@ -160,7 +160,7 @@ def ingest_positions(spark, d):
 def ingest_statuses(spark, d):
     path = V.scratch(spark)
     _write_records(V.chess_records(spark, d), path)
-    done = ingest(R.numbered_records(R.read_records(spark, path)))
+    done = ingest(R.read_records(spark, path))
     return reports.ingest_report(done.statuses).drop("samples")
 
 

@@ -39,20 +39,20 @@ def clean(c: Column | str) -> Column:
     return F.when(~text.isin(UNKNOWN), text)
 
 
-def _int(text: Column) -> Column:
-    return text.try_cast("int")
-
-
 def parse_partial_date(c: Column | str) -> Column:
     """``2020.05.??`` -> 20200500. Unknown or impossible parts are 00, no year is NULL."""
-    text = col(c)
     pattern = r"(?s)^\s*(\d{4})(?:[.\-/](\d{2}|\?\?)[.\-/](\d{2}|\?\?).*|\s*)$"
-    year = _int(F.regexp_extract(text, pattern, 1))
-    month = _int(F.regexp_extract(text, pattern, 2))
-    day = _int(F.regexp_extract(text, pattern, 3))
-    month = F.when(month.between(1, 12), month).otherwise(0)
-    day = F.when((month > 0) & day.between(1, 31), day).otherwise(0)
-    return F.when(year.between(1000, 2999), year * 10000 + month * 100 + day)
+
+    def part(n: int) -> Column:
+        # Nothing and ``??`` read as 0; all other matches are digits.
+        return F.concat(F.lit("0"), F.replace(F.regexp_extract(col(c), pattern, n), F.lit("?"), F.lit("0"))).cast("int")
+
+    def number(p: Column) -> Column:
+        month = F.when(p["m"].between(1, 12), p["m"]).otherwise(0)
+        day = F.when((month > 0) & p["d"].between(1, 31), p["d"]).otherwise(0)
+        return F.when(p["y"].between(1000, 2999), p["y"] * 10000 + month * 100 + day)
+
+    return let(F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d")), number)
 
 
 def first_date(*candidates: Column | str) -> Column:
@@ -93,8 +93,9 @@ def date_bound(text: str, upper: bool) -> int | None:
 
 def parse_rating(c: Column | str) -> Column:
     """Leading integer within 1..3999, else NULL."""
-    n = F.regexp_extract(col(c), r"^\s*\+?(\d+)", 1).try_cast("bigint")
-    return F.when(n.between(1, 3999), n.cast("int"))
+    digits = F.concat(F.lit("0"), F.regexp_extract(col(c), r"^\s*\+?0*(\d{0,5})", 1))
+    n = digits.cast("int")
+    return F.when(n.between(1, 3999), n)
 
 
 def result_code(c: Column | str) -> Column:
@@ -205,7 +206,8 @@ def epd_key(c: Column | str) -> Column:
 def start_ply(c: Column | str) -> Column:
     """Ply number of a start position: from its move counter and the side to move."""
     parts = F.split(col(c), r"\s+")
-    number = F.regexp_extract(F.coalesce(F.get(parts, F.lit(5)), F.lit("1")), r"^(\d+)", 1).try_cast("int")
+    digits = F.regexp_extract(F.coalesce(F.get(parts, F.lit(5)), F.lit("1")), r"^(\d{1,6})", 1)
+    number = F.concat(F.lit("0"), digits).cast("int")
     number = F.when(number > 0, number).otherwise(1)
     return F.coalesce(
         (number - 1) * 2 + F.when(F.get(parts, F.lit(1)) == "b", 1).otherwise(0), F.lit(0)

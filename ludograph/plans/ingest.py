@@ -1,7 +1,7 @@
 """Records -> games and state index, as one batch plan.
 
-Shuffles: records are numbered per file split; after the replay (a map) the rows are staged once,
-because games, duplicates, names and the index all read them. From there only keys travel
+Shuffles: record text is never shuffled. Scanning and replaying are a map over the file splits; their
+rows are staged once, because numbers, duplicates, names and the index all read them. From there only keys travel
 (fingerprints, named states, names); whole game rows are shuffled once, by their sequence number,
 for the duplicate and the opening join together. The index is exploded from arrays inside each row.
 """
@@ -20,6 +20,7 @@ from ludograph.operators.openings import classify
 from ludograph.operators.replay import index_rows, replay_games
 from ludograph.operators.sequences import validate
 from ludograph.session import staged
+from ludograph.sources.records import numbered_records
 
 
 @dataclass(frozen=True)
@@ -46,17 +47,18 @@ SUB_BITS = 20  # room for games without tags inside one record
 
 
 def scan(records: DataFrame, options: Options = Options()) -> DataFrame:
-    """(pos, raw) -> one row per game with tags, tokens, annotated flag and result. Native columns."""
-    rows = records.select("pos", "raw", X.tag_section("raw").alias("head"))
-    rows = rows.select("pos", X.tags_of(F.col("head")).alias("tags"), X.body_of(F.col("raw"), F.col("head")).alias("body"))
-    rows = rows.select("pos", "tags", F.posexplode(X.split_by_result("body")).alias("sub", "body"))
+    """(file, block, line, raw) -> one row per game with tags, tokens, movetext if annotated, result."""
+    place = ["file", "block", "line"]
+    rows = records.select(*place, "raw", X.tag_section("raw").alias("head"))
+    rows = rows.select(*place, X.tags_of(F.col("head")).alias("tags"), X.body_of(F.col("raw"), F.col("head")).alias("body"))
+    rows = rows.select(*place, "tags", F.posexplode(X.split_by_result("body")).alias("sub", "body"))
     rows = rows.filter((F.col("sub") == 0) | (F.col("body") != ""))
     if not options.headerless:
         rows = rows.filter(F.col("sub") == 0)
     none = F.map_filter("tags", lambda k, v: F.lit(False))
     rows = rows.withColumn("main", X.mainline_text("body"))
     return rows.select(
-        F.shiftleft(F.col("pos"), SUB_BITS).bitwiseOR(F.col("sub")).alias("seq"),
+        *place, "sub",
         F.when(F.col("sub") == 0, F.col("tags")).otherwise(none).alias("tags"),
         (F.col("sub") > 0).alias("headerless"),
         X.moves_of(F.col("main")).alias("tokens"),
@@ -88,7 +90,7 @@ def facts(played: DataFrame, options: Options = Options()) -> DataFrame:
     elo_w, elo_b = C.parse_rating(tag("WhiteElo")), C.parse_rating(tag("BlackElo"))
     date = C.first_date(tag("Date"), tag("UTCDate"), tag("EventDate"))
     rows = played.select(
-        "seq", "headerless",
+        "file", "block", "line", "sub", "headerless",
         F.coalesce(C.clean(tag("White")), F.lit("?")).alias("white"),
         F.coalesce(C.clean(tag("Black")), F.lit("?")).alias("black"),
         C.clean(tag("Event")).alias("event"),
@@ -123,12 +125,12 @@ def ingest(
     stored: DataFrame | None = None, keys: tuple[int, ...] | None = None, first_id: int = 1,
     batch: int = 0, stage=staged,
 ) -> Ingested:
-    """The whole import of one batch of (pos, raw) records.
+    """The whole import of one batch of (file, block, line, raw) records.
 
     ``stored`` holds the fingerprints of earlier games; ``stage`` materialises a frame once in a
     shared folder.
     """
-    rows = stage(facts(replayed(scan(records, options), keys), options))
+    rows = _with_seq(stage(facts(replayed(scan(records, options), keys), options)))
     good = rows.filter(F.col("reason").isNull())
     kept = good
     if options.dedupe:
@@ -144,7 +146,6 @@ def ingest(
         )
         named = kept.join(classify(states, openings, ["seq"]).drop("named_ply"), "seq", "left")
     named = named.withColumn("eco", C.eco_or("eco_tag", "opening_eco")).drop("eco_tag")
-    # Row numbers follow seq; record numbers are dense, so ids are too where nothing was dropped.
     games = stage(_with_ids(named, first_id))
     positions = games.select(
         F.inline(index_rows(options.horizon)), F.col("id").alias("game_id"), "result", "elo", "year"
@@ -158,6 +159,13 @@ def ingest(
     return Ingested(games.drop("hashes", "reason"), positions, statuses)
 
 
+def _with_seq(rows: DataFrame) -> DataFrame:
+    """One number per game that follows file order."""
+    numbers = numbered_records(rows)
+    seq = F.shiftleft(F.col("pos"), SUB_BITS).bitwiseOR(F.col("sub"))
+    return numbers.withColumn("seq", seq).drop("file", "block", "line", "sub", "pos")
+
+
 def _with_ids(games: DataFrame, first_id: int) -> DataFrame:
     from ludograph.operators.skew import numbered
 

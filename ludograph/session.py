@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a scan of few partitions (one small file) a task per core; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, whatever folder they start in."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if getattr(context, "_ludograph_shipped", False) or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="ludograph-code-")) / "ludograph_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._ludograph_shipped = True

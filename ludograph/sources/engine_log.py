@@ -17,10 +17,10 @@ def parse_engine_log(
     text = F.regexp_replace(line, r" string .*$", "")
 
     def number(name: str):
-        return F.regexp_extract(text, rf" {name} (-?\d+)", 1).try_cast("int")
+        return F.nullif(F.regexp_extract(text, rf" {name} (-?\d+)", 1), F.lit("")).try_cast("int")
 
     kind = F.regexp_extract(text, r" score (cp|mate) (-?\d+)", 1)
-    value = F.regexp_extract(text, r" score (cp|mate) (-?\d+)", 2).try_cast("int")
+    value = F.nullif(F.regexp_extract(text, r" score (cp|mate) (-?\d+)", 2), F.lit("")).try_cast("int")
     value = F.when(F.col(turn) == "b", -value).otherwise(value)
     moves = F.split(F.trim(F.regexp_extract(text, r" pv (.+)$", 1)), " +")
     rows = df.filter(F.col(line).startswith("info ")).select(

@@ -59,16 +59,17 @@ def read_records(
 
 
 def numbered_records(records: DataFrame) -> DataFrame:
-    """Add ``pos``: the record's number over all files, in order of path, split and line.
+    """Add ``pos``: ascending numbers in order of path, split and line (gaps where lines were dropped).
 
-    Counted per file split; only the split totals are ordered in one place.
+    Lines count up within a split, so only each split's first and last line are needed: one small row
+    per split (of 128 MB, say) is put in order in one place and joined back.
     """
-    totals = records.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    spans = records.groupBy("file", "block").agg(F.min("line").alias("_first"), F.max("line").alias("_last"))
     earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("file", "block").orderBy("line")
-    rows = records.withColumn("_rn", F.row_number().over(inside)).join(offsets, ["file", "block"])
-    return rows.withColumn("pos", (F.col("_o") + F.col("_rn")).cast("bigint")).drop("_o", "_rn")
+    before = F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(earlier), F.lit(0))
+    offsets = spans.select("file", "block", (before - F.col("_first") + 1).alias("_shift"))
+    rows = records.join(offsets, ["file", "block"])
+    return rows.withColumn("pos", (F.col("line") + F.col("_shift")).cast("bigint")).drop("_shift")
 
 
 def _open_after(text: Column) -> Column:
