@@ -90,3 +90,19 @@ def dedupe(spark, d):
 def only_new(spark, d):
     m = marked(spark, d)
     return D.only_new(m.filter(F.col("doc_id") % 2 == 1), m.filter(F.col("doc_id") % 2 == 0)).select("doc_id")
+
+
+@check(
+    "snk_01c_star_schema",
+    f"""with {_MIXED}, st as (select lower(site) as k, arg_min(site, id) as name from g where id % 6 <> 0 and site is not null group by lower(site))
+    select mx.id, w.name as white, b.name as black, e.name as event, st.name as site, g.opening from mx join g using (id)
+    join dim w on w.name_key = lower(mx.white) join dim b on b.name_key = lower(mx.black) left join ev e on e.k = lower(mx.event)
+    left join st on g.id % 6 <> 0 and st.k = lower(g.site)""",
+)
+def star_schema(spark, d):
+    """Names -> ids -> names: every name comes back in its first spelling."""
+    from ludograph.plans.star import from_star, to_star
+
+    g = V.games(spark, d).select("id", F.when(F.col("id") % 6 != 0, F.col("site")).alias("site"), "opening", "eco")
+    named = mixed(spark, d).join(g, "id")
+    return from_star(to_star(named)).select("id", "white", "black", "event", "site", "opening")

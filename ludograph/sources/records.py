@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ludograph.functions import text as X
-from ludograph.functions.columns import col
+from ludograph.functions.columns import col, let
 from ludograph.operators.skew import HOT_KEYS, running
 from ludograph.session import staged
 
@@ -25,7 +25,7 @@ def decode_text(c: Column | str) -> Column:
     pairs = [(a, b) for a, b in zip(low, high) if b != "�"]
     western = F.translate(latin, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
     text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(western)
-    return F.regexp_replace(text, r"^\x{feff}|\r", "")
+    return _plain(text)
 
 
 def read_records(
@@ -44,17 +44,27 @@ def read_records(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
-        F.col("_metadata.file_block_start").alias("_start"),
         "value",
     )
-    cleaned = F.regexp_replace("value", r"^\x{feff}|\r", "")
-    # The separator is eaten; every record but the first of a file (which still has its own) gets it back.
-    whole = F.when(cleaned.rlike(r"^\s*(\[|%)") | ~cleaned.rlike(r'^"'), cleaned).otherwise(
-        F.concat(F.lit(MARK[1:]), cleaned)
-    )
-    return rows.select("file", "block", "line", whole.alias("raw")).filter(
+
+    def judged(raw: Column) -> Column:
+        # The separator is eaten: every record but the first of a file (which has its own) gets it back.
+        whole = F.when(raw.startswith('"'), F.concat(F.lit(MARK[1:]), raw)).otherwise(raw)
+        head = F.ltrim(F.substr(raw, F.lit(1), F.lit(200)), F.lit(" \t\r\n"))
         # Blank text and escape lines in front of the first tag are no record.
-        F.regexp_replace("raw", X.ESCAPE_LINE, "").rlike(r"\S")
+        odd = head.startswith("%") | (head == "")
+        empty = odd & ~F.regexp_replace(raw, X.ESCAPE_LINE, "").rlike(r"\S")
+        return F.when(~empty, whole)
+
+    rows = rows.select("file", "block", "line", let(_plain(F.col("value")), judged).alias("raw"))
+    return rows.filter(F.col("raw").isNotNull())
+
+
+def _plain(c: Column) -> Column:
+    """Without carriage returns and a leading byte order mark."""
+    return let(
+        F.replace(c, F.lit("\r"), F.lit("")),
+        lambda t: F.when(t.startswith("\ufeff"), F.substr(t, F.lit(2))).otherwise(t),
     )
 
 
@@ -91,7 +101,7 @@ def line_records(lines: DataFrame, bucket: Column | None = None, hot: DataFrame
     def along(df: DataFrame, **what) -> DataFrame:
         return running(df, ["file"], ["block", "line"], bucket=bucket, hot=hot, **what)
 
-    rows = lines.withColumn("value", F.regexp_replace("value", r"^\x{feff}|\r", ""))
+    rows = lines.withColumn("value", _plain(F.col("value")))
     line = F.col("value")
     from_outside = ~line.rlike(r"^[ \t]*[%\[]") & _open_after(line)
     from_inside = F.when(
