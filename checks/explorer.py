@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from checks import check
 from checks import views as V
-from ludograph.functions.columns import MOVE_END, move_to_uci, share
+from ludograph.functions.columns import MOVE_END, move_to_uci
 from ludograph.operators import explorer as E
 from ludograph.operators import reports
 from ludograph.operators.replay import index_rows, line_state
-from ludograph.operators.skew import top_k
 
 START = "0|0|0|0|0"
 FIRST = "1|0|0|0|0"  # after one click
