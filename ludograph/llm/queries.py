@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import read_table
+from ludograph.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,28 @@ def warc(spark: SparkSession, d: str) -> DataFrame:
     records = read_warc(write_warc(read_table(spark, d, "pages")), payloads=False)
     return records.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           page_of("refers_to").alias("refers_to"))
+
+
+@register("op2_toxicity")
+def toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, d, "labels")))
+    return scored.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register("op8_quality")
+def quality(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.quality import fit_quality, score_quality
+
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, read_table(spark, d, "labels")))
+    return scored.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register("op9_vector_dedup")
+def vector_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.vector_dedup import dedup_vectors
+
+    return dedup_vectors(read_table(spark, d, "embeddings"))
