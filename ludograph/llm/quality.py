@@ -10,7 +10,8 @@ The labelled vectors (at most ``max_rows`` of ``RANK`` floats), the axes and the
 and are broadcast. Ties between neighbours are all within one cosine and vote alike.
 
 Null and empty texts have no features; they get the share of label 1 among the labelled rows. Repeated rows score
-alike. With no labelled rows of either label, fitting raises an error. Columns named ``score`` or ``predicted`` are replaced.
+alike. Where the labelled rows have one label only, every score is that label; where there are none, every score is 1:
+without evidence nothing is bad. Columns named ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludograph.llm.common import prepare, slices
@@ -92,7 +93,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     order = sorted(range(rows.num_rows), key=lambda i: rows["counts"][i].as_py())
     label = rows["label"].to_numpy()[order]
     if not 0 < label.sum() < len(label):
-        raise ValueError("labelled rows of both labels are needed")
+        return {"constant": float(label[0]) if len(label) else 1.0}
     x = weigh(np.stack([np.frombuffer(rows["counts"][i].as_py(), np.float32) for i in order]), idf)
     axes = _axes(x)
     near = x @ axes
@@ -111,6 +112,8 @@ def _axes(x: np.ndarray, rounds: int = 4, seed: int = 3) -> np.ndarray:
 
 def vote(texts: pa.Array, model: dict) -> np.ndarray:
     """The share of label 1 among each text's nearest labelled vectors, weighted by cosine."""
+    if "constant" in model:
+        return np.full(len(texts), model["constant"])
     x = weigh(counts_of(texts), model["idf"]) @ model["axes"]
     size = np.linalg.norm(x, axis=1, keepdims=True)
     cosine = (x / np.maximum(size, 1e-12)) @ model["near"].T
@@ -122,9 +125,9 @@ def vote(texts: pa.Array, model: dict) -> np.ndarray:
     return np.where((total > 0) & (size[:, 0] > 0), np.clip(share, 0, 1), model["label"].mean()).astype(np.float64)
 
 
-def score_quality(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Add ``score`` (0 to 1, higher: more likely good) and ``predicted`` (1 if the score reaches the threshold)."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+def quality_score(spark: SparkSession, model: dict):
+    """The score as a function of a text column."""
+    shared = prepare(spark).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -132,5 +135,10 @@ def score_quality(docs: DataFrame, model: dict, text: str = "text", threshold: f
         out = [vote(column.slice(at, 200), shared.value) for at in range(0, len(column), 200)]
         return pd.Series(np.concatenate(out or [np.zeros(0)]))
 
-    kept = docs.drop("score", "predicted")
-    return kept.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score
+
+
+def score_quality(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """Add ``score`` (0 to 1, higher: more likely good) and ``predicted`` (1 if the score reaches the threshold)."""
+    scored = docs.drop("score", "predicted").withColumn("score", quality_score(docs.sparkSession, model)(F.col(text)))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -15,6 +15,7 @@ ORACLE: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SEPARATOR = 50256  # free in the rank file
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -109,3 +110,27 @@ def vector_dedup(spark: SparkSession, d: str) -> DataFrame:
     from ludograph.llm.vector_dedup import dedup_vectors
 
     return dedup_vectors(read_table(spark, d, "embeddings"))
+
+
+@register("op1_token_counts")
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.separators import count_tokens, write_flat_tokens
+
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    listed = write_flat_tokens(docs, content(RANKS), public_tokenizers.PATTERN, SEPARATOR)
+    counted = count_tokens(listed, SEPARATOR)
+    return listed.select("path", "ordinal", "doc_id").join(counted, ["path", "ordinal"]).select("doc_id", "n_tokens")
+
+
+@register("op5_weighted_minhash")
+def weighted_minhash(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.weighted_minhash import dedup_texts
+
+    return dedup_texts(read_table(spark, d, "documents").select("doc_id", "text"))
+
+
+@register("op7_decontaminate")
+def decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "benchmark"))

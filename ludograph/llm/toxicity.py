@@ -8,8 +8,8 @@ Adagrad. An unseen misspelling shares most n-grams with words seen in training,
 After training, a document's logit is the mean over its n-grams of one number a bucket, so scoring sends the workers only
 that table (``BUCKETS`` floats) and is a vectorised sum over whole texts; long texts are summed in pieces.
 
-Null and empty texts have no n-gram and get the score of the bias. Repeated rows score alike. With no labelled rows of
-either label, fitting raises an error. Columns named ``score`` or ``predicted`` are replaced.
+Null and empty texts have no n-gram and get the score of the bias. Repeated rows score alike. Where the labelled rows have
+one label only, every score is that label; where there are none, every score is 0: without evidence nothing is toxic. Columns named ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludograph.llm.common import prepare, slices
@@ -106,7 +106,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     rows = training_rows(docs, labels, "toxic", max_rows, TOXIC_SHARE).mapInArrow(bags, "used binary, share binary, label double").toArrow()
     label = rows["label"].to_numpy()
     if not 0 < label.sum() < len(label):
-        raise ValueError("labelled rows of both labels are needed")
+        return np.zeros(BUCKETS, np.float32), 50.0 if label.sum() else -50.0
     found = [(np.frombuffer(u, np.int32), np.frombuffer(s, np.float32)) for u, s in zip(rows["used"].to_pylist(), rows["share"].to_pylist())]
     order = sorted(range(len(found)), key=lambda i: (label[i], rows["used"][i].as_py(), rows["share"][i].as_py()))
     return train([found[i] for i in order], label[order])
@@ -127,9 +127,9 @@ def logits(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return sums / (grams + PRIOR) + bias
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1, higher: more likely toxic) and ``predicted`` (1 if the score is 0.5 or more)."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+def toxicity_score(spark: SparkSession, model: tuple[np.ndarray, float]):
+    """The score as a function of a text column."""
+    shared = prepare(spark).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -137,5 +137,10 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], text: str =
         out = [logits(column.slice(at, 200), *shared.value) for at in range(0, len(column), 200)]
         return pd.Series(1 / (1 + np.exp(-np.concatenate(out or [np.zeros(0)]))))
 
-    kept = docs.drop("score", "predicted")
-    return kept.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score
+
+
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
+    """Add ``score`` (0 to 1, higher: more likely toxic) and ``predicted`` (1 if the score is 0.5 or more)."""
+    scored = docs.drop("score", "predicted").withColumn("score", toxicity_score(docs.sparkSession, model)(F.col(text)))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
