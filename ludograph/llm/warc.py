@@ -100,7 +100,8 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload
         rows.where(large).groupBy(F.sha1("html").alias("sha"))
         .agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
     )
-    marked = hashed.join(firsts, "sha", "left")
+    # Written first, so that its size is known: while it is small, pages are marked where they are read.
+    marked = hashed.join(staged(firsts), "sha", "left")
     revisit = F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
     return staged(marked.select("key", "url", "html", revisit.alias("first")).mapInArrow(write, "path string, size long"))
 
