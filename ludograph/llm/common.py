@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ludograph.session import shared_folder, ship, staged
 
-__all__ = ["Recent", "exclusive_sums", "fold", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
+__all__ = ["Recent", "exclusive_sums", "fold", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -52,6 +53,42 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]):
+    """Tables of the rows with equal integer keys, from batches sorted by them; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        heads = np.flatnonzero((np.diff(values, axis=1) != 0).any(axis=0)) + 1
+        if last is not None and (last != values[:, 0]).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        bounds = [0, *heads.tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = values[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def local_roots(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a symmetric link matrix that have links, and the least id each reaches."""
+    root = ids.copy()
+    linked = np.flatnonzero(link.any(axis=1))
+    inner = link[np.ix_(linked, linked)]
+    while len(linked):
+        new = np.minimum(root[linked], np.where(inner, root[linked][None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (new == root[linked]).all():
+            break
+        root[linked] = new
+    return linked, root[linked]
+
+
 def exclusive_sums(df: DataFrame, order: list[str], value: str, out: str, block: Column) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows, by ``order``. ``block`` must rise with the order; it cuts
     the rows into pieces that are summed apart, so one task sees one piece, and one row per piece at the end."""
@@ -77,13 +114,13 @@ class Recent:
 
     def table(self, keys: set) -> dict:
         """A dictionary that holds every one of the keys."""
-        missing = keys - self.young.keys()
+        missing = keys.difference(self.young)
         if missing:
-            found = {k: self.old[k] for k in missing & self.old.keys()}
-            new = list(missing - found.keys())
+            found = {k: self.old[k] for k in missing if k in self.old}
+            new = list(missing.difference(found))
             found.update(zip(new, self.make(new), strict=True))
             if len(self.young) + len(found) > self.limit:
                 self.old, before = self.young, self.young
-                self.young = {k: before[k] for k in keys & before.keys()}
+                self.young = {k: before[k] for k in keys if k in before}
             self.young.update(found)
         return self.young

@@ -29,7 +29,7 @@ from ludograph.llm.elias_fano import EliasFano
 
 MAGIC = b"EFTOKEN1"
 MAX_IDS = 1 << 26
-CACHED = 300_000
+CACHED = 450_000
 _FOOT = struct.Struct("<QQQBQQ8s")  # documents, null ids, ids, bytes an id, bytes of ends, bytes of document ids
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 
@@ -63,8 +63,9 @@ class TextEncoder:
             owner = np.array(line.word_ids, dtype=np.int64)
             heads = np.flatnonzero(np.diff(owner, prepend=-1))
             if len(heads) == len(part) and all(map(str.isalpha, part)):
-                ids = np.array(line.ids, dtype=self.kind)
-                out += [x.tobytes() for x in np.split(ids, heads[1:])]
+                raw, size = self._bytes(line.ids), self.kind.itemsize
+                ends = [*(heads[1:] * size).tolist(), len(raw)]
+                out += [raw[a:b] for a, b in zip([0, *ends], ends)]
             else:
                 out += self._each(part)
         return out
