@@ -10,7 +10,8 @@
 Documents are only scanned, never shuffled. Items are broadcast in groups of at most ``ITEM_BYTES`` of text, checked
 beforehand; a larger benchmark takes several scans. The driver holds counts of one group's runs.
 
-Items without words and null or empty texts match nothing. An item shorter than a run is one run. Repeated items and
+Items without words and null or empty texts match nothing. An item shorter than a run matches only a text of just its words.
+A copy so edited that none of its seeds is left is not found. Repeated items and
 documents give a row for each pair. An empty benchmark or corpus gives no rows.
 """
 
@@ -27,7 +28,7 @@ from ludograph.llm.common import prepare, slices
 from ludograph.llm.words import gram_hashes, word_hashes
 
 GRAM = 3
-SPAN = 4
+SPAN = 2
 ITEM_BYTES = 16 << 20
 THRESHOLD = 0.5
 FILTER_BITS = 20

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import prepare, staged
+from ludograph.llm.common import local_roots, prepare, staged
 from ludograph.llm.components import components
 
 PIVOTS = 64
@@ -63,15 +63,8 @@ def _links(ids: np.ndarray, copies: np.ndarray, masks: np.ndarray, units: np.nda
     if left is not None:  # two chunks of a long list: only pairs across
         link &= left[:, None] != left[None, :]
     counts = link @ copies
-    root = ids.copy()
-    linked = np.flatnonzero(counts)
-    inner = link[np.ix_(linked, linked)]
-    while len(linked):
-        new = np.minimum(root[linked], np.where(inner, root[linked][None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (new == root[linked]).all():
-            break
-        root[linked] = new
-    return ids[linked], counts[linked], root[linked]
+    linked, root = local_roots(ids, link)
+    return ids[linked], counts[linked], root
 
 
 def dedup_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98,

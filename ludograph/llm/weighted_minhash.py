@@ -7,9 +7,9 @@ because it has copies, so that large groups of near copies would fall below the
 
 Steps: texts with equal words are one class, found by a 128-bit hash. ``BANDS`` x ``ROWS`` samples of each class give
 band keys. In a bucket every member is compared with the least id; members that are not near it are compared with all members
-of the bucket inside a join that emits only pairs whose 2-bit samples and total weights allow the threshold. Pairs within one known
-component are skipped, since they change no result. Every other candidate pair is verified by the exact weighted Jaccard
-similarity of the whole texts. Links make components. A pair at the threshold is found with probability 0.995, above it
+of the bucket, in blocks inside the tasks. Pairs whose 2-bit samples or total weights exclude the threshold are not verified,
+nor pairs within one known component, since they change no result. Every other candidate pair is verified by the exact weighted
+Jaccard similarity of the whole texts. Links make components. A pair at the threshold is found with probability 0.995, above it
 more; nothing is capped.
 
 Texts are read twice (frequencies, samples); only the texts of documents that share a bucket are shuffled on.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import prepare, slices, staged
+from ludograph.llm.common import groups, local_roots, prepare, slices, staged
 from ludograph.llm.components import components
 from ludograph.llm.words import gram_hashes, mix, word_hashes
 
@@ -38,6 +38,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 DIFFERENT = 16  # of SAMPLES 2-bit samples: at similarity 0.8 more differ with probability 2e-5
 BLOCK = 1 << 15
+CHUNK, CHUNK_WEIGHT = 300, 2e7  # texts, and their total weight (about 3 million words), in one part of a unit of work
 
 
 def buckets_of(words: np.ndarray) -> np.ndarray:
@@ -206,14 +207,11 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
 
     # Members that are not near their bucket's least id: against all others of the bucket.
     known = links.select(F.struct(F.col("a").alias("id"), F.col("atx").alias("tx")).alias("l"), F.struct(F.col("b").alias("id"), F.col("btx").alias("tx")).alias("k"))
-    far = star.withColumn("l", F.struct("lead.id", "lead.tx")).withColumn("k", F.struct("m.id", "m.tx")).join(known, ["l", "k"], "left_anti")
-    far = _with_root(far.select("band", "bucket", F.col("m").alias("f"), F.col("m.id").alias("node")), roots, "f_root")
-    near = _with_root(grouped.where("m.id != lead.id or m.tx != lead.tx").select("band", "bucket", "m", F.col("m.id").alias("node")), roots, "m_root")
-    more = far.join(near, ["band", "bucket"]).where(
-        ((F.col("f.id") != F.col("m.id")) | (F.col("f.tx") != F.col("m.tx"))) & (F.col("f_root") != F.col("m_root")) & _may_be_near("f", "m", threshold))
-    f, m = F.struct("f.id", "f.tx"), F.struct("m.id", "m.tx")
-    more = more.select(F.least(f, m).alias("a"), F.greatest(f, m).alias("b")).distinct()
-    further = verified(staged(more), texts, idf, threshold).select("a", "b")
+    star = star.withColumn("l", F.struct("lead.id", "lead.tx")).withColumn("k", F.struct("m.id", "m.tx"))
+    others = star.join(known.withColumn("linked", F.lit(True)), ["l", "k"], "left")
+    others = others.select("band", "bucket", "m.*", F.col("linked").isNull().alias("far"), F.col("m.id").alias("node"))
+    others = others.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    further = _further_links(staged(others), texts, idf, threshold)
     roots = components(links.select("a", "b").unionByName(further))
 
     classes = signed.select("id", "tx", "c1", "c2").distinct().join(reps.select("c1", "c2", F.col("r.id").alias("class_id")), ["c1", "c2"])
@@ -226,5 +224,66 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
                         F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _with_root(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    return rows.join(roots, "node", "left").withColumn(name, F.coalesce("root", "node")).drop("node", "root")
+UNIT = ["band", "bucket", "i", "j"]
+
+
+def _further_links(others: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (``a``, ``b``) between members of a bucket of which one is ``far`` from the bucket's least id, and which are not
+    in one component yet. A bucket is cut into chunks of bounded size, and every two chunks are one unit of work: first
+    the samples tell which members can have a partner at all, then those members' whole texts are compared, all at once.
+    Only local roots leave a unit, never its pairs."""
+    shared = prepare(others.sparkSession).sparkContext.broadcast(idf)
+    sizes = others.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.max("far").alias("any_far"))
+    sizes = sizes.where("n > 1 and any_far").drop("any_far")
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_WEIGHT)).cast("long")
+    cut = others.join(sizes, ["band", "bucket"]).withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("id", "tx"), F.col("chunks")))
+    cut = cut.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1L)")))
+    units = cut.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+
+    def possible(batches):
+        for t in groups(batches, UNIT):
+            far, root, w, p1, p2 = (t[c].to_numpy() for c in ("far", "root", "w", "p1", "p2"))
+            differ = np.bitwise_count(((p1[:, None] ^ p1[None, :]) | (p2[:, None] ^ p2[None, :])).view(np.uint64))
+            near = (differ <= DIFFERENT) & (root[:, None] != root[None, :]) & (far[:, None] | far[None, :])
+            near &= np.minimum(w[:, None], w[None, :]) >= np.maximum(w[:, None], w[None, :]) * (threshold - 1e-6)
+            yield from t.select([*UNIT, "id", "tx"]).filter(pa.array(near.any(axis=1))).combine_chunks().to_batches()
+
+    def compare(batches):
+        for t in groups(batches, UNIT):
+            grams, weights, place = weighted_shingles(*word_hashes(t["text"].combine_chunks()), shared.value)
+            at, root = local_roots(t["id"].to_numpy(), similarities(grams, weights, place) >= threshold - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(t["id"].to_numpy()[at]), pa.array(root)], names=["a", "b"])
+
+    narrow = units.select(*UNIT, "id", "tx", "far", "root", "w", "p1", "p2").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    wanted = staged(narrow.mapInArrow(possible, "band int, bucket long, i long, j long, id long, tx long"))
+    wide = wanted.join(texts, ["id", "tx"]).select(*UNIT, "id", "text").repartition(*UNIT).sortWithinPartitions(*UNIT, "id")
+    return staged(wide.mapInArrow(compare, "a long, b long"))
+
+
+def similarities(grams: np.ndarray, weights: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Exact weighted Jaccard similarities of all texts with each other. The common weight is a product of two matrices:
+    a column for each level of weight that a shingle has in some texts."""
+    n = len(place) - 1
+    owner = np.repeat(np.arange(n), np.diff(place))
+    order = np.lexsort((weights, grams))
+    g, w, o = grams[order], weights[order].astype(np.float64), owner[order]
+    head = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+    run = np.cumsum(head) - 1
+    begins = np.append(np.flatnonzero(head), len(g))
+    level = head.copy()
+    level[1:] |= w[1:] != w[:-1]
+    levels = np.flatnonzero(level & (np.diff(begins)[run] > 1 if len(g) else head))  # shingles of one text have no part
+    step = np.where(head[levels], w[levels], w[levels] - w[levels - 1])
+    common = np.zeros((n, n))
+    for a in range(0, len(levels), 2048):
+        some = levels[a : a + 2048]
+        ends = begins[run[some] + 1]  # texts from this level's place to the shingle's end weigh at least this much
+        column = np.repeat(np.arange(len(some)), ends - some)
+        row = o[np.repeat(some, ends - some) + np.arange(len(column)) - np.repeat(np.cumsum(ends - some) - (ends - some), ends - some)]
+        x = np.zeros((n, len(some)))
+        x[row, column] = 1.0
+        common += (x * step[a : a + 2048]) @ x.T
+    total = np.bincount(owner, weights=weights.astype(np.float64), minlength=n)
+    out = common / np.maximum(total[:, None] + total[None, :] - common, 1e-12)
+    np.fill_diagonal(out, 0)
+    return out
