@@ -193,7 +193,7 @@ def shares(spark, d):
     "agg_01_stats",
     f"""with {V.G}, {V.P} select (select cast(count(*) as bigint) from g) as games,
       (select cast(count(distinct n) as bigint) from (select lower(white) as n from g union all select lower(black) from g)) as players,
-      (select cast(count(distinct lower(event)) as bigint) from g) as events, (select cast(count(*) as bigint) from p) as positions, 3 as horizon""",
+      (select cast(count(distinct lower(event)) as bigint) from g) as events, (select cast(count(*) as bigint) from p) as positions, 60 as horizon""",
 )
 def stats(spark, d):
     return E.stats(V.games(spark, d), V.positions(spark, d), V.HORIZON)

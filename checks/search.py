@@ -22,7 +22,7 @@ def _filter(name: str, where: str, condition) -> None:
 
 
 _filter("flt_01_contains_ci", "contains(lower(event), 'ring')", lambda: S.contains_ci("event", "  RinG "))
-_filter("flt_01b_contains_literal", "contains(lower(white), '_00%')", lambda: S.contains_ci("white", "_00%"))
+_filter("flt_01b_contains_literal", "contains(lower(site), 'n_1')", lambda: S.contains_ci("site", "N_1"))
 _filter("flt_02_player", "contains(lower(white), '00001') or contains(lower(black), '00001')", lambda: S.player("00001"))
 _filter("flt_02b_player_white", "contains(lower(white), '#00000001')", lambda: S.player("#00000001", "white"))
 _filter("flt_02c_player_black", "contains(lower(black), '#00000001')", lambda: S.player("#00000001", "black"))

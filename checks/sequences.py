@@ -166,14 +166,13 @@ def move_keys(spark, d):
 
 @check(
     "seq_09_pack",
-    f"with {V.P} select game_id, string_agg(step, ' ' order by ply) as moves, cast(count(*) as int) as n from steps where ply <= 9 group by game_id",
+    f"with {V.P} select game_id, cast(ply // 1024 as int) as piece, string_agg(step, ' ' order by ply) as moves, cast(count(*) as int) as n from steps group by 1, 2",
 )
 def pack(spark, d):
-    # A record is bounded, so its steps may be gathered; user days are cut at ten steps for that.
-    rows = S.horizon(V.steps(spark, d), 9).select("game_id", "ply", "step")
-    packed = S.pack(rows, ["game_id"], "step")
-    back = S.unpack(packed, "moves", "step").groupBy("game_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return packed.select("game_id", F.array_join("moves", " ").alias("moves")).join(back, "game_id")
+    packed = S.pack(V.steps(spark, d).select("game_id", "ply", "step"), ["game_id"], "step")
+    piece = F.floor(F.col("ply") / S.PIECE).cast("int").alias("piece")
+    back = S.unpack(packed, "moves", "step").groupBy("game_id", piece).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return packed.select("game_id", "piece", F.array_join("moves", " ").alias("moves")).join(back, ["game_id", "piece"])
 
 
 @check(

@@ -227,21 +227,18 @@ def export(spark, d):
 
 @check(
     "snk_03_export_ids",
-    f"""with {_record_sql()}, ids as (select case when l_partkey % 7 = 0 then 'x' || cast(l_orderkey as varchar) else cast(l_orderkey * 2 as varchar) end as v, l_orderkey, l_partkey
-      from (select distinct l_orderkey, l_partkey from lineitem where l_suppkey = 3)),
-    p as (select v, row_number() over (order by l_orderkey, l_partkey) - 1 as pos from ids)
-    select cast(pos as int) as pos, rec.id, md5(record) as record from p join rec on cast(rec.id as varchar) = v""",
+    f"""with {_record_sql()}, ids as (select case when l_partkey % 7 = 0 then 'x' || cast(l_orderkey as varchar) else cast(l_orderkey * 2 as varchar) end as v,
+      l_orderkey * 10000000 + l_partkey as pos from (select distinct l_orderkey, l_partkey from lineitem))
+    select pos, rec.id, md5(record) as record from ids join rec on cast(rec.id as varchar) = v""",
 )
 def ids(spark, d):
     from checks.columns import record
 
-    line = V.table(spark, d, "lineitem").filter(F.col("l_suppkey") == 3).select("l_orderkey", "l_partkey").distinct()
+    line = V.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     v = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("x"), F.col("l_orderkey").cast("string"))).otherwise(
         (F.col("l_orderkey") * 2).cast("string")
     )
-    rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey", v.alias("v"))))
-    # A list as a caller would send it; the operator takes at most 100,000 ids.
-    listed = line.orderBy("l_orderkey", "l_partkey").limit(100_000).agg(F.transform(rows, lambda r: r["v"]).alias("ids"))
+    listed = line.select((F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).alias("pos"), v.alias("id"))
     return export_ids(listed, record(spark, d)).select("pos", "id", F.md5("record").alias("record"))
 
 

@@ -13,7 +13,7 @@ from ludograph.operators.sequences import first_visit, horizon, position_index,
 
 STEPS = ["click", "error", "purchase", "signup", "view"]
 END = "END"
-HORIZON = 3
+HORIZON = 60
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -205,7 +205,7 @@ def epd_key(c: Column | str) -> Column:
 
 def start_ply(c: Column | str) -> Column:
     """Ply number of a start position: from its move counter and the side to move."""
-    parts = F.split(col(c), r"\s+")
+    parts = F.split(F.regexp_replace(col(c), r"^\s+", ""), r"\s+")
     digits = F.regexp_extract(F.coalesce(F.get(parts, F.lit(5)), F.lit("1")), r"^(\d{1,6})", 1)
     number = F.concat(F.lit("0"), digits).cast("int")
     number = F.when(number > 0, number).otherwise(1)

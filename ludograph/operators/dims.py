@@ -36,6 +36,7 @@ def extend_dim(dim: DataFrame, names: DataFrame, name: str = "name", seq: str =
     first = names.groupBy(F.lower(name).alias("name_key")).agg(
         F.min_by(name, seq).alias("name"), F.min(seq).alias("seq")
     )
+    first = first.filter(F.col("name_key").isNotNull())
     fresh = numbered(first.join(keys, "name_key", "left_anti"), "seq", "_n", 1)
     top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_top"))
     # One row against all: the maximum travels as a scalar subquery, not as a join.

@@ -76,15 +76,21 @@ def position_index(plies: DataFrame, games: DataFrame, key: str = "game_id") ->
     return plies.join(facts, key).select("hash", "move", key, "ply", "result", "elo", "year")
 
 
+PIECE = 1024
+
+
 def pack(df: DataFrame, by: list[str], value: str, ply: str = "ply", name: str = "moves") -> DataFrame:
-    """Steps of each record in one ordered array. For records of bounded length only."""
+    """Steps of each record in ordered arrays, one for each ``piece`` of ``PIECE`` plies, so that no list grows
+    with its record."""
     rows = F.array_sort(F.collect_list(F.struct(ply, value)))
-    return df.groupBy(*by).agg(F.transform(rows, lambda r: r[value]).alias(name))
+    piece = F.floor(F.col(ply) / PIECE).cast("int").alias("piece")
+    return df.groupBy(*by, piece).agg(F.transform(rows, lambda r: r[value]).alias(name))
 
 
 def unpack(df: DataFrame, array: str = "moves", value: str = "move", ply: str = "ply") -> DataFrame:
-    rest = [c for c in df.columns if c != array]
-    return df.select(*rest, F.posexplode(array).alias(ply, value))
+    rest = [c for c in df.columns if c not in (array, "piece")]
+    rows = df.select(*rest, "piece", F.posexplode(array).alias(ply, value))
+    return rows.withColumn(ply, F.col(ply) + F.col("piece") * PIECE).select(*rest, ply, value)
 
 
 def step_hash(df: DataFrame, by: list[str], key: str, name: str = "hash") -> DataFrame:
@@ -102,8 +108,8 @@ def validate(
     found by the replay job.
     """
     variant = F.lower(F.element_at(tags, "Variant"))
-    board = F.split(F.substring_index(start_state, " ", 1), "/")
-    fields = F.split(F.trim(start_state), r"\s+")
+    fields = F.split(F.regexp_replace(start_state, r"^\s+|\s+$", ""), r"\s+")
+    board = F.split(F.get(fields, F.lit(0)), "/")
     widths = F.transform(board, lambda r: F.length(_spread(r)))
     odd = F.exists(board, lambda r: ~r.rlike("^[pnbrqkPNBRQK1-8]+$"))
     whole = F.array_join(board, "")

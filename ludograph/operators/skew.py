@@ -1,8 +1,7 @@
 """Helpers that keep hot keys from landing in one task.
 
-Hot keys are found by a pre-aggregated count and bounded in number: at most ``max_keys`` of them, the
-largest first, so a key that is *not* in the list holds less than 1/``max_keys`` of all rows. That
-bound is what makes the list safe to broadcast and the ordinary path safe to window.
+Hot keys are found by a pre-aggregated count: all keys with more than ``min_rows`` rows, so the
+ordinary path never windows a longer sequence. Their list is joined by measured size.
 """
 
 from __future__ import annotations
@@ -11,13 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
 
 
-def hot_keys(df: DataFrame, by: list[str], min_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS) -> DataFrame:
-    """Keys with more than ``min_rows`` rows; never more than ``max_keys`` of them."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
-    return counts.orderBy(F.desc("_n"), *by).limit(max_keys).select(*by)
+def hot_keys(df: DataFrame, by: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """All keys with more than ``min_rows`` rows."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows).select(*by)
 
 
 def running(
@@ -49,8 +46,7 @@ def running(
     part = list(by)
     if bucket is not None:
         keys = hot_keys(df, by, min_rows) if hot is None else hot
-        # At most ``HOT_KEYS`` rows, see ``hot_keys``.
-        work = work.join(F.broadcast(keys.withColumn("_hot", F.lit(True))), by, "left")
+        work = work.join(keys.withColumn("_hot", F.lit(True)), by, "left")
         work = work.withColumn("_bucket", F.when(F.col("_hot"), bucket.cast("bigint"))).drop("_hot")
         part.append("_bucket")
     ordered = Window.partitionBy(*part).orderBy(*order)

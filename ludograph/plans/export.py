@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ludograph.functions import columns as C
 
-MAX_IDS = 100_000  # fixed value: longest id list of one export
-
 
 def record_text(games: DataFrame, tags: str | None = "tags", start_state: str | None = "start_state") -> DataFrame:
     """(id, record): annotated games keep their movetext, the others get it from their moves."""
@@ -28,11 +26,9 @@ def export_pgn(records: DataFrame, path: str) -> None:
 
 
 def export_ids(ids: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
-    """Records of a list of ids (column ``ids`` array<string|bigint>, one row), in the list's order.
-
-    Texts that are not whole numbers and unknown ids drop out; a list is at most 100,000 long.
+    """Records of a list of ids, in the list's order. The list is a frame of ``pos`` and ``id`` (text or number) of any
+    length. Texts that are not whole numbers and unknown ids drop out.
     """
-    listed = ids.select(F.posexplode(F.slice("ids", 1, MAX_IDS)).alias("pos", "_id"))
-    text = F.trim(F.col("_id").cast("string"))
-    whole = listed.select("pos", F.when(text.rlike(r"^\d+$"), text).try_cast("bigint").alias(key)).filter(F.col(key).isNotNull())
+    text = F.trim(F.col("id").cast("string"))
+    whole = ids.select("pos", F.when(text.rlike(r"^\d+$"), text).try_cast("bigint").alias(key)).filter(F.col(key).isNotNull())
     return whole.join(records, key).orderBy("pos")

@@ -163,6 +163,7 @@ def _with_seq(rows: DataFrame) -> DataFrame:
     """One number per game that follows file order."""
     numbers = numbered_records(rows)
     seq = F.shiftleft(F.col("pos"), SUB_BITS).bitwiseOR(F.col("sub"))
+    seq = F.when(F.col("sub") < 1 << SUB_BITS, seq).otherwise(F.raise_error(F.lit("too many games in one record")).cast("bigint"))
     return numbers.withColumn("seq", seq).drop("file", "block", "line", "sub", "pos")
 
 

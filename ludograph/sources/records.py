@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ludograph.functions import text as X
 from ludograph.functions.columns import col, let
-from ludograph.operators.skew import HOT_KEYS, running
+from ludograph.operators.skew import running
 from ludograph.session import staged
 
 MARK = "\n[Event "
@@ -29,17 +29,31 @@ def decode_text(c: Column | str) -> Column:
 
 
 def read_records(
-    spark: SparkSession, paths: str | list[str], strict: bool = False, max_file: int = MAX_FILE
+    spark: SparkSession, paths: str | list[str], strict: bool | None = None, max_file: int = MAX_FILE
 ) -> DataFrame:
     """(file, block, line, raw): one row per record, ordered by the first three.
 
     The fast way cuts at ``[Event `` lines while reading, so one large file is split over many tasks.
-    It assumes Event is the first tag, as in almost all files. ``strict`` reads lines and cuts where a
-    tag line follows movetext outside comments. There a file is worked on as a whole up to ``max_file``
-    bytes; a larger one by its splits, joined up by totals.
+    It is right where Event is the first tag and stands in no comment, as in almost all files. ``strict``
+    reads lines and cuts where a tag line follows movetext outside comments. There a file is worked on as
+    a whole up to ``max_file`` bytes; a larger one by its splits, joined up by totals. By default all files
+    are looked through the fast way first, and those it would cut wrongly are read strictly.
+
+    Records that are not valid UTF-8 are taken as Windows-1252.
     """
     if strict:
         return _read_strict(spark, paths, max_file)
+    fast = _read_fast(spark, paths)
+    if strict is False:
+        return fast
+    # Names of files, as the driver's own listing holds them.
+    odd = sorted(r["file"] for r in needs_strict(fast).collect())
+    if not odd:
+        return fast
+    return fast.filter(~F.col("file").isin(odd)).unionByName(_read_strict(spark, odd, max_file))
+
+
+def _read_fast(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = spark.read.option("lineSep", MARK).text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -49,14 +63,14 @@ def read_records(
 
     def judged(raw: Column) -> Column:
         # The separator is eaten: every record but the first of a file (which has its own) gets it back.
-        whole = F.when(raw.startswith('"'), F.concat(F.lit(MARK[1:]), raw)).otherwise(raw)
+        whole = F.when(raw.rlike('^[ \t]*"'), F.concat(F.lit(MARK[1:]), raw)).otherwise(raw)
         head = F.ltrim(F.substr(raw, F.lit(1), F.lit(200)), F.lit(" \t\r\n"))
         # Blank text and escape lines in front of the first tag are no record.
         odd = head.startswith("%") | (head == "")
         empty = odd & ~F.regexp_replace(raw, X.ESCAPE_LINE, "").rlike(r"\S")
         return F.when(~empty, whole)
 
-    rows = rows.select("file", "block", "line", let(_plain(F.col("value")), judged).alias("raw"))
+    rows = rows.select("file", "block", "line", let(decode_text(F.col("value").cast("binary")), judged).alias("raw"))
     return rows.filter(F.col("raw").isNotNull())
 
 
@@ -128,7 +142,7 @@ def _read_strict(spark: SparkSession, paths, max_file: int) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
-        "value",
+        decode_text(F.col("value").cast("binary")).alias("value"),
     )
     # A listing, not a read: contents are not asked for.
     sizes = spark.read.format("binaryFile").load(paths).select(
@@ -137,9 +151,7 @@ def _read_strict(spark: SparkSession, paths, max_file: int) -> DataFrame:
     large = sizes.filter(F.col("length") > max_file)
     if large.limit(1).count() == 0:
         return group_lines(line_records(lines))
-    # The largest files are split; any other one is then less than a thousandth of the input.
-    hot = large.orderBy(F.desc("length"), "file").limit(HOT_KEYS).select("file")
-    return group_lines(line_records(lines, F.col("block"), hot, staged))
+    return group_lines(line_records(lines, F.col("block"), large.select("file"), staged))
 
 
 def group_lines(numbered: DataFrame) -> DataFrame:
@@ -153,8 +165,10 @@ def group_lines(numbered: DataFrame) -> DataFrame:
 
 
 def needs_strict(records: DataFrame) -> DataFrame:
-    """Files where the fast way is not safe: a record holds a second tag section after movetext."""
-    odd = F.regexp_replace("raw", r"\{[^}]*(?:\}|\z)", " ").rlike(r"(?s)^\s*(?:\[[^\n]*+\n\s*)*+[^\[%\s].*\n[ \t]*\[\w+ +\"")
+    """Files where the fast way is not safe: a record holds a second tag section after movetext, or ends in a comment."""
+    shown = F.regexp_replace("raw", r"\{[^}]*\}", " ")
+    again = shown.rlike(r"(?s)^\s*(?:\[[^\n]*+\n\s*)*+[^\[%\s].*\n[ \t]*\[\w+[ \t]+\"")
+    odd = again | F.regexp_replace(shown, r"(?m);.*$", "").contains("{")
     return records.filter(odd).select("file").distinct()
 
 
