@@ -41,16 +41,16 @@ def test_result(spark, text, want):
 
 def test_tags(spark):
     text = (
-        '﻿% by hand\n[Event "He said \\"hi\\" \\\\ [x]"]\r\n[White "A "B" C"]\n[ Site  "s" ]\n[Round "1"]\n[Round "2"]\n[Empty ""]\n'
-        '\n1. e4 {[Not "a tag"]} e5 *'
+        '﻿% typed in\n[Event "Cup \\"Kiel\\" \\\\ [b]"]\r\n[White "Ole "Tau" Berg"]\n[ Site  "pier" ]\n[Round "4"]\n[Round "5"]\n[Empty ""]\n'
+        '\n1. c4 {[Not "one"]} c5 *'
     )
     tags = one(spark, text, X.tags)
-    assert tags["Event"] == 'He said "hi" \\ [x]'
-    assert tags["White"] == 'A "B" C'
-    assert tags["Round"] == "2" and tags["Empty"] == "" and tags["Site"] == "s"
+    assert tags["Event"] == 'Cup "Kiel" \\ [b]'
+    assert tags["White"] == 'Ole "Tau" Berg'
+    assert tags["Round"] == "5" and tags["Empty"] == "" and tags["Site"] == "pier"
     assert "Not" not in tags
-    assert one(spark, text, X.movetext) == '1. e4 {[Not "a tag"]} e5 *'
-    assert one(spark, '[A "x]"]\n[B "y"]\n\n1. e4 *\n', X.movetext) == "1. e4 *"
+    assert one(spark, text, X.movetext) == '1. c4 {[Not "one"]} c5 *'
+    assert one(spark, '[Site "pier 4]"]\n[Board "7"]\n\n1. c4 *\n', X.movetext) == "1. c4 *"
     assert one(spark, "1. e4 *", X.tags) == {}
 
 
@@ -69,10 +69,11 @@ def test_nags_and_comments(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("1. e4 e5 1-0\n\n1. d4 d5 0-1\n1. c4 1/2-1/2", ["e4 e5", "d4 d5", "c4"]),
-    ("1. e4 e5 1-0 {White wins on time}", ["e4 e5"]),
-    ("1. e4 1-0 $1", ["e4"]),
-    ("e4 (d4 1-0) e5 * {1-0} *", ["e4 e5", ""]),
+    ("1. Nf3 d5 2. g3 * 1. b3 0-1\n\n\n1. f4 f5 1-0", ["Nf3 d5 g3", "b3", "f4 f5"]),
+    ("1. b4 e5 0-1 {the clock ran out} ; late\n", ["b4 e5"]),
+    ("1. f4 0-1 $5", ["f4"]),
+    ("c4 (d4 0-1 (Nf3)) c5 1/2 {0-1} 1-0", ["c4 c5", ""]),
+    ("", [""]),
 ])
 def test_split(spark, text, want):
     got = one(spark, text, lambda c: F.transform(X.split_by_result(c), X.mainline_tokens))
@@ -80,27 +81,27 @@ def test_split(spark, text, want):
 
 
 def test_commands(spark):
-    c = one(spark, "Nice move [%clk 0:03:21] [%eval 0.35] [%cal Ge2e4,Rd7d5] [%csl Yd4]", X.comment_commands)
-    assert (c["text"], c["clock"], c["eval"]) == ("Nice move", "03:21", "0.35")
-    assert [tuple(a) for a in c["arrows"]] == [("#15781b", "e2", "e4"), ("#882020", "d7", "d5")]
-    assert [tuple(a) for a in c["highlights"]] == [("#e68f00", "d4")]
-    c = one(spark, "[%clk 1:00:00]", X.comment_commands)
-    assert c["text"] == "" and c["clock"] == "1:00:00" and c["eval"] is None
+    c = one(spark, "[%eval -1.20,18] quiet [%clk 0:00:09.5] but [%csl Ra1,Xa2] firm [%cal Bh1h8]", X.comment_commands)
+    assert (c["text"], c["clock"], c["eval"]) == ("quiet but firm", "00:09", "-1.20")
+    assert [tuple(a) for a in c["arrows"]] == [("#003088", "h1", "h8")]
+    assert [tuple(a) for a in c["highlights"]] == [("#882020", "a1")]
+    c = one(spark, "[%clk 2:15:07]", X.comment_commands)
+    assert c["text"] == "" and c["clock"] == "2:15:07" and c["eval"] is None
 
 
 def test_tree(spark):
-    nodes = one(spark, "{start} 1. e4 {main} ({Or} 1. d4 d5 $2) (1. c4 (1. b3 !)) 1... e5 *", T.tree)
+    nodes = one(spark, "{first} 1. c4 {wide} 1... e5 (1... c5 $6 2. g3 (2. b3?)) ({quiet} 1... b6) 2. Nc3 *", T.tree)
     got = [(n["node"], n["parent"], n["variation"], n["depth"], n["ply"], n["san"], n["child_ix"]) for n in nodes]
     assert got == [
-        (1, 0, 0, 0, 1, "e4", 0), (2, 0, 1, 1, 1, "d4", 1), (3, 2, 1, 1, 2, "d5", 0), (4, 0, 2, 1, 1, "c4", 2),
-        (5, 0, 3, 2, 1, "b3", 3), (6, 1, 0, 0, 2, "e5", 0),
+        (1, 0, 0, 0, 1, "c4", 0), (2, 1, 0, 0, 2, "e5", 0), (3, 1, 1, 1, 2, "c5", 1), (4, 3, 1, 1, 3, "g3", 0),
+        (5, 3, 2, 2, 3, "b3", 1), (6, 1, 3, 1, 2, "b6", 2), (7, 2, 0, 0, 3, "Nc3", 0),
     ]
-    assert nodes[1]["start_comment"] == "Or" and nodes[0]["comment"] == "main"
-    assert nodes[2]["nags"] == [2] and nodes[4]["nags"] == [1]
-    assert one(spark, "{start} 1. e4", T.root_comment) == "start"
-    repeat = one(spark, "1. e4 (1. e4 e5 2. Nf3) 1... c5 2. Nf3 *", T.tree)
-    assert [n["san"] for n in repeat if n["variation"] == 0] == ["e4", "c5", "Nf3"]
-    assert one(spark, "(1. d4) 1. e4", T.count_nodes) == 1
+    assert nodes[5]["start_comment"] == "quiet" and nodes[0]["comment"] == "wide"
+    assert nodes[2]["nags"] == [6] and nodes[4]["nags"] == [2]
+    assert one(spark, "{first} 1. c4", T.root_comment) == "first"
+    same = one(spark, "1. d4 d5 2. c4 (2. c4 dxc4) 2... e6 *", T.tree)  # a variation that begins like the main line
+    assert [n["san"] for n in same if n["variation"] == 0] == ["d4", "d5", "c4", "e6"]
+    assert one(spark, "(1. f4) 1. c4", T.count_nodes) == 1
 
 
 def test_wrap(spark):
