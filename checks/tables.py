@@ -73,3 +73,39 @@ def stored_changes(spark, d):
     now = store.read()
     store.rewrite(T.delete_games(now, now.games.filter(F.col("id") % 4 == 0)))
     return store.read().positions
+
+
+def changed(spark, d):
+    """Two additions, a deletion by marks and a replacement."""
+    store = T.Store(spark, V.scratch(spark))
+    t = tables(spark, d)
+    facts = t.games.withColumn("date", F.col("year"))
+    for part in (0, 1):
+        store.append(
+            T.Tables(facts.filter(F.col("id") % 2 == part), t.positions.filter(F.col("game_id") % 2 == part)), V.HORIZON
+        )
+    store.delete(facts.filter(F.col("id") % 4 == 0))
+    new = facts.filter(F.col("id") % 4 == 1).withColumn("result", F.lit(3))
+    store.replace(T.Tables(new, t.positions.filter(F.col("game_id") % 4 == 1).withColumn("result", F.lit(3))))
+    return store
+
+
+_CHANGED = "hash, move, game_id, cast(ply as bigint) as ply, case when game_id % 4 = 1 then 3 else result end as result, elo, year from p where game_id % 4 <> 0"
+
+
+@check("dml_06_marked_changes", f"with {V.P} select {_CHANGED}")
+def marked_changes(spark, d):
+    return changed(spark, d).read().positions
+
+
+@check("dml_07_compacted", f"with {V.P} select {_CHANGED}")
+def compacted(spark, d):
+    store = changed(spark, d)
+    store.compact()
+    store.vacuum()
+    return store.read().positions
+
+
+@check("dml_08_stored_counts", f"with {V.P} select cast(4 as bigint) as version, (select count(*) from facts where game_id % 4 <> 0) as games, count(*) as positions, (select max(game_id) from facts) as top from p where game_id % 4 <> 0")
+def stored_counts(spark, d):
+    return changed(spark, d).meta().orderBy(F.desc("version")).limit(1).select("version", "games", "positions", "top")

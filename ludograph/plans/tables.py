@@ -1,8 +1,10 @@
 """The stored tables: versions of plain Parquet folders, additions, replacements, deletions.
 
-Layout: ``path/games/v=3/...``, ``path/positions/v=3/...`` and a small append-only ``path/meta`` with
-one row per version, written last, so a failed job changes nothing that readers see. An addition
-writes new rows only; a replacement or deletion writes a new base, from which readers start.
+Layout: ``path/games/v=3/...``, ``path/positions/v=3/...``, ``path/deleted/v=4/...`` and a small append-only ``path/meta``
+with one row per version, written last, so a failed job changes nothing that readers see: they read the folders that
+meta names. An addition writes new rows only; a deletion writes the ids that are gone, a replacement ids and new rows; both
+hide rows of earlier versions. ``compact`` writes what is left as a new base, from which readers start, and ``vacuum``
+removes the folders before it. One writer at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from ludograph.operators.sequences import horizon as cut_horizon
 
 META = "version bigint, base bigint, horizon int, games bigint, positions bigint, batch bigint"
+STORED = f"{META}, top bigint, kind string"  # largest id so far; what the version holds: rows, marks or both
 
 
 @dataclass(frozen=True)
@@ -55,10 +58,13 @@ def replace_games(tables: Tables, games: DataFrame, positions: DataFrame, key: s
 def merge_positions(index: DataFrame, new: DataFrame) -> DataFrame:
     """Add state rows whose (hash, move, game) is not in the index yet.
 
-    A start state's key is shared by every game, but the join key includes the game, so it spreads.
+    A start state's key is shared by every game, but the join key includes the game, so it spreads. The index is cut to
+    the games of the new rows first, by a join that is broadcast where they are few.
     """
     keys = ["hash", "move", "game_id"]
-    fresh = new.dropDuplicates(keys).join(index.select(*keys), keys, "left_anti")
+    fresh = new.dropDuplicates(keys)
+    held = index.select(*keys).join(new.select("game_id").distinct(), "game_id", "left_semi")
+    fresh = fresh.join(held, keys, "left_anti")
     return index.unionByName(fresh)
 
 
@@ -105,8 +111,8 @@ class Store:
 
     def meta(self) -> DataFrame:
         if not self._exists():
-            return self.spark.createDataFrame([], META)
-        return self.spark.read.schema(META).parquet(f"{self.path}/meta")
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(f"{self.path}/meta")
 
     def current(self):
         return self.meta().orderBy(F.desc("version")).first()
@@ -114,31 +120,48 @@ class Store:
     def has_batch(self, batch: int) -> bool:
         return self.meta().filter(F.col("batch") == batch).limit(1).count() > 0
 
-    def _table(self, name: str, base: int, version: int) -> DataFrame:
-        rows = self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
-        # Versions are folders: the condition prunes whole folders.
-        return rows.filter(F.col("v").between(base, version)).drop("v")
+    def _folders(self, name: str, versions: list[int]) -> DataFrame:
+        paths = [f"{self.path}/{name}/v={v}" for v in versions]
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
+
+    def _table(self, name: str, last) -> DataFrame:
+        span = self.meta().filter(F.col("version").between(last["base"], last["version"])).select("version", "kind").collect()
+        rows = self._folders(name, sorted(r["version"] for r in span if r["kind"] != "marks"))
+        marked = sorted(r["version"] for r in span if r["kind"] != "rows")
+        if not marked:
+            return rows.drop("v")
+        gone = self._folders("deleted", marked).groupBy(F.col("id").alias("_gone")).agg(F.max("v").alias("_at"))
+        key = "id" if name == "games" else "game_id"
+        return rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col("v") < F.col("_at")), "left_anti").drop("v")
 
     def read(self) -> Tables:
         last = self.current()
         if last is None:
             raise ValueError("nothing is stored yet")
-        return Tables(
-            self._table("games", last["base"], last["version"]), self._table("positions", last["base"], last["version"])
-        )
+        return Tables(self._table("games", last), self._table("positions", last))
 
     def table(self, name: str) -> DataFrame:
-        last = self.current()
-        return self._table(name, last["base"], last["version"])
+        return self._table(name, self.current())
 
-    def _write(self, tables: Tables, version: int) -> Tables:
+    def _write(self, tables: Tables, version: int) -> tuple[int, int, int]:
+        """Write a version's rows; returns the numbers of games and positions, and the largest id."""
         by_date(tables.games).write.mode("overwrite").parquet(f"{self.path}/games/v={version}")
         clustered(tables.positions).write.mode("overwrite").parquet(f"{self.path}/positions/v={version}")
-        return Tables(self._table("games", version, version), self._table("positions", version, version))
-
-    def _commit(self, version: int, base: int, n: int, batch: int | None) -> None:
-        stored = Tables(self._table("games", base, version), self._table("positions", base, version))
-        counts(stored, version, n, batch, base).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
+        games = self._folders("games", [version]).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).first()
+        return games["n"], self._folders("positions", [version]).count(), games["top"] or 0
+
+    def _mark(self, ids: DataFrame, key: str, version: int) -> tuple[int, int]:
+        """Write the stored ones of the ids as gone; returns how many games and positions they have. Of the stored
+        tables, this reads the id columns only."""
+        gone = ids.select(F.col(key).alias("id")).distinct()
+        hit = self.table("games").select("id").join(gone, "id", "left_semi")
+        hit.write.mode("overwrite").parquet(f"{self.path}/deleted/v={version}")
+        marks = self._folders("deleted", [version]).select(F.col("id").alias("game_id"))
+        return marks.count(), self.table("positions").select("game_id").join(marks, "game_id", "left_semi").count()
+
+    def _commit(self, version: int, base: int, n: int, games: int, positions: int, batch: int | None, top: int, kind: str) -> None:
+        row = (version, base, n, games, positions, -1 if batch is None else batch, top, kind)
+        self.spark.createDataFrame([row], STORED).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
 
     def _next(self, n: int | None) -> tuple[int, int, int]:
         last = self.current()
@@ -151,17 +174,55 @@ class Store:
     def append(self, new: Tables, n: int | None = None, batch: int | None = None) -> int:
         """Store additional rows; nothing stored before is read or rewritten."""
         version, base, n = self._next(n)
-        self._write(new, version)
-        self._commit(version, base, n, batch)
+        last = self.current()
+        games, positions, top = self._write(new, version)
+        if last is not None:
+            games, positions, top = games + last["games"], positions + last["positions"], max(top, last["top"])
+        self._commit(version, base, n, games, positions, batch, top, "rows")
+        return version
+
+    def delete(self, ids: DataFrame, key: str = "id") -> int:
+        """Hide games and their state rows. Ids that are not stored are ignored."""
+        version, base, n = self._next(None)
+        last = self.current()
+        games, positions = self._mark(ids, key, version)
+        self._commit(version, base, n, last["games"] - games, last["positions"] - positions, None, last["top"], "marks")
+        return version
+
+    def replace(self, new: Tables, key: str = "id") -> int:
+        """Swap records, keeping their ids. An id that is not stored is an error."""
+        if not unknown_ids(self.read(), new.games, key).isEmpty():
+            raise ValueError("a game to replace is not stored")
+        version, base, n = self._next(None)
+        last = self.current()
+        less = self._mark(new.games, key, version)
+        games, positions, top = self._write(new, version)
+        self._commit(version, base, n, last["games"] - less[0] + games, last["positions"] - less[1] + positions, None, max(top, last["top"]), "both")
         return version
 
     def rewrite(self, tables: Tables, n: int | None = None) -> int:
         """Store a changed state of the tables as the new base."""
         version, _, n = self._next(n)
-        self._write(tables, version)
-        self._commit(version, version, n, None)
+        last = self.current()
+        games, positions, top = self._write(tables, version)
+        self._commit(version, version, n, games, positions, None, max(top, last["top"] if last else 0), "rows")
         return version
 
+    def compact(self) -> int:
+        """Write what is left of all versions as one base: lookups open the files of one version again."""
+        return self.rewrite(self.read())
+
+    def vacuum(self) -> None:
+        """Remove the folders of versions before the current base. Jobs that still read them must have ended."""
+        base, jvm = self.current()["base"], self.spark._jvm
+        for name in ("games", "positions", "deleted", "explorer"):
+            root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for found in files.listStatus(root) if files.exists(root) else []:
+                folder = found.getPath()
+                if folder.getName().startswith("v=") and int(folder.getName()[2:]) < base:
+                    files.delete(folder, True)
+
     # The explorer table: all states at once, tagged with the version it was built from.
 
     def materialise_explorer(self) -> DataFrame:
