@@ -43,23 +43,31 @@ _VALUE = r"(?:[^\"\\\n]++|\\[\"\\]|\\|\"(?![ \t]*(?:\]|\r|\n|\z)))*+"
 _SYMBOL = rf"[^{_BREAK}]++"
 
 
-def tags(c: Column | str, name: str = r"\w+") -> Column:
-    """Tag pairs as a map: escapes undone, a repeated tag keeps its last value."""
+# One tag, or a line to pass over: name, then a quoted value (group 2 begins with the quote) or bare words up to the
+# bracket or line end. Each match takes the whole tag, so brackets inside a value begin no other.
+_TAG = rf"{ESCAPE_LINE}|\[\s*+([^\s\"\]]++)[^\S\n]*+(\"{_VALUE}|[^\"\]\n][^\]\n]*+)?+\"?+[^\]\n]*+\]?+"
+
+
+def tags(c: Column | str, name: str | None = None) -> Column:
+    """Tag pairs as a map: escapes undone, a repeated tag keeps its last value.
+
+    Values may stand without quotes or without the closing one, names may hold any sign but blanks, quotes and the
+    closing bracket, and a line may hold several tags. ``name`` is a pattern that keeps only some names.
+    """
     return tags_of(tag_section(c), name)
 
 
-def tags_of(head: Column, name: str = r"\w+") -> Column:
+def tags_of(head: Column, name: str | None = None) -> Column:
     """The same, for a tag section already cut off."""
-    rows = rf"(?m)^[ \t\x{{feff}}]*\[[ \t]*({name})[ \t]*\"({_VALUE})\""
     entry = "struct<key:string,value:string>"
 
     def pairs(head: Column) -> Column:
-        keys = F.regexp_extract_all(head, F.lit(rows), F.lit(1))
-        values = F.regexp_extract_all(head, F.lit(rows), F.lit(2))
-        return F.zip_with(
-            keys, values,
-            lambda k, v: F.struct(k.alias("key"), _unescaped(v).alias("value")),
-        )
+        keys = F.regexp_extract_all(head, F.lit(_TAG), F.lit(1))
+        values = F.regexp_extract_all(head, F.lit(_TAG), F.lit(2))
+        quoted = lambda v: F.when(v.startswith('"'), _unescaped(F.substr(v, F.lit(2)))).otherwise(trimmed(v))
+        found = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), quoted(v).alias("value")))
+        wanted = lambda e: e["key"].rlike(rf"\A(?:{name})\z") if name else e["key"] != ""
+        return F.filter(found, wanted)
 
     def newest(found: Column) -> Column:
         # Independent of the session's policy for repeated map keys.
@@ -218,12 +226,11 @@ def split_by_result(c: Column | str) -> Column:
     does not split.
     """
     unit = rf"({BRACE_COMMENT}|{LINE_COMMENT}|{ESCAPE_LINE}|[()]|\$\d*|{_SYMBOL}|[\s\x{{00a0}}\x{{feff}}]+|.)"
-    many = F.regexp_extract_all(col(c), F.lit(unit), F.lit(1))
     start = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("ended"), F.lit("").alias("cur"),
-        F.array().cast("array<string>").alias("done"),
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("ended"), F.array(F.lit(1)).alias("begins"),
     )
 
+    # Only the places where games begin are kept while walking; the texts are cut once, at the end.
     def step(acc: Column, t: Column) -> Column:
         depth = F.when(t == "(", acc["depth"] + 1).when(t == ")", F.greatest(acc["depth"] - 1, F.lit(0)))
         depth = depth.otherwise(acc["depth"])
@@ -232,16 +239,23 @@ def split_by_result(c: Column | str) -> Column:
         # A bare move number opens the next game too: it is written in front of the move.
         opens = acc["ended"] & (ends | moves | t.rlike(r"^\d+\.*$"))
         return F.struct(
+            (acc["at"] + 1).alias("at"),
             depth.alias("depth"),
             F.when(opens, ends).otherwise(acc["ended"] | ends).alias("ended"),
-            F.when(opens, t).otherwise(F.concat(acc["cur"], t)).alias("cur"),
-            F.when(opens, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
+            F.when(opens, F.concat(acc["begins"], F.array(acc["at"] + 1))).otherwise(acc["begins"]).alias("begins"),
         )
 
-    games = F.aggregate(many, start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
+    def games(many: Column) -> Column:
+        def cut(begins: Column) -> Column:
+            ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(many) + 1))
+            return F.zip_with(begins, ends, lambda a, b: trimmed(F.array_join(F.slice(many, a, b - a), "")))
+
+        return let(F.aggregate(many, start, step, lambda a: a["begins"]), cut)
+
     # At most one result in the whole text: nothing to split, and no walk over the words.
     several = F.regexp_count(col(c), F.lit(RESULT_WORDS)) > 1
-    return F.when(several, F.transform(games, trimmed)).otherwise(F.array(trimmed(col(c))))
+    split = let(F.regexp_extract_all(col(c), F.lit(unit), F.lit(1)), games)
+    return F.when(several, split).otherwise(F.array(trimmed(col(c))))
 
 
 # ---- commands inside comments -----------------------------------------------------------

@@ -1,14 +1,21 @@
-"""Move trees: variations as nodes, worked out inside the record's own row."""
+"""Move trees: variations as nodes, worked out inside the record's own row.
+
+Tokens are found by columns; one pass of an Arrow function over them makes the nodes, so a record of any length costs what
+its length is. The number of nodes needs columns only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludograph.functions.columns import let
 from ludograph.functions.text import (
     _END, _MOVE_WORD, _SYMBOL, ESCAPE_LINE, GLYPHS, SYMBOLS, trimmed,
 )
+from ludograph.session import ship
 
 # One pass per group gives aligned arrays: brace comment, line comment, parenthesis, $n, move, its
 # glyphs, any other word.
@@ -17,6 +24,10 @@ _UNIT = (
     rf"|{_MOVE_WORD}([!?]*+){_END}|({_SYMBOL})"
 )
 
+_NODES = "array<struct<node:int,parent:int,depth:int,variation:int,ply:int,san:string,nags:array<int>,comment:string,start_comment:string,child_ix:int>>"
+_LINES = "array<struct<variation:int,depth:int,first_ply:int,tokens:array<string>>>"
+RECORDS = 100  # whose tokens are Python objects at a time
+
 
 def _tokens(c: Column) -> Column:
     """Typed tokens: kind c(omment), m(ove), n(ag), ( and ); moves carry the code of their glyphs."""
@@ -43,6 +54,79 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.transform(F.arrays_zip(*groups), typed), kept)
 
 
+def walk(tokens: list[dict]) -> tuple[list[dict], list[str]]:
+    """The nodes in reading order, and the comments of the start. A variation before any move replaces nothing and is
+    passed over; a comment at the head of a variation waits for its first move."""
+    nodes: list[dict] = []
+    notes: list[list[str]] = [[]]
+    children = [0]
+    stack: list[tuple[int, int, int, int]] = []
+    cur = ply = variation = opened = skip = 0
+    fresh, pending = False, []
+    for t in tokens:
+        kind = t["kind"]
+        if kind == "(":
+            stack.append((cur, ply, variation, skip))
+            pending = []
+            if skip or not cur:
+                skip += 1
+            else:
+                opened += 1
+                cur, ply, variation, fresh = nodes[cur - 1]["parent"], ply - 1, opened, True
+        elif kind == ")":
+            if stack:
+                cur, ply, variation, skip = stack.pop()
+                fresh, pending = False, []
+        elif skip:
+            continue
+        elif kind == "m":
+            parent, cur, ply = cur, len(nodes) + 1, ply + 1
+            nodes.append({
+                "node": cur, "parent": parent, "depth": len(stack), "variation": variation, "ply": ply, "san": t["text"],
+                "nags": [] if t["nag"] is None else [t["nag"]], "start_comment": " ".join(pending) or None,
+                "child_ix": children[parent],
+            })
+            children[parent] += 1
+            children.append(0)
+            notes.append([])
+            fresh, pending = False, []
+        elif kind == "c":
+            (pending if fresh else notes[cur]).append(t["text"])
+        elif kind == "n" and cur and t["nag"] not in nodes[cur - 1]["nags"]:
+            nodes[cur - 1]["nags"].append(t["nag"])
+    for node, own in zip(nodes, notes[1:]):
+        node["comment"] = " ".join(own) or None
+    return nodes, notes[0]
+
+
+def _lines_of(tokens: list[dict]) -> list[dict]:
+    lines: dict[int, dict] = {}
+    for n in walk(tokens)[0]:
+        if n["variation"]:
+            line = lines.setdefault(n["variation"], {"variation": n["variation"], "depth": n["depth"], "first_ply": n["ply"], "tokens": []})
+            line["tokens"].append(n["san"])
+    return list(lines.values())
+
+
+def _per_record(c: Column | str, kind: str, make: Callable[[list[dict]], object]) -> Column:
+    """``make`` of the tokens of each movetext; NULL stays NULL."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    ship(SparkSession.active())
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+
+    @F.arrow_udf(kind)
+    def made(tokens: pa.Array) -> pa.Array:
+        parts = [pa.array([], arrow)]
+        for at in range(0, len(tokens), RECORDS):
+            some = tokens.slice(at, RECORDS).to_pylist()
+            parts.append(pa.array([None if t is None else make(t) for t in some], arrow))
+        return pa.concat_arrays(parts)
+
+    return made(_tokens(F.col(c) if isinstance(c, str) else c))
+
+
 def tree(c: Column | str) -> Column:
     """Movetext -> array of nodes in reading order.
 
@@ -50,100 +134,11 @@ def tree(c: Column | str) -> Column:
     from the start), san, nags, comment, start_comment, child_ix (0 = main continuation). A move
     repeated in a variation is a node of its own. Root comments belong to node 0 (``root_comment``).
     """
-
-    def nodes(w: Column) -> Column:
-        def node(m: Column) -> Column:
-            of = lambda kind: F.filter(w["events"], lambda e: (e["node"] == m["node"]) & (e["kind"] == kind))
-
-            def joined(kind: str) -> Column:
-                texts = F.array_join(F.transform(of(kind), lambda e: e["text"]), " ")
-                return F.when(texts != "", texts)
-
-            nags = F.array_distinct(F.transform(of("n"), lambda e: e["nag"]))
-            elder = F.filter(w["moves"], lambda o: (o["parent"] == m["parent"]) & (o["node"] < m["node"]))
-            return F.struct(
-                m["node"].alias("node"), m["parent"].alias("parent"), m["depth"].alias("depth"),
-                m["variation"].alias("variation"), m["ply"].alias("ply"), m["text"].alias("san"),
-                nags.alias("nags"), joined("c").alias("comment"), joined("s").alias("start_comment"),
-                F.size(elder).alias("child_ix"),
-            )
-
-        return F.transform(w["moves"], node)
-
-    def split(events: Column) -> Column:
-        return F.struct(events.alias("events"), F.filter(events, lambda e: e["kind"] == "m").alias("moves"))
-
-    return let(let(_walk(F.col(c) if isinstance(c, str) else c), split), nodes)
+    return _per_record(c, _NODES, lambda tokens: walk(tokens)[0])
 
 
 def root_comment(c: Column | str) -> Column:
-    root = lambda events: F.filter(events, lambda e: (e["node"] == 0) & (e["kind"] == "c"))
-    text = F.array_join(F.transform(root(_walk(F.col(c) if isinstance(c, str) else c)), lambda e: e["text"]), " ")
-    return F.when(text != "", text)
-
-
-_EVENT = "array<struct<kind:string,node:int,parent:int,depth:int,variation:int,ply:int,text:string,nag:int>>"
-_STACK = "array<struct<cur:int,ply:int,variation:int,skip:int>>"
-
-
-def _walk(c: Column) -> Column:
-    start = F.struct(
-        F.lit(0).alias("cur"), F.lit(0).alias("ply"), F.lit(0).alias("n"), F.lit(0).alias("variation"),
-        F.lit(0).alias("opened"), F.lit(0).alias("skip"), F.lit(False).alias("fresh"), F.lit("").alias("pending"),
-        F.array().cast("array<int>").alias("parents"), F.array().cast(_STACK).alias("stack"),
-        F.array().cast(_EVENT).alias("events"),
-    )
-
-    def event(kind: str, a: Column, t: Column, **over: Column) -> Column:
-        node = over.get("node", a["cur"])
-        return F.struct(
-            F.lit(kind).alias("kind"), node.alias("node"), over.get("parent", F.lit(None).cast("int")).alias("parent"),
-            F.size(a["stack"]).alias("depth"), a["variation"].alias("variation"),
-            over.get("ply", a["ply"]).alias("ply"), over.get("text", t["text"]).alias("text"), t["nag"].alias("nag"),
-        )
-
-    def step(a: Column, t: Column) -> Column:
-        kind, idle = t["kind"], a["skip"] > 0
-        move, opens, closes = (kind == "m") & ~idle, kind == "(", (kind == ")") & (F.size(a["stack"]) > 0)
-        note = (kind == "c") & ~idle & (t["text"] != "")
-        nag = (kind == "n") & ~idle & (a["cur"] > 0)
-        top = F.get(a["stack"], F.size(a["stack"]) - 1)
-        # A variation before any move replaces nothing and is passed over.
-        lost = opens & (idle | (a["cur"] == 0))
-        new = a["n"] + 1
-        before = F.element_at(F.concat(F.array(F.lit(0)), a["parents"]), a["cur"] + 1)
-        wait = note & a["fresh"]
-        told = F.concat_ws(" ", F.when(a["pending"] != "", a["pending"]), t["text"])
-        added = (
-            F.when(move, F.concat(
-                F.array(event("m", a, t, node=new, parent=a["cur"], ply=a["ply"] + 1)),
-                F.when(a["pending"] != "", F.array(event("s", a, t, node=new, text=a["pending"]))).otherwise(F.array().cast(_EVENT)),
-                F.when(t["nag"].isNotNull(), F.array(event("n", a, t, node=new))).otherwise(F.array().cast(_EVENT)),
-            ))
-            .when(note & ~wait, F.array(event("c", a, t)))
-            .when(nag, F.array(event("n", a, t)))
-        )
-        saved = F.struct(
-            a["cur"].alias("cur"), a["ply"].alias("ply"), a["variation"].alias("variation"), a["skip"].alias("skip")
-        )
-        real = opens & ~lost
-        return F.struct(
-            F.when(move, new).when(real, before).when(closes, top["cur"]).otherwise(a["cur"]).alias("cur"),
-            F.when(move, a["ply"] + 1).when(real, a["ply"] - 1).when(closes, top["ply"]).otherwise(a["ply"]).alias("ply"),
-            F.when(move, new).otherwise(a["n"]).alias("n"),
-            F.when(real, a["opened"] + 1).when(closes, top["variation"]).otherwise(a["variation"]).alias("variation"),
-            F.when(real, a["opened"] + 1).otherwise(a["opened"]).alias("opened"),
-            F.when(lost, a["skip"] + 1).when(closes, top["skip"]).otherwise(a["skip"]).alias("skip"),
-            F.when(real, True).when(move | closes, False).otherwise(a["fresh"]).alias("fresh"),
-            F.when(wait, told).when(move | opens | closes, "").otherwise(a["pending"]).alias("pending"),
-            F.when(move, F.concat(a["parents"], F.array(a["cur"]))).otherwise(a["parents"]).alias("parents"),
-            F.when(opens, F.concat(a["stack"], F.array(saved)))
-            .when(closes, F.slice(a["stack"], 1, F.greatest(F.size(a["stack"]) - 1, F.lit(0))))
-            .otherwise(a["stack"]).alias("stack"),
-            F.when(added.isNotNull(), F.concat(a["events"], added)).otherwise(a["events"]).alias("events"),
-        )
-
-    return F.aggregate(_tokens(c), start, step, lambda a: a["events"])
+    return _per_record(c, "string", lambda tokens: " ".join(walk(tokens)[1]) or None)
 
 
 def tree_nodes(df: DataFrame, key: str, movetext: str) -> DataFrame:
@@ -169,20 +164,27 @@ def tree_path(nodes: Column | str, node: Column) -> Column:
 
 
 def count_nodes(c: Column | str) -> Column:
-    return F.size(F.filter(_walk(F.col(c) if isinstance(c, str) else c), lambda e: e["kind"] == "m"))
+    """The number of nodes, without making them: only the distance from the start and the open variations are kept."""
+    frame = "array<struct<ply:int,skip:int>>"
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("ply"), F.lit(0).alias("skip"), F.array().cast(frame).alias("stack"))
+
+    def step(a: Column, t: Column) -> Column:
+        idle, kind, open_ = a["skip"] > 0, t["kind"], F.size(a["stack"])
+        move, opens, closes = (kind == "m") & ~idle, kind == "(", (kind == ")") & (open_ > 0)
+        lost = opens & (idle | (a["ply"] == 0))
+        top = F.get(a["stack"], open_ - 1)
+        saved = F.array(F.struct(a["ply"].alias("ply"), a["skip"].alias("skip")))
+        return F.struct(
+            F.when(move, a["n"] + 1).otherwise(a["n"]).alias("n"),
+            F.when(move, a["ply"] + 1).when(opens & ~lost, a["ply"] - 1).when(closes, top["ply"]).otherwise(a["ply"]).alias("ply"),
+            F.when(lost, a["skip"] + 1).when(closes, top["skip"]).otherwise(a["skip"]).alias("skip"),
+            F.when(opens, F.concat(a["stack"], saved)).when(closes, F.slice(a["stack"], 1, F.greatest(open_ - 1, F.lit(0))))
+            .otherwise(a["stack"]).alias("stack"),
+        )
+
+    return F.aggregate(_tokens(F.col(c) if isinstance(c, str) else c), start, step, lambda a: a["n"])
 
 
 def variations(df: DataFrame, key: str, movetext: str) -> DataFrame:
     """One row per variation: number, depth, ply of its first move, its moves."""
-    nodes = df.select(key, tree(movetext).alias("_t"))
-    numbers = F.array_distinct(F.transform("_t", lambda n: n["variation"]))
-    lines = F.transform(
-        F.filter(numbers, lambda v: v > 0),
-        lambda v: F.struct(v.alias("variation"), F.filter("_t", lambda n: n["variation"] == v).alias("moves")),
-    )
-    rows = nodes.select(key, F.inline(lines))
-    return rows.select(
-        key, "variation", F.get("moves", F.lit(0))["depth"].alias("depth"),
-        F.get("moves", F.lit(0))["ply"].alias("first_ply"),
-        F.transform("moves", lambda n: n["san"]).alias("tokens"),
-    )
+    return df.select(key, F.inline(_per_record(movetext, _LINES, _lines_of)))

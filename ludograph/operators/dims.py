@@ -24,7 +24,7 @@ def build_dim(names: DataFrame, name: str = "name", seq: str = "seq", start: int
     ``seq`` must differ between different names. Repeats fold up before the shuffle; ids are given
     without a global sort.
     """
-    first = names.groupBy(F.lower(name).alias("name_key")).agg(
+    first = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("name_key")).agg(
         F.min_by(name, seq).alias("name"), F.min(seq).alias("seq")
     )
     return numbered(first, "seq", "id", start).select("id", "name", "name_key", "seq")

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ludograph.functions.columns import MOVE_END, share
 from ludograph.operators.skew import top_k
 
+OPEN_STATES = 100_000  # states of a tree's level that may be broadcast
+
 
 @dataclass(frozen=True)
 class StateFilter:
@@ -162,18 +164,30 @@ def explorer_report(
         F.transform(listed, lambda e: e.dropFields("_order")).alias("moves"),
     )
 
-    def ids(ranked: DataFrame, name: str) -> DataFrame:
-        pairs = F.sort_array(F.collect_list(F.struct("rank", "game_id", "ply")))
-        games = F.transform(pairs, lambda p: F.struct(p["game_id"].alias("game_id"), p["ply"].alias("ply")))
-        return ranked.groupBy("hash").agg(games.alias(name))
+    def ids(rank: str, name: str) -> Column:
+        pairs = F.sort_array(F.collect_list(F.when(F.col(rank) <= clamp_k(k), F.struct(rank, "game_id", "ply"))))
+        return F.transform(pairs, lambda p: F.struct(p["game_id"].alias("game_id"), p["ply"].alias("ply"))).alias(name)
 
-    out = heads.join(ids(top_games_all(rows, k), "top_games"), "hash", "left")
-    out = out.join(ids(recent_games_all(rows, k), "recent_games"), "hash", "left")
+    leading = _leading_games(rows, clamp_k(k)).groupBy("hash").agg(ids("_best", "top_games"), ids("_recent", "recent_games"))
+    out = heads.join(leading, "hash", "left")
     if names is not None:
         out = out.join(names.select("hash", "eco", "name"), "hash", "left")
     return out
 
 
+def _leading_games(rows: DataFrame, k: int, salts: int = 64) -> DataFrame:
+    """The rows that are among the first ``k`` of their state by rating (``_best``) or by date (``_recent``). Both
+    ranks come from one shuffle by state and game, which cuts hot states down, and one by state."""
+
+    def ranked(df: DataFrame, by: list[str]) -> DataFrame:
+        over = Window.partitionBy(*by)
+        ranks = [F.row_number().over(over.orderBy(*order)).alias(name) for name, order in (("_best", _best()), ("_recent", _recent()))]
+        return df.select("hash", "game_id", "ply", "elo", "year", *[c for c in by if c != "hash"], *ranks).where(F.least("_best", "_recent") <= k)
+
+    cut = ranked(rows.withColumn("_salt", F.pmod(F.xxhash64("game_id"), F.lit(salts))), ["hash", "_salt"])
+    return ranked(cut, ["hash"])
+
+
 def guard(rows: DataFrame, text: str = "epd") -> DataFrame:
     """Drop rows whose position text is not the usual one of their key (key collisions)."""
     counts = rows.groupBy("hash", text).agg(F.count(F.lit(1)).alias("_n"))
@@ -189,17 +203,22 @@ def opening_tree(
     """The most played moves from a state, level by level.
 
     ``table`` is a next-step table, ``links`` (hash, move, child) says where a move leads. At most
-    breadth^level states are open, so each level is a small semi-join against the table.
+    breadth^level states are open; table and links are cut to them before anything is ranked or grouped, and the open
+    states are broadcast where that bound is small.
     """
-    best = top_k(
-        table.filter(F.col("move") != end), ["hash"], [F.desc("games"), F.col("move")], breadth, salt="move"
-    ).select("hash", "move", "games", "rank")
-    targets = links.groupBy("hash", "move").agg(F.min("child").alias("child"))
-    level = best.filter(F.col("hash") == F.lit(root)).withColumn("level", F.lit(1))
+    order = [F.desc("games"), F.col("move")]
+
+    def ranked(rows: DataFrame, n: int) -> DataFrame:
+        best = top_k(rows.filter(F.col("move") != end), ["hash"], order, breadth, salt="move")
+        return best.select("hash", "move", "games", "rank", F.lit(n).alias("level"))
+
+    level = ranked(table.filter(F.col("hash") == F.lit(root)), 1)
     out = level
     for n in range(2, depth + 1):
-        opened = level.join(targets, ["hash", "move"]).select(F.col("child").alias("hash")).distinct()
-        level = best.join(opened, "hash", "left_semi").withColumn("level", F.lit(n))
+        small = F.broadcast if breadth ** (n - 1) <= OPEN_STATES else lambda df: df
+        taken = links.join(small(level.select("hash", "move")), ["hash", "move"], "left_semi")
+        opened = taken.groupBy("hash", "move").agg(F.min("child").alias("child")).select(F.col("child").alias("hash")).distinct()
+        level = ranked(table.join(small(opened), "hash", "left_semi"), n)
         out = out.unionByName(level)
     # A state met again on a deeper level is listed where it was met first.
     return out.groupBy("hash", "move", "games", "rank").agg(F.min("level").alias("level"))

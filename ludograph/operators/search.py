@@ -270,17 +270,16 @@ def with_names(games: DataFrame, players: DataFrame, events: DataFrame, sites: D
 def semi(games: DataFrame, dim: DataFrame, keys: list[str], condition: Column) -> DataFrame:
     """Games whose id column(s) point at a dimension row that passes ``condition``.
 
-    Several keys mean "any of them": the ids are matched per key and united, which keeps every
-    join an equi-join.
+    Several keys mean "any of them": the distinct hits are looked up by each key, and games are read once.
     """
-    hits = dim.filter(condition).select(F.col("id").alias("_id"))
+    hits = dim.filter(condition).select(F.col("id").alias("_id")).distinct()
     if len(keys) == 1:
         return games.join(hits, F.col(keys[0]) == F.col("_id"), "left_semi")
-    found = None
-    for k in keys:
-        part = games.join(hits, F.col(k) == F.col("_id"), "left_semi").select("id")
-        found = part if found is None else found.union(part)
-    return games.join(found.distinct(), "id", "left_semi")
+    out = games
+    for i, k in enumerate(keys):
+        hit = hits.select(F.col("_id").alias(f"_id{i}"))
+        out = out.join(hit, F.col(k) == F.col(f"_id{i}"), "left")
+    return out.filter(F.coalesce(*[F.col(f"_id{i}") for i in range(len(keys))]).isNotNull()).select(*games.columns)
 
 
 def in_order(refs: DataFrame, rows: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:

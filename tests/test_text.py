@@ -54,6 +54,18 @@ def test_tags(spark):
     assert one(spark, "1. e4 *", X.tags) == {}
 
 
+@pytest.mark.parametrize("text,want", [
+    ("[Event Harbour Cup ]\n[White-Title \"GM\"]", {"Event": "Harbour Cup", "White-Title": "GM"}),
+    ("[White \"Lund\"] [Black \"Aro\"]", {"White": "Lund", "Black": "Aro"}),
+    ("[Site \"quay 9\n[Round 3]", {"Site": "quay 9", "Round": "3"}),
+    ("[Site \"a [Board 2] b\"]\n%[Hidden \"x\"]\n[Board\"1\"]", {"Site": "a [Board 2] b", "Board": "1"}),
+    ("[Alone]\n[Open", {"Alone": "", "Open": ""}),
+    ("[]\n[ \"x\"]", {}),
+])
+def test_lenient_tags(spark, text, want):
+    assert one(spark, text, X.tags) == want
+
+
 @pytest.mark.parametrize("text,want", [
     ("1. e4 e5", False), ("1. e4! e5", True), ("1. e4 e5 $4", True), ("1. e4 {}", True), ("1. e4 (d4)", True), ("e4 ; x", True),
     ("e4 N", True), ("e4 += e5", True), ("e8=Q", False), ("%! \ne4", False), ("1/2-1/2", False),
@@ -102,6 +114,18 @@ def test_tree(spark):
     same = one(spark, "1. d4 d5 2. c4 (2. c4 dxc4) 2... e6 *", T.tree)  # a variation that begins like the main line
     assert [n["san"] for n in same if n["variation"] == 0] == ["d4", "d5", "c4", "e6"]
     assert one(spark, "(1. f4) 1. c4", T.count_nodes) == 1
+    assert one(spark, "1. c4 ((1. f4) 1. d4) c5 ) (1... e5 (2. g3", T.count_nodes) == 5
+    null = spark.createDataFrame([(None,)], "t string").select(T.tree("t").alias("a"), T.count_nodes("t").alias("b"))
+    assert tuple(null.first()) == (None, None)
+
+
+def test_long_records(spark):
+    """Trees and splitting cost what the text's length is: 20,000 nodes, and as many results."""
+    text = "1. c4 " + "".join(f"(1. d4 {{n{i}}} d5) " for i in range(10_000))
+    nodes = one(spark, text, T.tree)
+    assert len(nodes) == 20_001 == one(spark, text, T.count_nodes)
+    assert (nodes[-1]["variation"], nodes[-2]["comment"], nodes[-2]["child_ix"]) == (10_000, "n9999", 10_000)
+    assert len(one(spark, "1. c4 c5 1-0\n" * 20_000, X.split_by_result)) == 20_000
 
 
 def test_wrap(spark):
