@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from ludograph.llm.common import Recent, prepare, slices
 
-CACHED = 250_000
-CHUNK_BYTES = 1_500_000  # of distinct words in one recursive query
+CACHED = 150_000
+CHUNK_BYTES = 400_000  # of distinct words in one recursive query
 MAX_VOCABULARY = 32 << 20
 
 START = """
@@ -92,7 +92,7 @@ class ByteBpe:
             for t, rank in tokens.items() for i in range(1, len(t)) if t[:i] in tokens and t[i:] in tokens
         ]
         left, right, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._load("merges", pa.table({"pair": left << 32 | right, "k": rank.astype(np.int32)}))
         self._load("vocabulary", pa.table({"id": pa.array(tokens.values(), pa.int32()), "hex": [t.hex() for t in tokens]}))
         self.bytes = np.array([tokens[bytes([b])] for b in range(256)], dtype=np.int32)

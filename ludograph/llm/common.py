@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -15,6 +16,9 @@ from ludograph.session import shared_folder, ship, staged
 
 __all__ = ["Recent", "exclusive_sums", "fold", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
 
+SLICE_BYTES = 2 << 20
+_C = ctypes.CDLL(None)
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers, and keep Arrow batches of long texts small."""
@@ -46,11 +50,26 @@ def open_file(path: str, mode: str = "r"):
     return system.open_output_stream(inner)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256):
-    """Arrow batches cut into short ones, so that Python objects of few rows live at a time."""
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what they keep adds up over a job's stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = SLICE_BYTES):
+    """Arrow batches cut into short ones of at most ``rows`` rows and (but for single rows) ``size`` bytes, so that
+    Python objects of few rows live at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        waiting = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+    give_back()
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str]):
@@ -74,6 +93,7 @@ def groups(batches: Iterable[pa.RecordBatch], keys: list[str]):
         last = values[:, -1]
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def local_roots(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 DIFFERENT = 16  # of SAMPLES 2-bit samples: at similarity 0.8 more differ with probability 2e-5
 BLOCK = 1 << 15
-CHUNK, CHUNK_WEIGHT = 300, 2e7  # texts, and their total weight (about 3 million words), in one part of a unit of work
+CHUNK, CHUNK_WEIGHT = 300, 5e6  # texts, and their total weight (about 700,000 words), in one part of a unit of work
 
 
 def buckets_of(words: np.ndarray) -> np.ndarray:
