@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 
 import duckdb
 import numpy as np
@@ -27,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ludograph.llm.common import Recent, prepare, slices
+from ludograph.llm.common import Recent, give_back, prepare, slices
 
-CACHED = 150_000
-CHUNK_BYTES = 400_000  # of distinct words in one recursive query
+CACHED = 100_000
+CHUNK_BYTES = 100_000  # of distinct words in one recursive query
 MAX_VOCABULARY = 32 << 20
 
 START = """
@@ -86,21 +87,33 @@ class ByteBpe:
     """One vocabulary in a DuckDB of this process."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        tokens = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        pairs = [
-            (tokens[t[:i]], tokens[t[i:]], rank)
-            for t, rank in tokens.items() for i in range(1, len(t)) if t[:i] in tokens and t[i:] in tokens
-        ]
-        left, right, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
+        self.ranks = ranks
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self._load("merges", pa.table({"pair": left << 32 | right, "k": rank.astype(np.int32)}))
-        self._load("vocabulary", pa.table({"id": pa.array(tokens.values(), pa.int32()), "hex": [t.hex() for t in tokens]}))
-        self.bytes = np.array([tokens[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.held: set[str] = set()
         self.cut = regex.compile(pattern)
         self.late = regex.compile(r" \s")
         self.words = Recent(self._encode_words, CACHED)
         self.pieces = Recent(self._encode_pieces, CACHED)
 
+    def _need(self, name: str) -> None:
+        """Load the merge table or the vocabulary when it is first used: a worker mostly encodes or decodes only."""
+        if name in self.held:
+            return
+        tokens = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
+        if name == "merges":
+            pairs = array("q")
+            for t, rank in tokens.items():
+                for i in range(1, len(t)):
+                    if t[:i] in tokens and t[i:] in tokens:
+                        pairs.extend((tokens[t[:i]], tokens[t[i:]], rank))
+            left, right, rank = np.frombuffer(pairs, dtype=np.int64).reshape(-1, 3).T
+            self._load(name, pa.table({"pair": left << 32 | right, "k": rank.astype(np.int32)}))
+            self.bytes = np.array([tokens[bytes([b])] for b in range(256)], dtype=np.int32)
+        else:
+            self._load(name, pa.table({"id": pa.array(tokens.values(), pa.int32()), "hex": [t.hex() for t in tokens]}))
+        self.held.add(name)
+        give_back()
+
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("loaded", table)
         self.db.execute(f"create table {name} as select * from loaded")
@@ -117,6 +130,7 @@ class ByteBpe:
         return out
 
     def _merge(self, raw: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        self._need("merges")
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.db.register("given", pa.table({
             "w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "p": place.astype(np.int32),
@@ -153,6 +167,7 @@ class ByteBpe:
 
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Bytes of id lists that lie one after another."""
+        self._need("vocabulary")
         self.db.register("given", pa.table({
             "d": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "p": np.arange(len(flat)),
             "id": flat.astype(np.int32, copy=False),
@@ -181,7 +196,7 @@ def _shared(df: DataFrame, ranks: bytes, pattern: str):
     return prepare(df.sparkSession).sparkContext.broadcast((ranks, pattern))
 
 
-def _extended(df: DataFrame, name: str, kind: T.DataType, column: str, make) -> DataFrame:
+def _extended(df: DataFrame, name: str, kind: T.DataType, column: str, make, rows: int = 500) -> DataFrame:
     """``df`` with a column that ``make`` works out from an Arrow array of another."""
     if name == column:
         raise ValueError("the new column must have a name of its own")
@@ -190,7 +205,7 @@ def _extended(df: DataFrame, name: str, kind: T.DataType, column: str, make) ->
     schema = T.StructType([*rest.schema.fields, T.StructField(name, kind)])
 
     def extend(batches):
-        for batch in slices(batches, 500):
+        for batch in slices(batches, rows):
             yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], names=schema.names)
 
     return rest.mapInArrow(extend, schema)
@@ -220,4 +235,4 @@ def decode_ids(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out:
             raise ValueError("a null id")
         return pa.array(coder(*shared.value).decode(flat.to_numpy(), sizes), pa.binary())
 
-    return _extended(df, out, T.BinaryType(), ids, make)
+    return _extended(df, out, T.BinaryType(), ids, make, 200)

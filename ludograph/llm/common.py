@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ludograph.session import shared_folder, ship, staged
 
-__all__ = ["Recent", "exclusive_sums", "fold", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
+__all__ = ["Recent", "exclusive_sums", "fold", "give_back", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
 
 SLICE_BYTES = 2 << 20
 _C = ctypes.CDLL(None)
