@@ -5,7 +5,8 @@ offset of each candidate with the offset of its successor, which the header's le
 followed at once, so each candidate leads to the first offset beyond the block. Pointer jumping over the few
 offsets where a chain enters a block then keeps those that the file's start reaches; it takes about
 log2(blocks a file) rounds. A magic inside a payload is reached by no chain and is never read as a record.
-A chain that breaks (a file cut short) ends there: the whole records before the break are returned.
+A chain that breaks (a file cut short) ends there: the whole records before the break are returned. In files that
+``write_warc`` lists as whole a break is an error. Headers may be of any length: HEADER is only what is read at first.
 
 Files are written uncompressed. Tasks write under names of their own; only those of finished tasks are in the
 manifest. A null payload is an empty one. Of equal payloads of at least ``min_bytes`` the smallest id is a response (rows
@@ -56,18 +57,48 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, first: int
     return head.encode() + body + b"\r\n\r\n"
 
 
-def header_at(data: bytes, at: int) -> tuple[int, int] | None:
-    """Where the content starts and the next record begins, if a header stands here."""
-    if not _MAGIC.match(data, at):
-        return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    length = _LENGTH.search(data, at, end + 2) if end >= 0 else None
-    return (end + 4, end + 4 + int(length[1]) + 4) if length else None
+class Window:
+    """The bytes of a file from ``start`` to ``end``, and beyond as far as a header or record needs. Headers are asked for
+    in ascending order; the next blank line and length are kept, so that each byte is searched once."""
+
+    def __init__(self, path: str, start: int, end: int, size: int):
+        self.file, self.start, self.size = open_file(path), start, size
+        self.data = self.file.read_at(min(end + HEADER, size) - start, start)
+        self.blank, self.length = -1, None
+
+    def read_to(self, n: int) -> bool:
+        """Read on until ``n`` bytes are held. False if the file ends before."""
+        more = min(n, self.size - self.start) - len(self.data)
+        if more > 0:
+            self.data += self.file.read_at(more, self.start + len(self.data))
+        return len(self.data) >= n
+
+    def header_at(self, at: int) -> tuple[int, int] | None:
+        """Where the content starts and the next record begins, if a header stands here."""
+        if not _MAGIC.match(self.data, at):
+            return None
+        if self.blank < at:
+            self.blank = self._blank_from(at)
+            self.length = _LENGTH.search(self.data, at, self.blank + 2)
+        elif self.length and self.length.start() < at:
+            self.length = _LENGTH.search(self.data, at, self.blank + 2)
+        end = self.blank + 4
+        return (end, end + int(self.length[1]) + 4) if self.length and end <= len(self.data) else None
+
+    def _blank_from(self, at: int) -> int:
+        """The next blank line; the file's end, if there is none."""
+        step = HEADER
+        while (found := self.data.find(b"\r\n\r\n", at)) < 0:
+            held = len(self.data)
+            if not self.read_to(held + step) and len(self.data) == held:
+                return self.size
+            at, step = max(at, held - 3), 2 * step
+        return found
 
 
 def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0,
                folder: str | None = None, max_file: int = MAX_FILE) -> DataFrame:
-    """Write one record a row. Returns the manifest: ``path`` and ``size`` of each file."""
+    """Write one record a row. Returns the manifest: ``path`` and ``size`` of each file, and ``whole`` = true."""
     spark = prepare(pages.sparkSession)
     folder = folder or new_folder(spark, "warc")
 
@@ -90,7 +121,7 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload
             yield _row(path, size)
 
     def _row(path: str, size: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"path": [path], "size": [size]})
+        return pa.RecordBatch.from_pydict({"path": [path], "size": [size], "whole": [True]})
 
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("html"))
@@ -103,11 +134,11 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     # Written first, so that its size is known: while it is small, pages are marked where they are read.
     marked = hashed.join(staged(firsts), "sha", "left")
     revisit = F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
-    return staged(marked.select("key", "url", "html", revisit.alias("first")).mapInArrow(write, "path string, size long"))
+    return staged(marked.select("key", "url", "html", revisit.alias("first")).mapInArrow(write, "path string, size long, whole boolean"))
 
 
 def manifest_of(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The manifest of files made elsewhere."""
+    """The manifest of files made elsewhere. They may be cut short."""
     return spark.createDataFrame([(p, open_file(p).size()) for p in paths], "path string, size long")
 
 
@@ -119,10 +150,10 @@ def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 end = min(start + block, size)
-                data = open_file(path).read_at(min(end + HEADER, size) - start, start)
+                window = Window(path, start, end, size)
                 found = {}
-                for m in _MAGIC.finditer(data, 0, min(end - start + 16, len(data))):
-                    head = header_at(data, m.start()) if m.start() < end - start else None
+                for m in _MAGIC.finditer(window.data, 0, min(end - start + 16, len(window.data))):
+                    head = window.header_at(m.start()) if m.start() < end - start else None
                     if head and start + head[1] <= size:
                         found[start + m.start()] = start + head[1]
                 leaves: dict[int, int | None] = {}
@@ -141,8 +172,10 @@ def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
     return blocks.mapInArrow(scan, "path string, size long, offset long, next long, leaves long")
 
 
-def entries(found: DataFrame) -> DataFrame:
-    """The first record of each block, by pointer jumping from the files' starts: path, size, offset."""
+def entries(found: DataFrame, whole: DataFrame) -> DataFrame:
+    """The first record of each block, by pointer jumping from the files' starts: path, size, offset, and whether the file
+    must be whole. In those of ``whole`` (path, size), places where a chain meets no record are kept, for the reader to
+    report."""
     chained = found.where("leaves is not null or offset = 0")
     heads = chained.select("path", F.col("leaves").alias("offset")).where("offset is not null").distinct()
     nodes = found.select("path", "size", "offset", "leaves")
@@ -161,27 +194,34 @@ def entries(found: DataFrame) -> DataFrame:
         )
     sizes = found.where("offset = 0").select("path", "size")
     known = found.select("path", "offset")  # the last offset of a chain may hold no record
-    return reached.join(known, ["path", "offset"], "left_semi").join(sizes, "path")
+    good = reached.join(known, ["path", "offset"], "left_semi").join(sizes, "path")
+    firsts = whole.select("path", F.lit(0).cast("long").alias("offset"))
+    met = reached.unionByName(firsts).distinct().join(whole, "path").where("offset < size")
+    return (
+        good.join(whole.select("path"), "path", "left_anti").withColumn("whole", F.lit(False))
+        .unionByName(met.withColumn("whole", F.lit(True)))
+    )
 
 
 def read_warc(manifest: DataFrame, block: int = BLOCK, payloads: bool = True) -> DataFrame:
     """One row a record: ``path``, ``offset``, ``record_type``, ``record_id``, ``refers_to``, ``url``,
     ``payload_bytes`` and ``payload_digest`` (of the full payload; for a revisit as its header tells) and, if wanted,
-    ``payload``. Raises if a payload does not match its digest."""
+    ``payload``. Raises if a payload does not match its digest, or if the records of a file listed as ``whole`` end before
+    the file does."""
 
     def read(batches):
         for batch in batches:
-            for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, size, start, must in zip(*(c.to_pylist() for c in batch.columns)):
                 end = min((start // block + 1) * block, size)
-                file = open_file(path)
-                data = file.read_at(min(end + HEADER, size) - start, start)
+                window = Window(path, start, end, size)
                 rows, at, held = [], 0, 0
                 while start + at < end:
-                    head = header_at(data, at)
-                    if not head or start + head[1] > size:
+                    head = window.header_at(at)
+                    if not head or not window.read_to(head[1]):
+                        if must:
+                            raise ValueError(f"no whole record at {start + at} of {path}, which should have {size} bytes")
                         break
-                    if head[1] > len(data):
-                        data += file.read_at(head[1] - len(data), start + len(data))
+                    data = window.data
                     rows.append((path, start + at, *_parse(data[at : head[0]], data[head[0] : head[1] - 4])))
                     held += head[1] - at
                     at = head[1]
@@ -201,7 +241,9 @@ def read_warc(manifest: DataFrame, block: int = BLOCK, payloads: bool = True) ->
                                           names=[n for n, _ in fields])
 
     found = staged(candidates(manifest, block))
-    begin = entries(found).select("path", "size", "offset").repartition("path", "offset")
+    own = F.col("whole") if "whole" in manifest.columns else F.lit(False)
+    whole = manifest.where(own & (F.col("size") > 0)).select("path", "size")
+    begin = entries(found, whole).select("path", "size", "offset", "whole").repartition("path", "offset")
     return begin.mapInArrow(read, ", ".join(f"{n} {k}" for n, k in fields))
 
 

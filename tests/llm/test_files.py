@@ -190,6 +190,38 @@ def test_warc_file_cut_short(spark, tmp_path):
     assert sorted(int(r.record_id[9:]) for r in got) == list(range(39))
 
 
+def test_warc_long_headers(spark, tmp_path):
+    # Longer than what is read of a block at first; followed by records that must not be lost.
+    urls = ["u", "u" * 65500, "v" * 70000, "w", "x" * 700000, None, "y"]
+    rows = [(i, u, f"page {i} " + "WARC/1.1\r\n" * 50, "f", "s") for i, u in enumerate(urls)]
+    manifest = write_warc(pages(spark, rows).coalesce(1))
+    assert manifest.count() == 1
+    for block in (300, 50000, 8 << 20):
+        got = {int(r.record_id[9:]): r for r in read_warc(manifest, block=block).collect()}
+        assert {i: (r.url, bytes(r.payload).decode()) for i, r in got.items()} == {i: (u or "", t) for i, u, t, *_ in rows}
+    path = str(tmp_path / "long.warc")
+    with open(path, "wb") as f:
+        f.write(b"".join(make_record(i, u, b"x" * i, None) for i, u in enumerate(urls)))
+    assert read_warc(manifest_of(spark, [path]), block=1000).count() == len(urls)
+
+
+@pytest.mark.parametrize("at", ["first", "inner", "end"])
+def test_warc_own_file_broken(spark, at):
+    rows = [(i, None, "x" * 400 + str(i), "f", "s") for i in range(20)]
+    manifest = write_warc(pages(spark, rows).coalesce(1))
+    (own,) = manifest.collect()
+    path = own.path.removeprefix("file://").removeprefix("file:")
+    with open(path, "rb") as f:
+        data = f.read()
+    places = [i for i in range(len(data)) if data.startswith(b"WARC/1.1\r\n", i)]
+    place = {"first": 0, "inner": places[9], "end": None}[at]
+    with open(path, "wb") as f:
+        f.write(data[:-5] if place is None else data[:place] + b"warc" + data[place + 4 :])
+    for block in (300, 8 << 20):
+        with pytest.raises(Exception, match="no whole record"):
+            read_warc(manifest, block=block).collect()
+
+
 def test_warc_query(spark):
     rows = spark.read.parquet(f"{D}/pages.parquet").collect()
     got = {r.page_id: r for r in queries.QUERIES["op10_warc"](spark, D).collect()}
