@@ -13,6 +13,16 @@ from ludograph.session import staged
 MARK = "\n[Event "
 MAX_FILE = 256 << 20
 
+# One record as the fast way should cut it: tag lines (with blank, comment and escape lines between), then movetext whose
+# comments are closed and whose lines outside comments begin with no bracket. All loops are possessive, so that
+# long records take linear time and no stack.
+_TAGS = r"(?:\[(?:[^\]\"\n]++|\"(?:[^\"\\\n]++|\\[^\n])*+\")*+\][^\S\n]*+)++"
+_PASSED = r"[^\S\n]*+(?:[%;][^\n]*+)?+\n"
+_PLAIN_RECORD = (
+    rf"\A(?:{_PASSED})*+[ \t]*+{_TAGS}(?:;[^\n]*+)?+\n(?:{_PASSED}|[ \t]*+{_TAGS}(?:;[^\n]*+)?+\n)*+"
+    r"[^\S\n]*+(?=[^\s\[%;])(?:[^{;\n]++|\{[^}]*+\}|;[^\n]*+|\n[ \t]*+(?:%[^\n]*+|(?!\[)))++\z"
+)
+
 
 def decode_text(c: Column | str) -> Column:
     """Bytes -> text: UTF-8 when valid, else Windows-1252; byte order mark and CR removed."""
@@ -37,7 +47,8 @@ def read_records(
     It is right where Event is the first tag and stands in no comment, as in almost all files. ``strict``
     reads lines and cuts where a tag line follows movetext outside comments. There a file is worked on as
     a whole up to ``max_file`` bytes; a larger one by its splits, joined up by totals. By default all files
-    are looked through the fast way first, and those it would cut wrongly are read strictly.
+    are looked through the fast way first, and those with a record that it may have cut wrongly are read strictly.
+    A tag section without movetext belongs to the record of the next one.
 
     Records that are not valid UTF-8 are taken as Windows-1252.
     """
@@ -165,11 +176,12 @@ def group_lines(numbered: DataFrame) -> DataFrame:
 
 
 def needs_strict(records: DataFrame) -> DataFrame:
-    """Files where the fast way is not safe: a record holds a second tag section after movetext, or ends in a comment."""
-    shown = F.regexp_replace("raw", r"\{[^}]*\}", " ")
-    again = shown.rlike(r"(?s)^\s*(?:\[[^\n]*+\n\s*)*+[^\[%\s].*\n[ \t]*\[\w+[ \t]+\"")
-    odd = again | F.regexp_replace(shown, r"(?m);.*$", "").contains("{")
-    return records.filter(odd).select("file").distinct()
+    """Files where the fast way is not safe: a record is not plainly tags and then movetext.
+
+    It may have tags without movetext (more tags follow the cut), a line that begins with a bracket behind movetext
+    (whatever its name and value), an open comment, or no tags in front.
+    """
+    return records.filter(~F.col("raw").rlike(_PLAIN_RECORD)).select("file").distinct()
 
 
 def records_of_texts(texts: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
