@@ -36,8 +36,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id; of rows that repeat id and text, one."""
-    groups = dedup_texts(docs.select("doc_id", "text"))
-    rest = docs.join(staged(groups.where(~F.col("kept")).select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    groups = dedup_texts(docs.select("doc_id", "text"), hashed=True)
+    copies = staged(groups.where(~F.col("kept")).select("doc_id", F.col("tx").alias("_tx")).distinct())
+    rest = docs.withColumn("_tx", F.xxhash64("text")).join(copies, ["doc_id", "_tx"], "left_anti").select(docs.columns)
     again = docs.where("doc_id is not null and text is not null").groupBy("doc_id", F.xxhash64("text").alias("tx"))
     again = staged(again.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct())
     if again.isEmpty():

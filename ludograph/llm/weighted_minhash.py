@@ -15,7 +15,7 @@ more; nothing is capped.
 Texts are read twice (frequencies, samples); only the texts of documents that share a bucket are shuffled on.
 
 Null texts and rows without an id link with nothing. Texts without any word link with equal texts only. Repeated
-rows are copies. An empty table gives no rows.
+rows are copies. Rows that share an id but not the text are nodes of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -186,11 +186,29 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return wide.mapInArrow(compare, "a long, atx long, b long, btx long, similarity double")
 
 
-def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+def numbered_nodes(signed: DataFrame) -> DataFrame | None:
+    """Where an id has several texts: a number ``node`` for every id and text hash, in order of both. None where ids tell
+    the texts apart, and serve as numbers themselves."""
+    several = signed.groupBy("id").agg(F.min("tx").alias("low"), F.max("tx").alias("high")).where("low < high")
+    if several.isEmpty():
+        return None
+    ranges = signed.select("id", "tx").distinct().repartitionByRange("id", "tx").sortWithinPartitions("id", "tx")
+    return staged(ranges.withColumn("node", F.monotonically_increasing_id()))
+
+
+def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, hashed: bool = False) -> DataFrame:
     """One row a row of ``docs``: ``key``, ``class_id`` (least id of the texts with equal words), ``component_id``
-    (least id reachable by links) and ``kept`` (that id is its own, or it links with nothing)."""
+    (least id reachable by links), ``kept`` (the row is its component's least, or it links with nothing) and, if
+    ``hashed``, ``tx`` (xxhash64 of the text), which tells rows apart that share an id."""
     idf = inverse_frequencies(docs, text)
     signed = staged(signatures(docs, idf, key, text))
+    nodes = numbered_nodes(signed)
+
+    def as_nodes(df: DataFrame) -> DataFrame:
+        return df if nodes is None else df.join(nodes, ["id", "tx"]).withColumn("id", F.col("node")).drop("node")
+
+    if nodes is not None:
+        signed = staged(as_nodes(signed))
     whole = F.struct("id", "tx", "w", "p1", "p2", "bands")
     reps = staged(signed.groupBy("c1", "c2").agg(F.min(whole).alias("r")))
     members = reps.select(F.struct("r.id", "r.tx", "r.w", "r.p1", "r.p2").alias("m"), F.posexplode("r.bands").alias("band", "bucket"))
@@ -198,7 +216,7 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     grouped = staged(members.join(leads, ["band", "bucket"]))
     in_buckets = grouped.select(F.col("m.id").alias("id"), F.col("m.tx").alias("tx")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tx"), F.col(text).alias("text"))
-    texts = staged(texts.join(in_buckets, ["id", "tx"], "left_semi").dropDuplicates(["id", "tx"]))
+    texts = staged(as_nodes(texts.where("id is not null and text is not null")).join(in_buckets, ["id", "tx"], "left_semi").dropDuplicates(["id", "tx"]))
 
     star = grouped.where("m.id != lead.id or m.tx != lead.tx").withColumn("near", _may_be_near("m", "lead", threshold))
     pairs = star.where("near").select(F.struct("lead.id", "lead.tx").alias("a"), F.struct("m.id", "m.tx").alias("b")).distinct()
@@ -217,11 +235,16 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     classes = signed.select("id", "tx", "c1", "c2").distinct().join(reps.select("c1", "c2", F.col("r.id").alias("class_id")), ["c1", "c2"])
     classes = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
     classes = classes.select("id", "tx", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    classes = classes.withColumn("own", F.col("id") == F.col("component_id"))
+    if nodes is not None:
+        for name in ("class_id", "component_id", "id"):
+            of = nodes.select(F.col("node").alias(name), F.col("id").alias("_id"))
+            classes = classes.join(of, name).withColumn(name, F.col("_id")).drop("_id")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tx"), F.col(text).isNotNull().alias("told"))
     found = rows.join(classes.withColumn("told", F.lit(True)), ["id", "tx", "told"], "left")
-    component = F.coalesce("component_id", "id")
-    return found.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), component.alias("component_id"),
-                        F.col("id").eqNullSafe(component).alias("kept"))
+    return found.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"),
+                        F.coalesce("component_id", "id").alias("component_id"), F.coalesce("own", F.lit(True)).alias("kept"),
+                        *(["tx"] if hashed else []))
 
 
 UNIT = ["band", "bucket", "i", "j"]

@@ -288,3 +288,17 @@ def test_pipeline_of_odd_rows(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_distinct(spark, odd, D).collect()]
     assert len(kept) == 4 and set(kept) == {(None, text), (1, text), (3, None), (4, "")}
     assert corpus_pipeline.tokens(spark, odd, D).count() == 6
+
+
+def test_near_distinct_of_repeated_ids(spark):
+    """Rows that share an id but not the text are judged one by one."""
+    rng = random.Random(5)
+    one, two, own = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(5, one), (7, one + " x"), (7, two), (9, two + " y"), (9, own), (9, own.upper() + "!"), (None, one), (7, None), (7, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_distinct(spark, df, D).collect()]
+    assert {(5, one), (7, two), (None, one), (7, None)} <= set(kept) and len(kept) == 5
+    assert sum(t.lower().startswith(own.lower()) for i, t in kept if i == 9) == 1
+    got = {(r.doc_id, r.kept): r.component_id for r in M.dedup_texts(df.where("text is not null")).collect()}
+    assert got == {(5, True): 5, (7, False): 5, (7, True): 7, (9, False): got[9, False], (9, True): 9, (None, True): None}
+    assert M.dedup_texts(df).columns == ["doc_id", "class_id", "component_id", "kept"]
