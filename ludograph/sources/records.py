@@ -57,11 +57,11 @@ def read_records(
     fast = _read_fast(spark, paths)
     if strict is False:
         return fast
-    # Names of files, as the driver's own listing holds them.
-    odd = sorted(r["file"] for r in needs_strict(fast).collect())
-    if not odd:
+    # There may be many: their names are written, not brought to the driver.
+    odd = staged(needs_strict(fast))
+    if odd.isEmpty():
         return fast
-    return fast.filter(~F.col("file").isin(odd)).unionByName(_read_strict(spark, odd, max_file))
+    return fast.join(odd, "file", "left_anti").unionByName(_read_strict(spark, paths, max_file, odd))
 
 
 def _read_fast(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -148,7 +148,8 @@ def line_records(lines: DataFrame, bucket: Column | None = None, hot: DataFrame
     return counted.withColumn("record", F.col("record") + F.col("_begins")).drop("_begins")
 
 
-def _read_strict(spark: SparkSession, paths, max_file: int) -> DataFrame:
+def _read_strict(spark: SparkSession, paths, max_file: int, only: DataFrame | None = None) -> DataFrame:
+    """``only``: names of the files to read (``file``), if not all."""
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -159,6 +160,8 @@ def _read_strict(spark: SparkSession, paths, max_file: int) -> DataFrame:
     sizes = spark.read.format("binaryFile").load(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length")
     )
+    if only is not None:
+        lines, sizes = lines.join(only, "file", "left_semi"), sizes.join(only, "file", "left_semi")
     large = sizes.filter(F.col("length") > max_file)
     if large.limit(1).count() == 0:
         return group_lines(line_records(lines))
