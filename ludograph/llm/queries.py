@@ -134,3 +134,35 @@ def decontaminate(spark: SparkSession, d: str) -> DataFrame:
     from ludograph.llm.decontaminate import find_leaks
 
     return find_leaks(read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "benchmark"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """In texts whose id has a crc32 divisible by ten, the words from one place on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g"))
+    cut = cut.select("*", F.size("words").cast("long").alias("n"))
+    cut = cut.select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a"))
+    cut = cut.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+
+    def word(i):
+        source = F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+        return F.get("words", source.cast("int"))
+
+    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), word), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.periodic_runs import find_runs, strongest
+
+    found = find_runs(with_planted_runs(read_table(spark, d, "documents"))).drop("text")
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = found.select("*", strongest(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
