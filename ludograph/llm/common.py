@@ -126,11 +126,15 @@ def exclusive_sums(df: DataFrame, order: list[str], value: str, out: str, block:
 
 
 class Recent:
-    """Values of keys, worked out once while they stay in use. Two generations of at most ``limit`` entries bound
-    the memory; only speed depends on what is forgotten."""
+    """Values of keys, worked out once while they stay in use. Two generations of at most ``limit`` entries (or bytes,
+    where ``weigh`` gives those of a key and its value) bound the memory; only speed depends on what is forgotten."""
 
-    def __init__(self, make: Callable[[list], Iterable], limit: int):
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+    def __init__(self, make: Callable[[list], Iterable], limit: int, weigh: Callable | None = None):
+        self.make, self.limit, self.weigh, self.young, self.old = make, limit, weigh, {}, {}
+        self.held = 0
+
+    def _weight(self, entries: dict) -> int:
+        return sum(map(self.weigh, entries, entries.values())) if self.weigh else len(entries)
 
     def table(self, keys: set) -> dict:
         """A dictionary that holds every one of the keys."""
@@ -139,8 +143,11 @@ class Recent:
             found = {k: self.old[k] for k in missing if k in self.old}
             new = list(missing.difference(found))
             found.update(zip(new, self.make(new), strict=True))
-            if len(self.young) + len(found) > self.limit:
+            more = self._weight(found)
+            if self.held + more > self.limit:
                 self.old, before = self.young, self.young
                 self.young = {k: before[k] for k in keys if k in before}
+                self.held = self._weight(self.young)
             self.young.update(found)
+            self.held += more
         return self.young

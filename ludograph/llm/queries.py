@@ -15,6 +15,8 @@ ORACLE: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SEPARATOR = 50256  # free in the rank file
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -166,3 +168,16 @@ def periodic_runs(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@register("op12_token_alignment")
+def token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.alignment import align_texts, judge_links, pair_counts
+    from ludograph.llm.common import staged
+
+    docs = read_table(spark, d, "documents")
+    aligned = staged(align_texts(docs, content(BYTE_BPE).decode(), content(PIECE_BPE), digest=True))
+    return judge_links(aligned, pair_counts(aligned)).select(
+        F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.col("groups").alias("groups_sha256"),
+    )
