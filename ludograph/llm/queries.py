@@ -181,3 +181,18 @@ def token_alignment(spark: SparkSession, d: str) -> DataFrame:
         F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
         F.col("groups").alias("groups_sha256"),
     )
+
+
+@register("op13_pii")
+def pii(spark: SparkSession, d: str) -> DataFrame:
+    from ludograph.llm.pii import KINDS, find_pii, fit_pii, scan, spans_of_kind, written
+
+    scanned = scan(read_table(spark, d, "documents"))
+    found = find_pii(scanned, fit_pii(scanned))
+    added = F.transform("added", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    counts = [spans_of_kind(F.col("base"), k).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select(
+        F.col("key").alias("doc_id"), *counts, F.size("added").cast("long").alias("n_added"),
+        F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        written(F.concat("base", added)).alias("spans"),
+    )
