@@ -18,12 +18,11 @@ empty table gives no rows. Only key and text are read, so further columns and th
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
-from bisect import bisect_left
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,45 +31,57 @@ from pyspark.sql import functions as F
 
 from ludograph.llm.common import Recent, prepare, slices, staged
 
-CACHED_BYTES = 64 << 20  # of each of two generations, in a worker
+CACHED_BYTES = 128 << 20  # of each of two generations, in a worker
 MAX_MODEL = 64 << 20
 MAX_PAIRS = 4_000_000  # pairs of ids that are broadcast, some 100 MB; a vocabulary's usual pairs are far fewer
 SALTS = 32
+PROBES = 64
 ALIGNED = ("row long, key long, n_a long, n_b long, n_groups long, n_links long, groups string, "
            "links array<struct<a:int,b:int,n:int>>")
 
 _aligners: dict[bytes, Aligner] = {}
 
 
-def shared_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """For two rising lists of ends with the same last one: how many of each lie up to each shared end, in order."""
-    out: list[tuple[int, int]] = []
-    waiting = [(0, len(a), 0, len(b))]  # intervals still to be worked on, the first one last
-    while waiting:
-        a0, a1, b0, b1 = waiting.pop()
-        middle, last = (a0 + a1 - 1) // 2, a1 - 1
-        for step in range(a1 - a0):
-            at = middle + (step + 1) // 2 * (1 if step % 2 else -1)
-            if not a0 <= at < last:
-                continue
-            place = bisect_left(b, a[at], b0, b1 - 1)
-            if place < b1 - 1 and b[place] == a[at]:
-                waiting += [(at + 1, a1, place + 1, b1), (a0, at + 1, b0, place + 1)]
-                break
-        else:
-            out.append((a1, b1))
-    return out
-
-
-def overlaps(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places of the pairs whose ranges overlap, for two lists of ends with the same last one."""
-    out, i, j = [], 0, 0
-    while i < len(a):
-        out.append((i, j))
-        x, y = a[i], b[j]
-        i += x <= y
-        j += y <= x
-    return out
+def shared_cuts(a: np.ndarray, b: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For two rising arrays of ends with the same last one: how many of each lie up to each shared end, in order.
+    ``known`` are shared ends to begin with. All open intervals take a step at a time; one that shows no shared end in
+    ``PROBES`` steps is looked through in one."""
+    limits = a[-1:] if known is None else known
+    a1, b1 = np.searchsorted(a, limits) + 1, np.searchsorted(b, limits) + 1
+    a0, b0 = np.append(0, a1[:-1]), np.append(0, b1[:-1])
+    step = np.zeros(len(a0), dtype=np.int64)
+    cuts = [a[a1 - 1]]
+    while len(a0):
+        at = (a0 + a1 - 1) // 2 + (step + 1) // 2 * np.where(step % 2, 1, -1)
+        inside = (at >= a0) & (at < a1 - 1)
+        ends = a[np.where(inside, at, a0)]
+        place = np.searchsorted(b, ends)
+        hit = inside & (b[np.minimum(place, len(b) - 1)] == ends)
+        cuts.append(ends[hit])
+        step += 1
+        late = ~hit & (step >= PROBES) & (step < a1 - a0)
+        for i in np.flatnonzero(late):
+            cuts.append(np.intersect1d(a[a0[i] : a1[i] - 1], b[b0[i] : b1[i] - 1], assume_unique=True))
+        more = ~hit & ~late & (step < a1 - a0)
+        h, p = at[hit] + 1, place[hit] + 1
+        zero = np.zeros(2 * len(h), dtype=np.int64)
+        a0, a1, b0, b1, step = (np.concatenate(x) for x in (
+            (a0[more], a0[hit], h), (a1[more], h, a1[hit]), (b0[more], b0[hit], p), (b1[more], p, b1[hit]), (step[more], zero)))
+        wide = a1 - a0 > 1
+        a0, a1, b0, b1, step = a0[wide], a1[wide], b0[wide], b1[wide], step[wide]
+    shared = np.sort(np.concatenate(cuts))
+    return np.searchsorted(a, shared) + 1, np.searchsorted(b, shared) + 1
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs whose ranges overlap, and the end of what they share, for two rising arrays of ends with the
+    same last one: every stretch between two ends next to each other belongs to one pair of its own."""
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends), ends
+
+
+def _bytes_of(piece: str, found: tuple | None) -> int:
+    return 400 + len(piece) + (len(found[3]) + len(found[4]) if found else 0)
 
 
 class Aligner:
@@ -91,7 +102,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
-        self.size_a, self.size_b = {i: len(t) for i, t in self.bytes_a.items()}, list(map(len, self.bytes_b))
+        self.size_a, self.size_b = np.zeros(max(self.bytes_a) + 1, dtype=np.int64), np.array(list(map(len, self.bytes_b)))
+        for i, t in self.bytes_a.items():
+            self.size_a[i] = len(t)
+        self.most = max(len(self.size_a), len(self.size_b))
+        self.written = np.array([f"{i}{sign}" for sign in ",|;" for i in range(self.most)], dtype=object)
         shape = json.loads(model_a)
         before = shape.get("pre_tokenizer") or {}
         # The byte-level pattern never joins a visible character and a blank behind it; neither does a piece.
@@ -99,7 +114,7 @@ class Aligner:
                      and not before.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in pieces))
         self.odd = re.compile(r"\s | \s|\A | \Z")
         self.between = re.compile(r"(?<=\S) (?=\S)")
-        self.pieces = Recent(self._align, CACHED_BYTES, lambda k, v: 400 + len(k) + (len(v[3]) + len(v[4]) if v else 0))
+        self.pieces = Recent(self._align, CACHED_BYTES, _bytes_of)
 
     def cut(self, text: str) -> list[str]:
         """Pieces that stand behind one blank each."""
@@ -107,25 +122,45 @@ class Aligner:
             return [text]
         return self.between.split(text) if self.odd.search(text) else text.split(" ")
 
-    def _align(self, pieces: list[str]):
-        """(tokens of A, of B, groups, links, groups as text) of each piece; None where the bytes differ."""
+    def _encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        of_a, of_b = [], []
         for at in range(0, len(pieces), 1000):
             part = pieces[at : at + 1000]
-            of_a = self.a.encode_batch_fast([" " + p for p in part], add_special_tokens=False)
-            of_b = self.b.encode(part, num_threads=1)
-            for piece, a, b in zip(part, of_a, of_b):
-                a, whole = a.ids, b" " + piece.encode()
-                if not (b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))):
-                    yield None
-                    continue
-                ends_a = list(accumulate(map(self.size_a.__getitem__, a)))
-                ends_b = list(accumulate(map(self.size_b.__getitem__, b)))
-                groups, i, j = [], 0, 0
-                for k, m in shared_cuts(ends_a, ends_b):
-                    groups.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
-                    i, j = k, m
-                links = [a[i] << 32 | b[j] for i, j in overlaps(ends_a, ends_b)]
-                yield len(a), len(b), len(groups), np.array(links, dtype=np.int64).tobytes(), ";".join(groups)
+            of_a += [e.ids for e in self.a.encode_batch_fast([" " + p for p in part], add_special_tokens=False)]
+            of_b += self.b.encode(part, num_threads=1)
+        return of_a, of_b
+
+    def _joined(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+        return b"".join(map(self.bytes_a.__getitem__, a)), b"".join(map(self.bytes_b.__getitem__, b))
+
+    def _align(self, pieces: list[str]) -> list[tuple | None]:
+        """(tokens of A, of B, groups, links, groups as text) of each piece; None where the bytes differ."""
+        of_a, of_b = self._encode(pieces)
+        fit = [i for i, p in enumerate(pieces) if self._joined(of_a[i], of_b[i]) == ((" " + p).encode(),) * 2]
+        out: list[tuple | None] = [None] * len(pieces)
+        if not fit:
+            return out
+        n_a, n_b = (np.array([len(side[i]) for i in fit]) for side in (of_a, of_b))
+        ids_a, ids_b = (np.array([t for i in fit for t in side[i]], dtype=np.int64) for side in (of_a, of_b))
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])  # the pieces one after another
+        limits = ends_a[np.cumsum(n_a) - 1]
+        cut_a, cut_b = shared_cuts(ends_a, ends_b, limits)
+        last = np.searchsorted(ends_a[cut_a - 1], limits) + 1
+        i, j, ends = overlaps(ends_a, ends_b)
+        links, until = ids_a[i] << 32 | ids_b[j], np.searchsorted(ends, limits) + 1
+        # The ids of a group's A tokens, then of its B tokens, each with the sign behind it.
+        signs_a, signs_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+        signs_a[cut_a - 1], signs_b[cut_b - 1] = 1, 2
+        group = np.concatenate([np.searchsorted(cut_a, np.arange(len(ids_a)), "right"),
+                                np.searchsorted(cut_b, np.arange(len(ids_b)), "right")])
+        order = np.argsort(group, kind="stable")
+        words = self.written[np.concatenate([signs_a * self.most + ids_a, signs_b * self.most + ids_b])[order]].tolist()
+        raw, w = links.tobytes(), 0
+        for k, a, b, g, g0, s, s0 in zip(fit, n_a.tolist(), n_b.tolist(), last.tolist(), [0, *last[:-1].tolist()],
+                                         until.tolist(), [0, *until[:-1].tolist()]):
+            out[k] = a, b, g - g0, raw[8 * s0 : 8 * s], "".join(words[w : w + a + b])[:-1]
+            w += a + b
+        return out
 
     def align(self, texts: list[str | None]):
         """(tokens of A, of B, groups, groups as text, linked pairs, how often each) of each text."""
@@ -160,6 +195,13 @@ def align_texts(df: DataFrame, model_a: str, model_b: bytes, key: str = "doc_id"
     shared = prepare(df.sparkSession).sparkContext.broadcast((model_a, model_b))
 
     def work(batches):
+        gc.disable()  # the remembered pieces hold no cycles, and looking through them again and again takes long
+        try:
+            yield from aligned(batches)
+        finally:
+            gc.enable()
+
+    def aligned(batches):
         tool = aligner(*shared.value)
         for batch in slices(batches):
             rows = list(tool.align(batch.column(2).to_pylist()))

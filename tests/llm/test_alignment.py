@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -26,10 +27,21 @@ def test_cuts_and_overlaps():
         n = rng.randrange(1, 40)
         a, b = ([*sorted(rng.sample(range(1, n), rng.randrange(n))), n] for _ in "ab")
         both = sorted(set(a) & set(b))
-        assert shared_cuts(a, b) == [(a.index(x) + 1, b.index(x) + 1) for x in both]
+        want = [(a.index(x) + 1, b.index(x) + 1) for x in both]
+        known = np.array(sorted({*rng.sample(both, rng.randrange(len(both))), n}))
+        for start in (None, known):
+            assert list(zip(*[x.tolist() for x in shared_cuts(np.array(a), np.array(b), start)])) == want
         ranges = [[(s, e) for s, e in zip([0, *x], x)] for x in (a, b)]
         want = [(i, j) for i, (s, e) in enumerate(ranges[0]) for j, (t, f) in enumerate(ranges[1]) if s < f and t < e]
-        assert overlaps(a, b) == want
+        assert list(zip(*[x.tolist() for x in overlaps(np.array(a), np.array(b))[:2]])) == want
+
+
+def test_cuts_far_from_the_middle():
+    a = np.append(np.arange(1, 4000, 2), 4001)
+    b = np.sort(np.append(np.arange(2, 4000, 2), [1, 3, 3999, 4001]))
+    ends = np.intersect1d(a, b)
+    cut_a, cut_b = shared_cuts(a, b)
+    assert a[cut_a - 1].tolist() == b[cut_b - 1].tolist() == ends.tolist() == [1, 3, 3999, 4001]
 
 
 def plain(texts):
@@ -76,7 +88,7 @@ def plain(texts):
 
 ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a\n b \nc", "▁x", "a ▁b", "<s> </s> <|endoftext|> <unk> <0x41>",
        "it's we'll  don't", "tab\there", "x  y", "\x00 a", "\x1c b \x1cc", "é ́e", "\U0001f600 \U0001f600\U0001f601 z",
-       "12 345 6,7", "中文 字", "\r\n\r\n x", "word " * 3000, "z" * 30_000, "　 a", "a  b", "... !!  ,,", "﻿ a"]
+       "12 345 6,7", "中文 字", "\r\n\r\n x", "word " * 3000, "z" * 30_000, "　 a", "a  b", "... !!  ,,", "﻿ a", "ab.\nCd", "a.\n", "\nA", "a\n\nb", "don't,\n(x) \n<0x0A>", "xÀ,ɏ. z̈,y", "a\n▁", "1\n2", "it's\nIT'S"]
 
 
 def odd_texts(n=400):
