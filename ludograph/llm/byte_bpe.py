@@ -8,8 +8,10 @@ lately are remembered (a bounded number), each document then strings its words'
 Decoding: rows of (document, position, id) join the vocabulary; an ordered aggregation puts the bytes together.
 
 The merge table holds each pair of tokens whose joined bytes are a token, with that token's rank: the least rank
-merges first, as in the rank file's own library. The vocabulary is broadcast (its size is checked). One word of n
-bytes takes at most n steps, so a run of letters of many thousands is slow but right.
+merges first, as in the rank file's own library. The vocabulary is broadcast (its size is checked). A word of n bytes
+takes at most n steps of n rows. Words from ``LONG_WORD`` bytes on contract all pairs of their least rank in a step, from the
+left and without overlap, so that they take a step for each rank that occurs. That is the same as one after another, unless a
+new pair ranks before the one contracted; then the step takes the leftmost pair only.
 
 Null and empty texts have no ids and decode to empty bytes. An id outside the vocabulary, or null, raises an error.
 Columns named like a new one are replaced.
@@ -18,7 +20,8 @@ Columns named like a new one are replaced.
 from __future__ import annotations
 
 import base64
-import zlib
+import gc
+import hashlib
 from array import array
 
 import duckdb
@@ -30,7 +33,8 @@ from pyspark.sql import types as T
 
 from ludograph.llm.common import Recent, give_back, prepare, slices
 
-CACHED = 150_000
+CACHED_BYTES = 48 << 20  # of each of two generations of words and of pieces, in a worker
+LONG_WORD = 400
 CHUNK_BYTES = 400_000  # of distinct words in one recursive query
 MAX_VOCABULARY = 32 << 20
 
@@ -75,12 +79,57 @@ with recursive s as (
 select w, list(t order by p) as ids from s where c = 0 group by w
 """
 
+LONG_START = """
+create or replace temp table start_long as
+select w, p, t, m.k, (count(m.k) over (partition by w))::int as c
+from (select w, p, t, lead(t) over (partition by w order by p) as nt from given) left join merges m on m.pair = (t::bigint << 32) | nt
+"""
+
+# k rank of the pair with the next row, r the least of the word. Of hits in a row every second one is free of overlap.
+# early: a pair with the new token would rank before it.
+LONG_ENCODE = """
+with recursive s as (
+  select w, p, t, k, c from start_long
+  union all
+  select w, p, t, k, (count(k) over (partition by w))::int as c from (
+    select w, p, t, m.k from (
+      select w, p, t, lead(t) over (partition by w order by p) as nt from (
+        select w, p, case when taken then r else t end as t, coalesce(lag(taken) over (partition by w order by p), false) as gone
+        from (
+          select w, p, t, r, free and (p = first or not bool_or(free and early) over (partition by w)) as taken from (
+            select h.w, h.p, h.t, h.r, h.hit and row_number() over (partition by h.w, h.island, h.hit order by h.p) % 2 = 1 as free,
+              min(case when h.hit then h.p end) over (partition by h.w) as first,
+              h.hit and least(ml.k, mr.k, mm.k) < h.r as early
+            from (
+              select *, sum((not hit)::int) over (partition by w order by p) as island from (
+                select *, coalesce(k = r, false) as hit from (
+                  select w, p, t, k, min(k) over (partition by w) as r, lag(t) over o as pt, lead(t, 2) over o as t2
+                  from s where c > 0 window o as (partition by w order by p)
+                )
+              )
+            ) h
+            left join merges ml on h.hit and ml.pair = (h.pt::bigint << 32) | h.r
+            left join merges mr on h.hit and mr.pair = (h.r::bigint << 32) | h.t2
+            left join merges mm on h.hit and mm.pair = (h.r::bigint << 32) | h.r
+          )
+        )
+      ) where not gone
+    ) left join merges m on m.pair = (t::bigint << 32) | nt
+  )
+)
+select w, list(t order by p) as ids from s where c = 0 group by w
+"""
+
 DECODE = """
 select d, unhex(array_to_string(list(hex order by p), '')) as bytes, count(*) as n
 from given join vocabulary using (id) group by d
 """
 
-_coders: dict[int, ByteBpe] = {}
+_coders: dict[bytes, ByteBpe] = {}
+
+
+def _bytes_of(key: str, ids: bytes) -> int:
+    return 250 + len(key) + len(ids)
 
 
 class ByteBpe:
@@ -88,12 +137,12 @@ class ByteBpe:
 
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = ranks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.held: set[str] = set()
         self.cut = regex.compile(pattern)
         self.late = regex.compile(r" \s")
-        self.words = Recent(self._encode_words, CACHED)
-        self.pieces = Recent(self._encode_pieces, CACHED)
+        self.words = Recent(self._encode_words, CACHED_BYTES, _bytes_of)
+        self.pieces = Recent(self._encode_pieces, CACHED_BYTES, _bytes_of)
 
     def _need(self, name: str) -> None:
         """Load the merge table or the vocabulary when it is first used: a worker mostly encodes or decodes only."""
@@ -122,29 +171,31 @@ class ByteBpe:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         raw = [w.encode() for w in words]
         sizes = np.array([len(b) for b in raw])
-        chunk = np.cumsum(sizes) // CHUNK_BYTES
-        out: list[bytes] = []
-        for c in np.unique(chunk):
-            a, b = np.searchsorted(chunk, [c, c + 1])
-            out += self._merge(raw[a:b], sizes[a:b])
+        out: list[bytes] = [b""] * len(raw)
+        for places, long in ((np.flatnonzero(sizes < LONG_WORD), False), (np.flatnonzero(sizes >= LONG_WORD), True)):
+            chunk = np.cumsum(sizes[places]) // CHUNK_BYTES
+            for c in np.unique(chunk):
+                part = places[chunk == c]
+                for i, ids in zip(part.tolist(), self._merge([raw[i] for i in part.tolist()], sizes[part], long)):
+                    out[i] = ids
         return out
 
-    def _merge(self, raw: list[bytes], sizes: np.ndarray) -> list[bytes]:
+    def _merge(self, raw: list[bytes], sizes: np.ndarray, long: bool = False) -> list[bytes]:
         self._need("merges")
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.db.register("given", pa.table({
             "w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "p": place.astype(np.int32),
             "t": self.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)],
         }))
-        self.db.execute(START)
-        found = self.db.sql(ENCODE).to_arrow_table()
+        self.db.execute(LONG_START if long else START)
+        found = self.db.sql(LONG_ENCODE if long else ENCODE).to_arrow_table()
         self.db.unregister("given")
         ids = found["ids"].combine_chunks()
-        flat = ids.flatten().to_numpy()
-        ends = np.cumsum(ids.value_lengths().to_numpy())
+        flat = ids.flatten().to_numpy().tobytes()
+        ends = 4 * np.cumsum(ids.value_lengths().to_numpy())
         out = [b""] * len(raw)
         for w, a, b in zip(found["w"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
-            out[w] = flat[a:b].tobytes()
+            out[w] = flat[a:b]
         return out
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
@@ -183,9 +234,11 @@ class ByteBpe:
 
 
 def coder(ranks: bytes, pattern: str) -> ByteBpe:
-    """The coder of this worker process for a vocabulary."""
-    key = zlib.crc32(ranks + pattern.encode())
+    """The coder of this worker process for a vocabulary; one is held at a time."""
+    key = hashlib.sha256(ranks + b"\0" + pattern.encode()).digest()
     if key not in _coders:
+        _coders.clear()
+        give_back()
         _coders[key] = ByteBpe(ranks, pattern)
     return _coders[key]
 
@@ -196,43 +249,62 @@ def _shared(df: DataFrame, ranks: bytes, pattern: str):
     return prepare(df.sparkSession).sparkContext.broadcast((ranks, pattern))
 
 
-def _extended(df: DataFrame, name: str, kind: T.DataType, column: str, make) -> DataFrame:
-    """``df`` with a column that ``make`` works out from an Arrow array of another."""
-    if name == column:
+def _extended(df: DataFrame, added: dict[str, T.DataType], column: str, make, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns that ``make`` works out from an Arrow array of another, without those ``dropped``."""
+    if column in added:
         raise ValueError("the new column must have a name of its own")
-    rest = df.drop(name)
+    rest = df.drop(*added)
     at = rest.columns.index(column)
-    schema = T.StructType([*rest.schema.fields, T.StructField(name, kind)])
+    kept = [i for i, c in enumerate(rest.columns) if c not in dropped]
+    schema = T.StructType([*[rest.schema.fields[i] for i in kept], *[T.StructField(n, t) for n, t in added.items()]])
 
     def extend(batches):
-        for batch in slices(batches, 500):
-            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], names=schema.names)
+        gc.disable()  # what is remembered holds no cycles, and looking through it again and again takes long
+        try:
+            for batch in slices(batches, 500):
+                columns = [*[batch.column(i) for i in kept], *make(batch.column(at))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        finally:
+            gc.enable()
 
     return rest.mapInArrow(extend, schema)
 
 
+def _encoded(tool: ByteBpe, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    lists = tool.encode(column.to_pylist())
+    sizes = np.array(list(map(len, lists)), dtype=np.int64)
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), flat, sizes
+
+
 def encode_texts(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the list of token ids. ``ranks`` is the rank file's content: base64 of the token, blank, rank."""
     shared = _shared(df, ranks, pattern)
-
-    def make(column: pa.Array) -> pa.Array:
-        lists = coder(*shared.value).encode(column.to_pylist())
-        ends = np.cumsum([0, *map(len, lists)])
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-
-    return _extended(df, ids, T.ArrayType(T.IntegerType()), text, make)
+    return _extended(df, {ids: T.ArrayType(T.IntegerType())}, text, lambda column: _encoded(coder(*shared.value), column)[:1])
 
 
 def decode_ids(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null lists give empty bytes."""
     shared = _shared(df, ranks, pattern)
 
-    def make(column: pa.Array) -> pa.Array:
+    def make(column: pa.Array) -> list[pa.Array]:
         sizes = column.value_lengths().fill_null(0).to_numpy()
         flat = column.flatten()
         if flat.null_count:
             raise ValueError("a null id")
-        return pa.array(coder(*shared.value).decode(flat.to_numpy(), sizes), pa.binary())
+        return [pa.array(coder(*shared.value).decode(flat.to_numpy(), sizes), pa.binary())]
+
+    return _extended(df, {out: T.BinaryType()}, ids, make)
+
+
+def encode_and_decode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode_texts`` and ``decode_ids`` of its ids in one pass, so a worker holds one set of tables; ``text`` goes."""
+    shared = _shared(df, ranks, pattern)
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        tool = coder(*shared.value)
+        lists, flat, sizes = _encoded(tool, column)
+        return [lists, pa.array(tool.decode(flat, sizes), pa.binary())]
 
-    return _extended(df, out, T.BinaryType(), ids, make)
+    return _extended(df, {ids: T.ArrayType(T.IntegerType()), out: T.BinaryType()}, text, make, (text,))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ludograph.session import shared_folder, ship, staged
 
-__all__ = ["Recent", "exclusive_sums", "fold", "give_back", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
+__all__ = ["Recent", "dealt", "spare", "exclusive_sums", "fold", "give_back", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
 
 SLICE_BYTES = 2 << 20
+TASK_BYTES = 32 << 20
 _C = ctypes.CDLL(None)
 
 
@@ -50,6 +51,22 @@ def open_file(path: str, mode: str = "r"):
     return system.open_output_stream(inner)
 
 
+def spare(name: str, *taken: str) -> str:
+    """``name``, with marks behind it until no column has it; Spark compares names without case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def dealt(rows: DataFrame, size: Column, *keys: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Deal short rows that each stand for ``size`` bytes of a file to tasks by those bytes: adaptive execution, which
+    would merge them by their own few bytes, leaves a given number of partitions as it is."""
+    total, count = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(count, max(2 * cores, -(-int(total) // task_bytes)))), *keys)
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers are used again, and what they keep adds up over a job's stages."""
     pa.default_memory_pool().release_unused()

@@ -96,12 +96,20 @@ def align(item: np.ndarray, passages: np.ndarray) -> np.ndarray:
 
 
 def _item_groups(benchmark: DataFrame, key: str, text: str) -> list[DataFrame]:
-    items = benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = int(size // ITEM_BYTES) + 1
-    if groups == 1:
+    """The items in groups that are small enough to broadcast: at most ``2 * ITEM_BYTES`` of text each."""
+    items = benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text")).distinct()
+    bytes_of = F.octet_length("text").cast("long")
+    size, longest = items.agg(F.coalesce(F.sum(bytes_of), F.lit(0)), F.coalesce(F.max(bytes_of), F.lit(0))).first()
+    if longest > ITEM_BYTES:
+        raise ValueError(f"a test item of {longest} bytes; items are broadcast, so at most {ITEM_BYTES} are taken")
+    if size <= ITEM_BYTES:
         return [items]
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * groups)) == g) for g in range(2 * groups)]
+    groups, largest = int(size // ITEM_BYTES) + 1, size
+    while largest > 2 * ITEM_BYTES:
+        groups *= 2
+        group = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
+        largest = items.groupBy(group.alias("g")).agg(F.sum(bytes_of).alias("size")).agg(F.max("size")).first()[0]
+    return [items.where(group == g) for g in range(groups)]
 
 
 def _groups(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str):
@@ -154,9 +162,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return clean
 
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # a map takes no names with dots
+    rows = docs.toDF(*plain)
     for group in _groups(docs, benchmark, text, item_key, item_text):
-        docs = docs.mapInArrow(cleaner(group), docs.schema)
-    return docs
+        rows = rows.mapInArrow(cleaner(group), rows.schema)
+    return rows.toDF(*names)
 
 
 def _counter(shared):

@@ -61,11 +61,10 @@ def url_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @register("op4_byte_bpe")
 def byte_bpe(spark: SparkSession, d: str) -> DataFrame:
-    from ludograph.llm.byte_bpe import decode_ids, encode_texts
+    from ludograph.llm.byte_bpe import encode_and_decode
 
-    ranks, pattern = content(RANKS), public_tokenizers.PATTERN
-    encoded = encode_texts(read_table(spark, d, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
-    return decode_ids(encoded, ranks, pattern).select(
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return encode_and_decode(docs, content(RANKS), public_tokenizers.PATTERN).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -6,24 +6,26 @@ summary row: how many there are and where the last one is. A prefix scan over th
 exclusive maximum, in two levels, so no task sees all blocks of a huge file) tells each block the number of its first
 document and where it began, which stitches documents that cross blocks.
 
-What follows the last separator of a file is a document that is not ``closed``. Empty files have no documents.
+What follows the last separator of a file is a document that is not ``closed``. Empty files have no documents. A file whose
+size is no multiple of the width of an id is an error.
 """
 
 from __future__ import annotations
 
 import base64
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import new_folder, open_file, prepare, slices, staged
+from ludograph.llm.common import dealt, new_folder, open_file, prepare, slices, staged
 
 BLOCK = 1 << 22
 SUPER = 1024
-MAX_FILE = 1 << 28
+MAX_FILE = 1 << 26
 
 
 def write_flat_tokens(docs: DataFrame, ranks: bytes, pattern: str, separator: int, key: str = "doc_id", text: str = "text",
@@ -41,26 +43,28 @@ def write_flat_tokens(docs: DataFrame, ranks: bytes, pattern: str, separator: in
         if max(separator, *table.values()) >= 1 << 16 or separator in table.values():
             raise ValueError("the separator and all ids must be different and fit 16 bits")
         tool = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        out, keys = None, []
+        out, keys, nulls = None, array("q"), set()
         for batch in slices(batches):
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if out and out.tell() >= max_file:
                     out.close()
-                    yield from _listed(path, out_bytes, keys)
+                    yield from _listed(path, out_bytes, keys, nulls)
                     out = None
                 if not out:
-                    path, keys = f"{folder}/{uuid.uuid4().hex}.tok", []
+                    path, keys, nulls = f"{folder}/{uuid.uuid4().hex}.tok", array("q"), set()
                     out = open_file(path, "w")
                 out.write(np.array([*tool.encode_ordinary(t or ""), separator], dtype="<u2").tobytes())
                 out_bytes = out.tell()
-                keys.append(k)
+                if k is None:
+                    nulls.add(len(keys))
+                keys.append(k or 0)
         if out:
             out.close()
-            yield from _listed(path, out_bytes, keys)
+            yield from _listed(path, out_bytes, keys, nulls)
 
-    def _listed(path: str, size: int, keys: list):
+    def _listed(path: str, size: int, keys: array, nulls: set):
         for a in range(0, len(keys), 10_000):
-            some = keys[a : a + 10_000]
+            some = [None if i in nulls else k for i, k in enumerate(keys[a : a + 10_000], a)]
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([size] * len(some), pa.int64()),
                                               pa.array(range(a, a + len(some)), pa.int64()), pa.array(some, pa.int64())], names=["path", "bytes", "ordinal", key])
 
@@ -75,6 +79,8 @@ def count_tokens(files: DataFrame, separator: int, width: int = 2, block: int =
     def search(batches):
         for batch in batches:
             for path, size, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if size % width:
+                    raise ValueError(f"{path} has {size} bytes, which is not a whole number of ids of {width} bytes")
                 start = b * block
                 stop = min(start + block, size // width)
                 ids = np.frombuffer(open_file(path).read_at((stop - start) * width, start * width), dtype=f"<u{width}")
@@ -88,9 +94,10 @@ def count_tokens(files: DataFrame, separator: int, width: int = 2, block: int =
                     pa.array(inner, pa.int64(), mask=np.arange(len(at)) == 0), pa.array(closed)], names=["path", "b", "k", "at", "before", "closed"])
 
     prepare(files.sparkSession)
-    wanted = files.where(F.col("bytes") >= width).select("path", "bytes").distinct()
-    last = F.floor((F.floor(F.col("bytes") / width) - 1) / block)
-    blocks = wanted.withColumn("b", F.explode(F.sequence(F.lit(0), last))).repartition("path", "b")
+    wanted = files.where("bytes > 0").select("path", "bytes").distinct()
+    last = F.floor((F.ceil(F.col("bytes") / width) - 1) / block)
+    blocks = wanted.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    blocks = dealt(blocks, F.least(F.lit(block * width), F.col("bytes") - F.col("b") * block * width), "path", "b")
     found = staged(blocks.mapInArrow(search, "path string, b long, k long, at long, before long, closed boolean"))
 
     summary = found.groupBy("path", "b").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last")).withColumn("s", F.floor(F.col("b") / SUPER))

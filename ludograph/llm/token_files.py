@@ -13,6 +13,8 @@ A null text is an empty document and has only the end id. An empty table gives n
 
 from __future__ import annotations
 
+import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import Recent, exclusive_sums, new_folder, open_file, prepare, slices, staged
+from ludograph.llm.common import Recent, dealt, exclusive_sums, new_folder, open_file, prepare, slices, staged
 from ludograph.llm.elias_fano import EliasFano
 
 MAGIC = b"EFTOKEN1"
@@ -33,17 +35,32 @@ CACHED = 450_000
 _FOOT = struct.Struct("<QQQBQQ8s")  # documents, null ids, ids, bytes an id, bytes of ends, bytes of document ids
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 
-_encoders: dict[int, TextEncoder] = {}
+_encoders: dict[bytes, TextEncoder] = {}
+
+
+def _drops_blanks(shape: dict) -> bool:
+    """Whether a tokenizer composes and lowers letters and cuts texts into letters, digits and other signs, without the
+    white space between them, and nothing else. Of such a one pieces between blanks can be encoded apart."""
+    steps = (shape.get("normalizer") or {}).get("normalizers") or []
+    first = ((shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return (
+        [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("content") == " "
+        and steps[1].get("pattern") == {"Regex": r"\s+"} and first.get("type") == "Split" and first.get("invert") is True
+        and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": words}
+    )
 
 
 class TextEncoder:
-    """A tokenizer of the ``tokenizers`` library that drops white space, applied to each distinct piece between
-    blanks once. A letter run with ASCII marks behind it is cut there, since such a tokenizer never joins the two."""
+    """A tokenizer of the ``tokenizers`` library. Of one that drops white space each distinct piece between blanks is
+    encoded once, and a letter run with ASCII marks behind it is cut there, since it never joins the two; texts go whole
+    through any other."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.proven = _drops_blanks(json.loads(model))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.shape = regex.compile(r"(\p{L}+)([!-&(-/:-@\[-`{-~]*)")
         self.words = Recent(self._encode_words, CACHED)
@@ -77,15 +94,18 @@ class TextEncoder:
         return [known[m[1]] + (known[m[2]] if m[2] else b"") if m else next(whole) for p, m in zip(pieces, fit)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.proven:
+            return self._each([t or "" for t in texts])
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.pieces.table(set().union(*parts))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 def encoder(model: str) -> TextEncoder:
-    """The encoder of this worker process for a tokenizer's JSON text."""
-    key = zlib.crc32(model.encode())
+    """The encoder of this worker process for a tokenizer's JSON text; one is held at a time."""
+    key = hashlib.sha256(model.encode()).digest()
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = TextEncoder(model)
     return _encoders[key]
 
@@ -181,16 +201,17 @@ def write_token_files(df: DataFrame, model: str, end_id: int, key: str = "doc_id
 def read_token_files(manifest: DataFrame, ids: bool = True, window: int = 1 << 22) -> DataFrame:
     """One row a document, from the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``,
     ``ids_crc32`` (of the ids as unsigned 32-bit little-endian numbers) and, if wanted, ``ids``. At most about
-    ``window`` ids (or one document's) are in memory."""
+    ``window`` ids (or one document's) are in memory. Files are read in parts of about four windows, by many tasks."""
     prepare(manifest.sparkSession)
 
     def read(batches):
         for batch in batches:
-            for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, before, part, size in zip(*(c.to_pylist() for c in batch.columns)):
                 file = TokenFile(path)
                 step = max(1, min(2000, window * file.n_docs // max(file.n_ids, 1)))
-                for a in range(0, file.n_docs, step):
-                    b = min(a + step, file.n_docs)
+                stop = min(part + size, file.n_docs)
+                for a in range(part, stop, step):
+                    b = min(a + step, stop)
                     ends = file.bounds(a, b)
                     keys = [None] * max(0, min(file.nulls, b) - a)
                     keys += file.keys.select(max(a, file.nulls) - file.nulls, b - file.nulls).tolist()
@@ -210,4 +231,8 @@ def read_token_files(manifest: DataFrame, ids: bool = True, window: int = 1 << 2
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
-    return manifest.repartition("path").select("path", "before").mapInArrow(read, schema)
+    size = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_docs") * (4 * window) / F.greatest("n_ids", F.lit(1))))
+    files = manifest.where("n_docs > 0").select("path", "before", "n_docs", "n_ids", size.alias("size"))
+    parts = files.withColumn("part", F.explode(F.expr("sequence(0L, n_docs - 1, size)")))
+    ids_of = F.least("size", F.col("n_docs") - F.col("part")) * F.col("n_ids") / F.col("n_docs")
+    return dealt(parts, ids_of * 4, "path", "part").select("path", "before", "part", "size").mapInArrow(read, schema)

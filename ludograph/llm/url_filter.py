@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import prepare
+from ludograph.llm.common import prepare, spare
 
 Rule = tuple[str, str, str]
 
@@ -96,5 +96,6 @@ def judge_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
 
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     parts = df.select(*[f"`{c}`" for c in kept], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    judged = parts.withColumn("_found", look_up("host", "path"))
-    return judged.select(*[f"`{c}`" for c in kept], "host", "path", "_found.rule", "_found.verdict")
+    found = spare("found", *parts.columns)
+    judged = parts.withColumn(found, look_up("host", "path"))
+    return judged.select(*[f"`{c}`" for c in kept], "host", "path", f"{found}.rule", f"{found}.verdict")

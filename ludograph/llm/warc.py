@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import new_folder, open_file, prepare, slices, staged
+from ludograph.llm.common import dealt, new_folder, open_file, prepare, slices, staged
 
 BLOCK = 8 << 20
 MAX_FILE = 1 << 30
@@ -68,9 +68,9 @@ class Window:
 
     def read_to(self, n: int) -> bool:
         """Read on until ``n`` bytes are held. False if the file ends before."""
-        more = min(n, self.size - self.start) - len(self.data)
-        if more > 0:
-            self.data += self.file.read_at(more, self.start + len(self.data))
+        if n > len(self.data):
+            n_more = min(max(n, len(self.data) * 5 // 4), self.size - self.start) - len(self.data)
+            self.data += self.file.read_at(n_more, self.start + len(self.data))
         return len(self.data) >= n
 
     def header_at(self, at: int) -> tuple[int, int] | None:
@@ -168,7 +168,8 @@ def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
 
     prepare(manifest.sparkSession)
     starts = F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {block}L)"))
-    blocks = manifest.where("size > 0").select("path", "size", starts.alias("start")).repartition("path", "start")
+    blocks = manifest.where("size > 0").select("path", "size", starts.alias("start"))
+    blocks = dealt(blocks, F.least(F.lit(block), F.col("size") - F.col("start")), "path", "start")
     return blocks.mapInArrow(scan, "path string, size long, offset long, next long, leaves long")
 
 
@@ -243,7 +244,9 @@ def read_warc(manifest: DataFrame, block: int = BLOCK, payloads: bool = True) ->
     found = staged(candidates(manifest, block))
     own = F.col("whole") if "whole" in manifest.columns else F.lit(False)
     whole = manifest.where(own & (F.col("size") > 0)).select("path", "size")
-    begin = entries(found, whole).select("path", "size", "offset", "whole").repartition("path", "offset")
+    begin = staged(entries(found, whole).select("path", "size", "offset", "whole"))
+    ends = F.least((F.floor(F.col("offset") / block) + 1) * block, F.col("size"))
+    begin = dealt(begin, ends - F.col("offset"), "path", "offset")
     return begin.mapInArrow(read, ", ".join(f"{n} {k}" for n, k in fields))
 
 

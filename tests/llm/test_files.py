@@ -9,10 +9,11 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from compare import compare, connect
 from ludograph.llm import queries
-from ludograph.llm.byte_bpe import decode_ids, encode_texts
+from ludograph.llm.byte_bpe import ByteBpe, decode_ids, encode_and_decode, encode_texts
 from ludograph.llm.elias_fano import EliasFano
 from ludograph.llm.token_files import TokenFile, read_token_files, write_token_files
 from ludograph.llm.url_filter import judge_urls
@@ -38,7 +39,8 @@ def test_sql(spark, name):
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Net/x", "http://net", "http://net/?q", "https://a.example.net/en/x#y", "https://example.net/en",
             "http://xnet/", "http://a.b.org/fr/", "http://org/fr?x", "HTTP://Example.COM/de/", "http://example.com/DE/", "a://b://c/d", "x://", "http://net:80/"]
-    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls + urls)], "page_id int, url string, verdict string")
+    df = spark.createDataFrame([(i, u, "mine", i) for i, u in enumerate(urls + urls)], "page_id int, url string, verdict string, found int")
+    assert all(r.found == r.page_id for r in judge_urls(df, queries.URL_RULES).collect())
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(df, queries.URL_RULES).collect()}
     want = set()
     for i, u in enumerate(urls + urls):
@@ -83,6 +85,44 @@ def test_byte_bpe_as_the_library(spark):
         decode_ids(spark.createDataFrame([(1, [99999])], "doc_id int, ids array<int>"), ranks, P.PATTERN).collect()
 
 
+def test_long_words(spark):
+    """A word of any length takes a step for each rank that occurs, with the same ids."""
+    import tiktoken
+
+    ranks = queries.content(queries.RANKS)
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
+    rng = random.Random(4)
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(399, 900))) for letters in
+            ("ab", "aab", "abcde", "etaoinshrdlu", "éüa", "aeé中文字ñ", "0123456789", "+-*/.") for _ in range(6)]
+    tool = ByteBpe(ranks, P.PATTERN)
+    for text in made:
+        assert tool.encode([text])[0].tolist() == library.encode_ordinary(text)
+    longest = "a" * 100_000 + " " + "ab" * 50_000
+    row = encode_and_decode(docs(spark, [longest, None]).drop("ids"), ranks, P.PATTERN).orderBy("doc_id").collect()
+    assert bytes(row[0].decoded).decode() == longest and len(row[0].ids) == 75_000 and row[1].ids == []
+    assert row[0].ids[:20] == library.encode_ordinary("a" * 5000)[:20]
+
+
+def test_other_tokenizers_go_whole(spark):
+    """Only of a tokenizer known to drop white space texts are cut."""
+    from tokenizers import Tokenizer
+
+    model = queries.content(queries.BYTE_BPE).decode()
+    tool = Tokenizer.from_str(model)
+    texts = ["two  words", " a b", "x,y. z", None]
+    rows = read_token_files(write_token_files(docs(spark, texts), model, 1)).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in rows] == [tool.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    rows = [(i, "u", "x" * 3000 + str(i), "f", "s") for i in range(400)]
+    manifest = write_warc(pages(spark, rows).coalesce(1), max_file=200_000)
+    records = read_warc(manifest, block=20_000, payloads=False)
+    tasks = records.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 400 and len(tasks) >= 6
+
+
 def test_byte_bpe_query(spark):
     import tiktoken
 

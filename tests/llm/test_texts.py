@@ -7,10 +7,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ludograph.llm import queries
+from ludograph.llm import decontaminate, queries
 from ludograph.llm import weighted_minhash as M
+from ludograph.llm.common import dealt
 from ludograph.llm.decontaminate import align, find_leaks, without_leaks
 from ludograph.llm.labelled import training_rows
 from ludograph.llm.quality import fit_quality, score_quality
@@ -232,6 +234,29 @@ def test_separator_scan_of_files(spark, tmp_path, ids):
     assert got == want + [(n, False)] * (n > 0)
 
 
+def test_blocks_go_to_many_tasks(spark, tmp_path):
+    """Blocks are dealt out by the bytes they stand for, however short their rows are."""
+    size, block = 400_000, 1000
+    paths = [str(tmp_path / f"{i}.tok") for i in range(3)]
+    for path in paths:
+        np.tile(np.array([*range(7), 99], dtype="<u2"), size // 16).tofile(path)
+    files = spark.createDataFrame([(p, size) for p in paths], "path string, bytes long")
+    rows = files.selectExpr("path", "bytes", "explode(sequence(0, 199)) as b")
+    assert rows.repartition("path", "b").rdd.getNumPartitions() < 4  # merged by adaptive execution
+    dealt_out = dealt(rows, F.lit(2 * block), "path", "b", task_bytes=10 * block)
+    tasks = dealt_out.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(tasks) > 100 and max(r["count"] for r in tasks) < 25
+    assert count_tokens(files, 99, block=block).agg({"n_tokens": "sum"}).first()[0] == 3 * 7 * size // 16
+    with pytest.raises(Exception, match="whole number of ids"):
+        count_tokens(files.selectExpr("path", "bytes - 1 as bytes"), 99).collect()
+
+
+def test_flat_files_without_ids(spark):
+    df = spark.createDataFrame([(None, "a", 1), (0, "b c", 2), (None, None, 3)], "doc_id long, text string, ordinal int")
+    listed = write_flat_tokens(df.coalesce(1), queries.content(queries.RANKS), queries.public_tokenizers.PATTERN, 50256)
+    assert sorted((r.ordinal, r.doc_id) for r in listed.collect()) == [(0, None), (1, 0), (2, None)]
+
+
 def test_token_counts_query(spark):
     import base64
 
@@ -290,6 +315,18 @@ def test_pipeline_of_odd_rows(spark):
     assert corpus_pipeline.tokens(spark, odd, D).count() == 6
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """No stage writes over a column, whatever it is called."""
+    text = "a plain text of more than five words for the stages to keep"
+    names = ["tx", "tx_", "_tx", "found", "a.b", "row", "key", "n", "hash", "id", "label", "TX__"]
+    rows = [(i, f"{text} {i}" * 9, *range(len(names))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, df, D)
+        assert kept.columns == df.columns
+        assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in df.collect()}
+
+
 def test_near_distinct_of_repeated_ids(spark):
     """Rows that share an id but not the text are judged one by one."""
     rng = random.Random(5)
@@ -302,3 +339,13 @@ def test_near_distinct_of_repeated_ids(spark):
     got = {(r.doc_id, r.kept): r.component_id for r in M.dedup_texts(df.where("text is not null")).collect()}
     assert got == {(5, True): 5, (7, False): 5, (7, True): 7, (9, False): got[9, False], (9, True): 9, (None, True): None}
     assert M.dedup_texts(df).columns == ["doc_id", "class_id", "component_id", "kept"]
+
+
+def test_groups_of_items_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 400)
+    rows = [(i, f"item number {i} " * 8) for i in range(40)] + [(7, "item number 7 " * 8)] * 30
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    groups = [g.collect() for g in decontaminate._item_groups(items, "item_id", "text")]
+    assert sum(map(len, groups)) == 40 and max(sum(len(r.text) for r in g) for g in groups) <= 800
+    with pytest.raises(ValueError, match="broadcast"):
+        decontaminate._item_groups(items.selectExpr("item_id", "repeat(text, 9) as text"), "item_id", "text")
