@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludograph.llm.byte_bpe import decode_ids, encode_texts
-from ludograph.llm.common import read_table, staged
+from ludograph.llm.byte_bpe import encode_and_decode
+from ludograph.llm.common import read_table, spare, staged
 from ludograph.llm.decontaminate import without_leaks
 from ludograph.llm.quality import fit_quality, quality_score
 from ludograph.llm.queries import RANKS, content
@@ -37,14 +37,16 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id; of rows that repeat id and text, one."""
     groups = dedup_texts(docs.select("doc_id", "text"), hashed=True)
-    copies = staged(groups.where(~F.col("kept")).select("doc_id", F.col("tx").alias("_tx")).distinct())
-    rest = docs.withColumn("_tx", F.xxhash64("text")).join(copies, ["doc_id", "_tx"], "left_anti").select(docs.columns)
+    own = [f"`{c}`" for c in docs.columns]
+    tx = spare("tx", *docs.columns)
+    copies = staged(groups.where(~F.col("kept")).select("doc_id", F.col("tx").alias(tx)).distinct())
+    rest = docs.withColumn(tx, F.xxhash64("text")).join(copies, ["doc_id", tx], "left_anti").select(own)
     again = docs.where("doc_id is not null and text is not null").groupBy("doc_id", F.xxhash64("text").alias("tx"))
     again = staged(again.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct())
     if again.isEmpty():
         return rest
-    once = rest.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return rest.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    once = rest.join(again, "doc_id", "left_semi").select(own).dropDuplicates(["doc_id", "text"])
+    return rest.join(again, "doc_id", "left_anti").select(own).unionByName(once)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +56,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, their number and hash, and the hash of the bytes they decode to."""
-    ranks, pattern = content(RANKS), public_tokenizers.PATTERN
-    encoded = encode_texts(docs.select("doc_id", "text"), ranks, pattern).drop("text")
-    return decode_ids(encoded, ranks, pattern).select(
+    coded = encode_and_decode(docs.select("doc_id", "text"), content(RANKS), public_tokenizers.PATTERN)
+    return coded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
