@@ -9,7 +9,10 @@ from checks import views as V
 from ludograph.functions import columns as C
 from ludograph.functions import text as X
 from ludograph.operators import reports
-from ludograph.operators.openings import build_openings
+from ludograph.operators.explorer import explore
+from ludograph.operators.jobs import StepCounts
+from ludograph.operators.openings import build_openings, name_states
+from ludograph.operators.replay import BoardStates
 from ludograph.plans.export import export_ids, export_pgn
 from ludograph.plans.ingest import ingest
 from ludograph.plans.tables import Store
@@ -131,7 +134,7 @@ def ingest_games(spark, d):
     """Record texts -> replayed, named, de-duplicated games."""
     path = V.scratch(spark)
     _write_records(V.chess_records(spark, d), path)
-    done = ingest(R.read_records(spark, path), openings_from_lines(V.named_lines(spark)))
+    done = ingest(R.read_records(spark, path), openings_from_lines(V.named_lines(spark)), states=BoardStates())
     return _facts(done.games)
 
 
@@ -144,7 +147,7 @@ def ingest_games(spark, d):
 def ingest_positions(spark, d):
     path = V.scratch(spark)
     _write_records(V.chess_records(spark, d), path)
-    done = ingest(R.read_records(spark, path))
+    done = ingest(R.read_records(spark, path), states=BoardStates())
     # Line 7 is back at the start after four plies; games that end there have no row for it.
     return done.positions.groupBy("ply", F.col("result").cast("int").alias("result")).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("move") == C.MOVE_END).cast("bigint")).alias("ended")
@@ -160,7 +163,7 @@ def ingest_positions(spark, d):
 def ingest_statuses(spark, d):
     path = V.scratch(spark)
     _write_records(V.chess_records(spark, d), path)
-    done = ingest(R.read_records(spark, path))
+    done = ingest(R.read_records(spark, path), states=BoardStates())
     return reports.ingest_report(done.statuses).drop("samples")
 
 
@@ -176,10 +179,113 @@ def stream(spark, d):
     half = rows.agg(F.max("k")).first()[0] // 2
     for part in (rows.filter(F.col("k") <= half), rows.filter(F.col("k") > half)):
         part.repartitionByRange(2, "k").sortWithinPartitions("k").select("raw").write.mode("append").text(f"{base}/landing")
-        ingest_stream(spark, f"{base}/landing/*.txt", store, f"{base}/progress", openings=names).awaitTermination()
+        ingest_stream(spark, f"{base}/landing/*.txt", store, f"{base}/progress", openings=names, states=BoardStates()).awaitTermination()
     return _facts(store.read().games)
 
 
+# ---- sessions of events as records, with native states ------------------------------------------
+
+JOB = StepCounts(vocabulary=tuple(V.STEPS))
+_LINES = [("A01", "First look", "view"), ("A02", "Look and click", "view click"), ("B01", "Error at once", "error"),
+          ("B02", "Two errors", "1. error error"), ("C01", "Bought blind", "purchase"), ("C02", "All but signup", "click error purchase view")]
+
+
+def _line_state(moves: str) -> str:
+    return "|".join(str(moves.split().count(w)) for w in V.STEPS)
+
+
+_NAMED = ", ".join(f"('{eco}', '{name}', '{_line_state(moves)}')" for eco, name, moves in _LINES)
+
+
+def session_records(spark, d):
+    """(k, raw): the steps of each user day as one record."""
+    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", "step")))
+    text = V.events(spark, d).groupBy("game_id").agg(F.transform(steps, lambda s: s["step"]).alias("steps"))
+    facts = V.sessions(spark, d).select("game_id", "result")
+    k = F.col("game_id")
+    date = F.concat_ws(".", F.floor(k / 10000) % 10000, F.lpad((F.floor(k / 100) % 100).cast("string"), 2, "0"), F.lpad((k % 100).cast("string"), 2, "0"))
+    tag = lambda name, value: F.concat(F.lit(f'[{name} "'), value, F.lit('"]\n'))
+    half = F.ceil(F.size("steps") / 2).cast("int")
+    body = F.concat(F.lit("1. "), F.array_join(F.slice("steps", F.lit(1), half), " "), F.lit(" {half way}\n2. "),
+                    F.array_join(F.slice("steps", half + 1, F.size("steps")), " "), F.lit(" "), C.result_text("result"), F.lit("\n"))
+    return text.join(facts, "game_id").select(k.alias("k"), F.concat(
+        tag("Event", F.concat(F.lit("Day "), (k % 100).cast("string"))), tag("White", F.concat(F.lit("User "), F.floor(k / 100000000).cast("string"))),
+        tag("Round", k.cast("string")), tag("Date", date), tag("Result", C.result_text("result")), F.lit("\n"), body).alias("raw"))
+
+
+_SESSION_GAMES = f"""with {V.P}, ref(eco, name, state) as (values {_NAMED}),
+  op as (select game_id, arg_max(name, ply) as opening, arg_max(eco, ply) as eco from p join ref on state = hash where ply between 1 and 40 group by game_id)
+  select f.game_id as session, 'User ' || cast(f.game_id // 100000000 as varchar) as white, 'Day ' || cast(f.game_id % 100 as varchar) as event,
+    cast(f.game_id % 100000000 as bigint) as date, cast(f.result as bigint) as result, cast(f.n as bigint) as plies, opening, eco
+  from facts f left join op on op.game_id = f.game_id"""
+
+
+def _session_facts(games):
+    return games.select(F.col("round").cast("bigint").alias("session"), "white", "event", F.col("date").cast("bigint").alias("date"),
+                        F.col("result").cast("bigint").alias("result"), F.col("ply_count").cast("bigint").alias("plies"), "opening", "eco")
+
+
+def _imported(spark, d):
+    path = V.scratch(spark)
+    _write_records(session_records(spark, d), path)
+    lines = spark.createDataFrame(_LINES, "eco string, name string, moves string")
+    return ingest(R.read_records(spark, path), JOB.named(lines), states=JOB)
+
+
+def _by_session(positions, games):
+    rows = positions.join(games.select(F.col("id").alias("game_id"), F.col("round").cast("bigint").alias("session")), "game_id")
+    return rows.select("hash", "move", "session", F.col("ply").cast("bigint").alias("ply"), F.col("result").cast("bigint").alias("result"))
+
+
+@check("ingest_04_sessions", _SESSION_GAMES)
+def import_sessions(spark, d):
+    """Record texts -> counted, named, de-duplicated sessions; native all the way."""
+    return _session_facts(_imported(spark, d).games)
+
+
+_SESSION_STATES = f"with {V.P} select hash, move, game_id as session, cast(ply as bigint) as ply, cast(result as bigint) as result from p"
+
+
+@check("ingest_05_session_states", _SESSION_STATES)
+def import_session_states(spark, d):
+    done = _imported(spark, d)
+    return _by_session(done.positions, done.games)
+
+
+@check("src_06b_session_stream", _SESSION_GAMES)
+def session_stream(spark, d):
+    """Sessions land in two drops, the second with some of the first again."""
+    from ludograph.streaming.arrivals import ingest_stream
+
+    rows = session_records(spark, d)
+    base = V.scratch(spark)
+    store = Store(spark, f"{base}/tables")
+    names = JOB.named(spark.createDataFrame(_LINES, "eco string, name string, moves string"))
+    for part in (rows.filter(F.col("k") % 3 != 0), rows.filter(F.col("k") % 3 != 1)):
+        part.repartitionByRange(2, "k").sortWithinPartitions("k").select("raw").write.mode("append").text(f"{base}/landing")
+        ingest_stream(spark, f"{base}/landing/*.txt", store, f"{base}/progress", openings=names, states=JOB).awaitTermination()
+    return _session_facts(store.read().games)
+
+
+@check("opn_01c_session_names", f"with {V.P}, ref(eco, name, state) as (values {_NAMED}) select game_id as session, cast(ply as bigint) as ply, name from p left join ref on state = hash")
+def session_names(spark, d):
+    """Every state of the imported sessions with its name, if it has one."""
+    done = _imported(spark, d)
+    named = name_states(done.positions, JOB.named(spark.createDataFrame(_LINES, "eco string, name string, moves string")))
+    return named.join(
+        done.games.select(F.col("id").alias("game_id"), F.col("round").cast("bigint").alias("session")), "game_id").select(
+        "session", F.col("ply").cast("bigint").alias("ply"), "name")
+
+
+@check("exp_10b_enter_line", f"""with {V.P} select move, cast(count(*) as bigint) as games, cast(sum(case when result = 1 then 1 else 0 end) as bigint) as white
+  from p where hash = '{_line_state('view click view')}' group by move""")
+def enter_line(spark, d):
+    """The next steps of those who did these three steps, typed as a line."""
+    done = _imported(spark, d)
+    table = explore(done.positions, JOB.state_of(["view", "click", "view"]))
+    return table.select("move", F.col("games").cast("bigint").alias("games"), F.col("white").cast("bigint").alias("white"))
+
+
 # ---- sinks ----------------------------------------------------------------------------------------
 
 

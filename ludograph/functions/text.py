@@ -166,6 +166,12 @@ def moves_of(main: Column) -> Column:
     return F.when(main.contains("0000"), plain(words)).otherwise(words)
 
 
+def words_of(main: Column) -> Column:
+    """All words of main-line text but numbers in front of steps, up to the first result."""
+    first = F.regexp_replace(main, rf"(?s){RESULT_WORDS}.*", "")
+    return F.filter(F.regexp_extract_all(first, F.lit(rf"[^{_BREAK}]++"), F.lit(0)), lambda w: ~w.rlike(r"^\d+\.+$"))
+
+
 def result_of(main: Column) -> Column:
     """The last result of main-line text, in its usual spelling; NULL if there is none."""
     last = F.get(F.reverse(F.regexp_extract_all(main, F.lit(RESULT_WORDS), F.lit(1))), F.lit(0))

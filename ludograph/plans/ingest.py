@@ -1,9 +1,10 @@
 """Records -> games and state index, as one batch plan.
 
-Shuffles: record text is never shuffled. Scanning and replaying are a map over the file splits; their
-rows are staged once, because numbers, duplicates, names and the index all read them. From there only keys travel
-(fingerprints, named states, names); whole game rows are shuffled once, by their sequence number,
-for the duplicate and the opening join together. The index is exploded from arrays inside each row.
+What the steps of a record mean is the business of a state job (``operators.jobs``): native running counts by default,
+the chess job of ``operators.replay`` on request. Shuffles: record text is never shuffled. Scanning is a map over the
+file splits; its rows are staged once, because numbers, duplicates, names and the index all read them. Numbers, the
+duplicate check and names work on a narrow frame (seq, fingerprint, states), and whole game rows are joined to the
+narrow result (seq, id, opening) once. State rows are made by the job from the kept games.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from ludograph.functions import columns as C
 from ludograph.functions import text as X
 from ludograph.operators.dims import dedupe, game_fingerprint, only_new
 from ludograph.operators.openings import classify
-from ludograph.operators.replay import index_rows, replay_games
-from ludograph.operators.sequences import validate
+from ludograph.operators.jobs import StateJob, StepCounts
+from ludograph.operators.skew import numbered
 from ludograph.session import staged
 from ludograph.sources.records import numbered_records
 
@@ -40,13 +41,14 @@ class Options:
 class Ingested:
     games: DataFrame
     positions: DataFrame
-    statuses: DataFrame  # batch, seq, status (ok, duplicate, error), message, warning
+    statuses: DataFrame  # batch, seq, file, block, line, status (ok, duplicate, error), message, warning
 
 
+PLACE = ["file", "block", "line"]
 SUB_BITS = 20  # room for games without tags inside one record
 
 
-def scan(records: DataFrame, options: Options = Options()) -> DataFrame:
+def scan(records: DataFrame, options: Options = Options(), job: StateJob = StepCounts()) -> DataFrame:
     """(file, block, line, raw) -> one row per game with tags, tokens, movetext if annotated, result."""
     place = ["file", "block", "line"]
     rows = records.select(*place, "raw", X.tag_section("raw").alias("head"))
@@ -61,28 +63,28 @@ def scan(records: DataFrame, options: Options = Options()) -> DataFrame:
         *place, "sub",
         F.when(F.col("sub") == 0, F.col("tags")).otherwise(none).alias("tags"),
         (F.col("sub") > 0).alias("headerless"),
-        X.moves_of(F.col("main")).alias("tokens"),
+        job.tokens(F.col("main")).alias("tokens"),
         F.when(X.is_annotated("body"), F.col("body")).alias("movetext"),
         X.result_of(F.col("main")).alias("result_token"),
     )
 
 
-def replayed(scanned: DataFrame, keys: tuple[int, ...] | None = None) -> DataFrame:
-    """Validate and replay; rows keep their columns."""
+def played(scanned: DataFrame, job: StateJob = StepCounts()) -> DataFrame:
+    """Validate and let the job play the steps; rows keep their columns."""
     start = F.element_at("tags", "FEN")
     start = F.when(start != "", start)
-    reason = validate(F.col("tags"), start, F.size("tokens"))
-    rows = scanned.withColumn("start_state", start).withColumn("reason", reason)
-    # Rejected rows keep their place but are not replayed.
+    rows = scanned.withColumn("start_state", start)
+    rows = rows.withColumn("reason", job.reason(F.col("tags"), F.col("start_state"), F.size("tokens")))
+    # Rejected rows keep their place but are not played.
     rows = rows.withColumn("tokens", F.when(F.col("reason").isNull(), F.col("tokens")))
     rows = rows.withColumn("start_state", F.when(F.col("reason").isNull(), F.col("start_state")))
-    return replay_games(rows, keys=keys, texts=False)
+    return job.play(rows)
 
 
-def facts(played: DataFrame, options: Options = Options()) -> DataFrame:
+def facts(played: DataFrame, options: Options = Options(), carried: tuple[str, ...] = ()) -> DataFrame:
     """Header facts as typed columns. ``reason`` says why a row is not stored."""
     tag = lambda name: F.element_at("tags", name)
-    junk = (F.size("tags") == 0) & (F.size("moves") == 0)
+    junk = (F.size("tags") == 0) & (F.coalesce(F.size("moves"), F.lit(0)) <= 0)
     reason = F.coalesce("reason", "error", F.when(junk, F.concat_ws(": ", F.lit("not a game"), "warning")))
     if options.reject_warned:
         reason = F.coalesce(reason, F.col("warning"))
@@ -102,7 +104,7 @@ def facts(played: DataFrame, options: Options = Options()) -> DataFrame:
         elo_b.alias("black_elo"),
         F.upper(C.clean(tag("ECO"))).alias("eco_tag"),
         F.size("moves").alias("ply_count"),
-        F.col("start_text").alias("start_state"), "moves", "hashes", "tokens",
+        F.col("start_text").alias("start_state"), "moves", *carried, "tokens",
         F.when(keep_text, F.col("movetext")).alias("movetext"),
         C.extra_tags("tags").alias("tags"),
         F.coalesce(tag("Event"), F.lit("")).alias("event_tag"),
@@ -122,41 +124,47 @@ def facts(played: DataFrame, options: Options = Options()) -> DataFrame:
 
 def ingest(
     records: DataFrame, openings: DataFrame | None = None, options: Options = Options(), *,
-    stored: DataFrame | None = None, keys: tuple[int, ...] | None = None, first_id: int = 1,
-    batch: int = 0, stage=staged,
+    states: StateJob = StepCounts(), stored: DataFrame | None = None, first_id: int = 1, batch: int = 0, stage=staged,
 ) -> Ingested:
     """The whole import of one batch of (file, block, line, raw) records.
 
-    ``stored`` holds the fingerprints of earlier games; ``stage`` materialises a frame once in a
-    shared folder.
+    ``states`` is the job that plays the steps, ``openings`` names some of its states. ``stored`` holds the fingerprints
+    of earlier games; ``stage`` materialises a frame once in a shared folder.
     """
-    rows = _with_seq(stage(facts(replayed(scan(records, options), keys), options)))
+    rows = _with_seq(stage(facts(played(scan(records, options, states), states), options, states.carried)))
     good = rows.filter(F.col("reason").isNull())
-    kept = good
+    narrow = good.select("seq", "fingerprint")
     if options.dedupe:
-        marks = dedupe(good.select("seq", "fingerprint"), "fingerprint", "seq")
+        narrow = dedupe(narrow, "fingerprint", "seq")
         if stored is not None:
-            marks = only_new(marks, stored)
-        kept = good.join(marks.select("seq"), "seq", "left_semi")
-    if openings is None:
-        named = kept.withColumn("opening_eco", F.lit(None).cast("string")).withColumn("opening", F.lit(None).cast("string"))
+            narrow = only_new(narrow, stored)
+    # Blocks of about 65,536 records each.
+    narrow = numbered(narrow.select("seq"), "seq", "id", first_id, width=65_536 << SUB_BITS)
+    if openings is not None:
+        usual = good.filter(F.col("start_state").isNull()).select("seq", "moves", *states.carried)
+        narrow = narrow.join(classify(states.state_rows(usual, ["seq"], 40, first=False), openings, ["seq"]).drop("named_ply"), "seq", "left")
     else:
-        states = good.filter(F.col("start_state").isNull()).select(
-            "seq", F.posexplode(F.slice("hashes", 1, 41)).alias("ply", "hash")
-        )
-        named = kept.join(classify(states, openings, ["seq"]).drop("named_ply"), "seq", "left")
-    named = named.withColumn("eco", C.eco_or("eco_tag", "opening_eco")).drop("eco_tag")
-    games = stage(_with_ids(named, first_id))
-    positions = games.select(
-        F.inline(index_rows(options.horizon)), F.col("id").alias("game_id"), "result", "elo", "year"
-    ).select("hash", "move", "game_id", "ply", "result", "elo", "year")
-    statuses = rows.join(games.select("seq", F.lit("ok").alias("_ok")), "seq", "left").select(
-        F.lit(batch).cast("bigint").alias("batch"), "seq",
+        none = F.lit(None).cast("string")
+        narrow = narrow.select("*", none.alias("opening_eco"), none.alias("opening"))
+    narrow = stage(narrow)
+    games = stage(good.join(narrow, "seq").withColumn("eco", C.eco_or("eco_tag", "opening_eco")).drop("eco_tag", *PLACE))
+    facts_of = ["game_id", "result", "elo", "year"]
+    index = states.state_rows(games.withColumnRenamed("id", "game_id"), facts_of, options.horizon)
+    positions = index.select("hash", "move", "game_id", "ply", "result", "elo", "year")
+    statuses = rows.join(narrow.select("seq", F.lit("ok").alias("_ok")), "seq", "left").select(
+        F.lit(batch).cast("bigint").alias("batch"), "seq", *PLACE,
         F.when(F.col("reason").isNotNull(), "error").when(F.col("_ok").isNull(), "duplicate").otherwise("ok").alias("status"),
         F.col("reason").alias("message"),
         F.when(F.col("reason").isNull(), F.col("warning")).alias("warning"),
     )
-    return Ingested(games.drop("hashes", "reason"), positions, statuses)
+    return Ingested(games.drop(*states.carried, "reason"), positions, statuses)
+
+
+def rejected(statuses: DataFrame, records: DataFrame) -> DataFrame:
+    """(batch, seq, file, line, message, raw) of the records that were not taken in. Only their places travel: the
+    records are read once more, and kept where a place fits."""
+    bad = statuses.where(F.col("status") == "error").select("batch", "seq", *PLACE, "message")
+    return bad.join(records.select(*PLACE, "raw"), PLACE, "left").drop("block")
 
 
 def _with_seq(rows: DataFrame) -> DataFrame:
@@ -164,11 +172,4 @@ def _with_seq(rows: DataFrame) -> DataFrame:
     numbers = numbered_records(rows)
     seq = F.shiftleft(F.col("pos"), SUB_BITS).bitwiseOR(F.col("sub"))
     seq = F.when(F.col("sub") < 1 << SUB_BITS, seq).otherwise(F.raise_error(F.lit("too many games in one record")).cast("bigint"))
-    return numbers.withColumn("seq", seq).drop("file", "block", "line", "sub", "pos")
-
-
-def _with_ids(games: DataFrame, first_id: int) -> DataFrame:
-    from ludograph.operators.skew import numbered
-
-    # Blocks of about 65,536 records each.
-    return numbered(games, "seq", "id", first_id, width=65_536 << SUB_BITS)
+    return numbers.withColumn("seq", seq).drop("sub", "pos")
