@@ -30,20 +30,25 @@ def build_dim(names: DataFrame, name: str = "name", seq: str = "seq", start: int
     return numbered(first, "seq", "id", start).select("id", "name", "name_key", "seq")
 
 
-def extend_dim(dim: DataFrame, names: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
-    """Add unseen names behind the largest id; known names keep theirs."""
-    keys = dim.select(F.lower("name").alias("name_key"))
-    first = names.groupBy(F.lower(name).alias("name_key")).agg(
-        F.min_by(name, seq).alias("name"), F.min(seq).alias("seq")
+def new_names(dim: DataFrame, names: DataFrame, name: str = "name", seq: str = "seq", extra: tuple[str, ...] = (), fold: bool = True) -> DataFrame:
+    """(id, name, extra...) of the names that ``dim`` does not have, numbered behind its largest id by first appearance.
+    With ``fold`` names are equal regardless of case; the first spelling is kept."""
+    key = (lambda c: F.lower(c)) if fold else F.col
+    first = names.filter(F.col(name).isNotNull()).groupBy(key(name).alias("name_key")).agg(
+        F.min_by(F.struct(F.col(name).alias("name"), *extra), seq).alias("first"), F.min(seq).alias("seq")
     )
-    first = first.filter(F.col("name_key").isNotNull())
-    fresh = numbered(first.join(keys, "name_key", "left_anti"), "seq", "_n", 1)
+    # The stored names are cut down to those that occur: a broadcast of the batch's names, where they are few.
+    seen = dim.select(key("name").alias("name_key")).join(first.select("name_key"), "name_key", "left_semi").distinct()
+    fresh = numbered(first.join(seen, "name_key", "left_anti").select("first.*", "seq"), "seq", "_n", 1)
     top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_top"))
     # One row against all: the maximum travels as a scalar subquery, not as a join.
-    added = dim.sparkSession.sql(
-        "select (select _top from {top}) + _n as id, name from {fresh}", top=top, fresh=fresh
-    )
-    return dim.select("id", "name").unionByName(added)
+    more = "".join(f", {c}" for c in extra)
+    return dim.sparkSession.sql(f"select (select _top from {{top}}) + _n as id, name{more} from {{fresh}}", top=top, fresh=fresh)
+
+
+def extend_dim(dim: DataFrame, names: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
+    """Add unseen names behind the largest id; known names keep theirs."""
+    return dim.select("id", "name").unionByName(new_names(dim, names, name, seq))
 
 
 def resolve_dims(facts: DataFrame, dims: list[tuple[str, DataFrame, str]]) -> DataFrame:

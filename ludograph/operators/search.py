@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
@@ -243,6 +243,72 @@ def search(games: DataFrame, q: GameQuery, positions: DataFrame | None = None) -
     return to_rows(page(sort_games(matching(games, q, positions), q.sort, q.order), q.offset, q.limit))
 
 
+# ---- search on ids ------------------------------------------------------------------------
+
+
+def _flagged(rows: DataFrame, names: DataFrame, key: str, match: Column, flag: str) -> DataFrame:
+    """Rows with a flag that says whether the id in ``key`` is of a matching name. Only matching ids travel."""
+    hits = names.filter(match).select(F.col("id").alias("_id"), F.lit(True).alias(flag))
+    out = rows.join(hits, F.col(key) == F.col("_id"), "left").drop("_id")
+    return out.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def matching_star(star, q: GameQuery, hits: DataFrame | None = None) -> DataFrame:
+    """Games (with ids) that pass the query's filters: conditions on numbers first, then names by their dictionaries.
+
+    ``hits`` are the index rows of the query's state. No name of a game is looked up.
+    """
+    has = lambda s: bool(s and s.strip())
+    name = q.player if has(q.player) else None
+    relative = q.result if q.result in ("win", "loss") else None
+    own = replace(q, player=None, opponent=None, white=None, black=None, event=None, site=None, opening=None,
+                  result=None if relative else q.result)
+    rows = star.games
+    for c in conditions(own) if q.result != "draw" else [*conditions(replace(own, result=None)), *([F.col("result") == 3] if name else [])]:
+        rows = rows.filter(c)
+    if q.state is not None:
+        if hits is None:
+            raise ValueError("a search by state needs its index rows")
+        rows = rows.join(hits.select(F.col("game_id").alias("id"), "ply"), "id")
+    if name:
+        match = equals_ci("name", name) if q.player_exact else contains_ci("name", name)
+        rows = _flagged(_flagged(rows, star.players, "white_id", match, "_w"), star.players, "black_id", match, "_b")
+        side = {"white": F.col("_w"), "black": F.col("_b")}.get(q.color, F.col("_w") | F.col("_b"))
+        if relative:
+            as_white, as_black = (1, 2) if relative == "win" else (2, 1)
+            side = side & (((F.col("result") == as_white) & F.col("_w")) | ((F.col("result") == as_black) & F.col("_b")))
+        rows = rows.filter(side).drop("_w", "_b")
+        if has(q.opponent):
+            other = contains_ci("name", q.opponent)
+            rows = _flagged(_flagged(rows, star.players, "white_id", other, "_w"), star.players, "black_id", other, "_b")
+            rows = rows.filter({"white": F.col("_b"), "black": F.col("_w")}.get(q.color, F.col("_w") | F.col("_b"))).drop("_w", "_b")
+    elif has(q.opponent):
+        log.warning("ignored opponent without a player")
+    for names, key, text in ((star.players, "white_id", q.white), (star.players, "black_id", q.black), (star.events, "event_id", q.event),
+                             (star.sites, "site_id", q.site), (star.openings, "opening_id", q.opening)):
+        if has(text):
+            rows = semi(rows, names, [key], contains_ci("name", text))
+    return rows
+
+
+def search_star(star, q: GameQuery, hits: DataFrame | None = None) -> DataFrame:
+    """A page of display rows. The page is cut on ids; a sort by name looks up that one name, and all other names are
+    joined to the rows of the page only."""
+    rows = matching_star(star, q, hits)
+    name = SORT_KEYS.get(q.sort, "id")
+    by = {"white": ("white_id", star.players), "black": ("black_id", star.players), "event": ("event_id", star.events)}.get(name)
+    if by:
+        key, names = by
+        rows = rows.join(names.select(F.col("id").alias(key), F.lower("name").alias("_sort")), key, "left")
+        columns = ["_sort", "id"]
+    else:
+        columns = ["id"] if name == "id" else [name, "id"]
+    order = [F.asc(c) if q.order == "asc" else F.desc(c) for c in columns]
+    cut = page(rows.orderBy(*order), q.offset, q.limit).drop("_sort")
+    named = with_names(cut, star.players, star.events, star.sites, star.openings)
+    return to_rows(sort_games(named, q.sort, q.order))
+
+
 def get_game(games: DataFrame, game_id: int) -> DataFrame:
     return games.filter(F.col("id") == game_id)
 

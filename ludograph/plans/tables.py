@@ -1,23 +1,36 @@
 """The stored tables: versions of plain Parquet folders, additions, replacements, deletions.
 
-Layout: ``path/games/v=3/...``, ``path/positions/v=3/...``, ``path/deleted/v=4/...`` and a small append-only ``path/meta``
-with one row per version, written last, so a failed job changes nothing that readers see: they read the folders that
-meta names. An addition writes new rows only; a deletion writes the ids that are gone, a replacement ids and new rows; both
-hide rows of earlier versions. ``compact`` writes what is left as a new base, from which readers start, and ``vacuum``
-removes the folders before it. One writer at a time.
+Layout: each change writes folders of its own, ``path/games/t=<tag>``, ``path/positions/t=<tag>`` ..., and is then
+committed by a file ``path/commits/<version>.json`` that names them. That file is created only if there is none yet, so of
+two writers that work on the same version one commits; the other looks at what the first did and tries again. A
+failed job leaves folders that no commit names, and changes nothing that readers see.
+
+An addition writes new rows only; a deletion writes the ids that are gone, a replacement ids and new rows; both hide rows
+of earlier versions. ``sizes`` holds the number of state rows of each game, so a deletion is counted without reading the
+index, and ``files`` the least and greatest key of each data file, so that lookups open the files that can hold the key.
+``compact`` writes what is left as a new base, from which readers start, and ``vacuum`` removes the folders before it.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludograph.operators.sequences import horizon as cut_horizon
 
 META = "version bigint, base bigint, horizon int, games bigint, positions bigint, batch bigint"
-STORED = f"{META}, top bigint, kind string"  # largest id so far; what the version holds: rows, marks or both
+# top: largest id so far; kind: what the version holds: rows, marks or both
+STORED = f"{META}, top bigint, kind string, tag string"
+ATTEMPTS = 20
+NO_DATE = -1  # stands for a missing date in the order of games
+STALE = 24 * 3600 * 1000  # folders without a commit are left alone for so long (ms)
 
 
 @dataclass(frozen=True)
@@ -105,14 +118,21 @@ class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+    # Commits.
+
+    def _files(self, *parts: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
     def meta(self) -> DataFrame:
-        if not self._exists():
+        """One row per version."""
+        files, folder = self._files("commits")
+        if not files.exists(folder):
             return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(f"{self.path}/meta")
+        return self.spark.read.schema(STORED).json(f"{self.path}/commits").where("version is not null")
+
+    def _commits(self) -> list:
+        return self.meta().orderBy("version").collect()
 
     def current(self):
         return self.meta().orderBy(F.desc("version")).first()
@@ -120,19 +140,60 @@ class Store:
     def has_batch(self, batch: int) -> bool:
         return self.meta().filter(F.col("batch") == batch).limit(1).count() > 0
 
-    def _folders(self, name: str, versions: list[int]) -> DataFrame:
-        paths = [f"{self.path}/{name}/v={v}" for v in versions]
+    def _commit(self, row: dict) -> bool:
+        """Make a version visible; False if another writer has taken its number."""
+        files, place = self._files("commits", f"{row['version']:012d}.json")
+        try:
+            out = files.create(place, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+        return True
+
+    def _change(self, work: Callable[[object], dict], n: int | None = None) -> int:
+        """Work out a change of the current version and commit it; if another writer was first, do so again."""
+        for attempt in range(ATTEMPTS):
+            last = self.current()
+            if last is not None and n is not None and n != last["horizon"]:
+                raise ValueError(f"the state index holds plies 0..{last['horizon']}; its horizon is fixed")
+            row = {"version": 1, "base": 1, "horizon": 60 if n is None else n, "games": 0, "positions": 0, "top": 0}
+            if last is not None:
+                row = {k: last[k] for k in row} | {"version": last["version"] + 1}
+            row = row | {"batch": -1, "kind": "rows"} | work(last)
+            if row["batch"] >= 0 and self.has_batch(row["batch"]):
+                return self.meta().where(F.col("batch") == row["batch"]).first()["version"]
+            if self._commit(row):
+                return row["version"]
+            time.sleep(0.05 * attempt)
+        raise RuntimeError(f"other writers were first {ATTEMPTS} times")
+
+    # Folders.
+
+    def _folders(self, name: str, tags: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{name}/t={t}" for t in tags]
         return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
 
-    def _table(self, name: str, last) -> DataFrame:
-        span = self.meta().filter(F.col("version").between(last["base"], last["version"])).select("version", "kind").collect()
-        rows = self._folders(name, sorted(r["version"] for r in span if r["kind"] != "marks"))
-        marked = sorted(r["version"] for r in span if r["kind"] != "rows")
+    def _span(self, last) -> list:
+        return [r for r in self._commits() if last["base"] <= r["version"] <= last["version"]]
+
+    def _left(self, rows: DataFrame, key: str, span: list) -> DataFrame:
+        """Rows (with the tag ``t`` of their folder) that no later version hides."""
+        marked = [r for r in span if r["kind"] != "rows"]
         if not marked:
-            return rows.drop("v")
-        gone = self._folders("deleted", marked).groupBy(F.col("id").alias("_gone")).agg(F.max("v").alias("_at"))
-        key = "id" if name == "games" else "game_id"
-        return rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col("v") < F.col("_at")), "left_anti").drop("v")
+            return rows.drop("t")
+        number = F.create_map(*[F.lit(x) for r in span for x in (r["tag"], r["version"])])
+        gone = self._folders("deleted", [r["tag"] for r in marked])
+        gone = gone.groupBy(F.col("id").alias("_gone")).agg(F.max(number[F.col("t")]).alias("_at"))
+        later = (F.col(key) == F.col("_gone")) & (number[F.col("t")] < F.col("_at"))
+        return rows.join(gone, later, "left_anti").drop("t")
+
+    def _table(self, name: str, last) -> DataFrame:
+        span = self._span(last)
+        rows = self._folders(name, [r["tag"] for r in span if r["kind"] != "marks"])
+        return self._left(rows, "id" if name in ("games", "sizes") else "game_id", span)
 
     def read(self) -> Tables:
         last = self.current()
@@ -143,85 +204,142 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self._table(name, self.current())
 
-    def _write(self, tables: Tables, version: int) -> tuple[int, int, int]:
-        """Write a version's rows; returns the numbers of games and positions, and the largest id."""
-        by_date(tables.games).write.mode("overwrite").parquet(f"{self.path}/games/v={version}")
-        clustered(tables.positions).write.mode("overwrite").parquet(f"{self.path}/positions/v={version}")
-        games = self._folders("games", [version]).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).first()
-        return games["n"], self._folders("positions", [version]).count(), games["top"] or 0
-
-    def _mark(self, ids: DataFrame, key: str, version: int) -> tuple[int, int]:
+    def _write(self, tables: Tables, tag: str) -> dict:
+        """Write rows under a tag, with the sizes of games and the keys of files; returns what a commit must say."""
+        at = {name: f"{self.path}/{name}/t={tag}" for name in ("games", "positions", "sizes")}
+        by_date(tables.games).write.parquet(at["games"])
+        clustered(tables.positions).write.parquet(at["positions"])
+        rows = self._folders("positions", [tag]).groupBy(F.col("game_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+        sizes = self._folders("games", [tag]).select("id").join(rows, "id", "left").select("id", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
+        sizes.repartitionByRange("id").sortWithinPartitions("id").write.parquet(at["sizes"])
+        date = F.coalesce("date", F.lit(NO_DATE))
+        for name, keys in (("games", {"id": F.col("id"), "date": date}), ("positions", {"hash": F.col("hash"), "game_id": F.col("game_id")})):
+            stats = [f(c).alias(f"{w}_{k}") for k, c in keys.items() for f, w in ((F.min, "least"), (F.max, "most"))]
+            held = self.spark.read.parquet(at[name]).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), *stats)
+            held.coalesce(1).write.parquet(f"{self.path}/files/{name}/t={tag}")
+        games, positions = (self._folders(f"files/{name}", [tag]) for name in ("games", "positions"))
+        counted = games.agg(F.sum("n").alias("n"), F.max("most_id").alias("top")).first()
+        return {"games": counted["n"] or 0, "positions": positions.agg(F.sum("n")).first()[0] or 0, "top": counted["top"] or 0, "tag": tag}
+
+    def _mark(self, ids: DataFrame, key: str, tag: str) -> tuple[int, int]:
         """Write the stored ones of the ids as gone; returns how many games and positions they have. Of the stored
-        tables, this reads the id columns only."""
+        tables only the sizes are read."""
         gone = ids.select(F.col(key).alias("id")).distinct()
-        hit = self.table("games").select("id").join(gone, "id", "left_semi")
-        hit.write.mode("overwrite").parquet(f"{self.path}/deleted/v={version}")
-        marks = self._folders("deleted", [version]).select(F.col("id").alias("game_id"))
-        return marks.count(), self.table("positions").select("game_id").join(marks, "game_id", "left_semi").count()
-
-    def _commit(self, version: int, base: int, n: int, games: int, positions: int, batch: int | None, top: int, kind: str) -> None:
-        row = (version, base, n, games, positions, -1 if batch is None else batch, top, kind)
-        self.spark.createDataFrame([row], STORED).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
+        hit = self.table("sizes").join(gone, "id", "left_semi")
+        hit.write.parquet(f"{self.path}/deleted/t={tag}")
+        marks = self._folders("deleted", [tag]).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+        return marks["n"], marks["rows"]
 
-    def _next(self, n: int | None) -> tuple[int, int, int]:
-        last = self.current()
-        if last is None:
-            return 1, 1, 60 if n is None else n
-        if n is not None and n != last["horizon"]:
-            raise ValueError(f"the state index holds plies 0..{last['horizon']}; its horizon is fixed")
-        return last["version"] + 1, last["base"], last["horizon"]
+    # Changes.
 
     def append(self, new: Tables, n: int | None = None, batch: int | None = None) -> int:
-        """Store additional rows; nothing stored before is read or rewritten."""
-        version, base, n = self._next(n)
-        last = self.current()
-        games, positions, top = self._write(new, version)
-        if last is not None:
-            games, positions, top = games + last["games"], positions + last["positions"], max(top, last["top"])
-        self._commit(version, base, n, games, positions, batch, top, "rows")
-        return version
+        """Store additional rows; nothing stored before is read or rewritten. A batch that is stored already is not stored
+        again."""
+        wrote: dict = {}
+
+        def work(last) -> dict:
+            wrote.update(wrote or self._write(new, uuid.uuid4().hex))
+            more = wrote | {"batch": -1 if batch is None else batch}
+            if last is None:
+                return more
+            return more | {k: wrote[k] + last[k] for k in ("games", "positions")} | {"top": max(wrote["top"], last["top"])}
+
+        return self._change(work, n)
 
     def delete(self, ids: DataFrame, key: str = "id") -> int:
         """Hide games and their state rows. Ids that are not stored are ignored."""
-        version, base, n = self._next(None)
-        last = self.current()
-        games, positions = self._mark(ids, key, version)
-        self._commit(version, base, n, last["games"] - games, last["positions"] - positions, None, last["top"], "marks")
-        return version
+        def work(last) -> dict:
+            tag = uuid.uuid4().hex
+            games, positions = self._mark(ids, key, tag)
+            return {"games": last["games"] - games, "positions": last["positions"] - positions, "kind": "marks", "tag": tag}
+
+        return self._change(work)
 
     def replace(self, new: Tables, key: str = "id") -> int:
         """Swap records, keeping their ids. An id that is not stored is an error."""
-        if not unknown_ids(self.read(), new.games, key).isEmpty():
-            raise ValueError("a game to replace is not stored")
-        version, base, n = self._next(None)
-        last = self.current()
-        less = self._mark(new.games, key, version)
-        games, positions, top = self._write(new, version)
-        self._commit(version, base, n, last["games"] - less[0] + games, last["positions"] - less[1] + positions, None, max(top, last["top"]), "both")
-        return version
+        def work(last) -> dict:
+            if not new.games.select(key).join(self.table("sizes").select(F.col("id").alias(key)), key, "left_anti").isEmpty():
+                raise ValueError("a game to replace is not stored")
+            tag = uuid.uuid4().hex
+            games, positions = self._mark(new.games, key, tag)
+            wrote = self._write(new, tag)
+            return wrote | {"games": last["games"] - games + wrote["games"], "positions": last["positions"] - positions + wrote["positions"],
+                            "top": max(wrote["top"], last["top"]), "kind": "both"}
+
+        return self._change(work)
 
     def rewrite(self, tables: Tables, n: int | None = None) -> int:
-        """Store a changed state of the tables as the new base."""
-        version, _, n = self._next(n)
-        last = self.current()
-        games, positions, top = self._write(tables, version)
-        self._commit(version, version, n, games, positions, None, max(top, last["top"] if last else 0), "rows")
-        return version
+        """Store a changed state of the tables as the new base. If another writer was first, this raises: the state was
+        worked out from what is no longer current."""
+        start = self.current()
+
+        def work(last) -> dict:
+            if (last and last["version"]) != (start and start["version"]):
+                raise RuntimeError("another writer has changed the tables")
+            wrote = self._write(tables, uuid.uuid4().hex)
+            return wrote | {"base": 1 if last is None else last["version"] + 1, "top": max(wrote["top"], last["top"] if last else 0)}
+
+        return self._change(work, n)
 
     def compact(self) -> int:
         """Write what is left of all versions as one base: lookups open the files of one version again."""
         return self.rewrite(self.read())
 
     def vacuum(self) -> None:
-        """Remove the folders of versions before the current base. Jobs that still read them must have ended."""
-        base, jvm = self.current()["base"], self.spark._jvm
-        for name in ("games", "positions", "deleted", "explorer"):
-            root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        """Remove the folders of versions before the current base, and those of failed writers after a day. Jobs that still
+        read them must have ended."""
+        base, commits = self.current()["base"], self._commits()
+        known = {r["tag"]: r["version"] for r in commits}
+        now = time.time() * 1000
+        for name in ("games", "positions", "sizes", "deleted", "files/games", "files/positions"):
+            files, root = self._files(name)
             for found in files.listStatus(root) if files.exists(root) else []:
-                folder = found.getPath()
-                if folder.getName().startswith("v=") and int(folder.getName()[2:]) < base:
-                    files.delete(folder, True)
+                tag = found.getPath().getName().removeprefix("t=")
+                if known.get(tag, base) < base or (tag not in known and now - found.getModificationTime() > STALE):
+                    files.delete(found.getPath(), True)
+        files, root = self._files("explorer")
+        for found in files.listStatus(root) if files.exists(root) else []:
+            if int(found.getPath().getName().removeprefix("v=")) < base:
+                files.delete(found.getPath(), True)
+
+    # Lookups by the keys of files.
+
+    def files(self, name: str) -> DataFrame:
+        """The data files of the current version: ``file``, ``n`` rows, least and greatest keys."""
+        span = self._span(self.current())
+        return self._folders(f"files/{name}", [r["tag"] for r in span if r["kind"] != "marks"])
+
+    def _of_files(self, name: str, found: DataFrame) -> DataFrame:
+        span, paths = self._span(self.current()), [r["file"] for r in found.select("file").collect()]
+        if not paths:
+            return self.table(name).limit(0)
+        rows = self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
+        return self._left(rows, "id" if name == "games" else "game_id", span)
+
+    def state(self, hash_: object) -> DataFrame:
+        """The index rows of one state, from the files that can hold it."""
+        h = F.lit(hash_)
+        return self._of_files("positions", self.files("positions").where((F.col("least_hash") <= h) & (F.col("most_hash") >= h))).where(F.col("hash") == h)
+
+    def after(self, date: int | None, game: int, n: int = 1000) -> DataFrame:
+        """The next ``n`` games in order of (date, id) behind a place; games without a date come first, so (None, 0) begins
+        at the start. Files are taken in order of their least date until those rows that no other file can come before
+        are enough."""
+        key, place = F.coalesce("date", F.lit(NO_DATE)), F.lit(NO_DATE if date is None else date)
+        held = self.files("games").where(F.col("most_date") >= place).orderBy("least_date", "file")
+        behind = (key > place) | ((key == place) & (F.col("id") > game))
+        take, count = 0, 0
+        while True:
+            listed = held.select("file", "n", "least_date").limit(2 * take + 8).collect()
+            while take < len(listed) - 1 and count < n:
+                count += listed[take]["n"]
+                take += 1
+            last = len(listed) < 2 * take + 8 and take >= len(listed) - 1  # there are no more files
+            opened = listed if last else listed[: take]
+            found = self._of_files("games", self.spark.createDataFrame([(r["file"],) for r in opened], "file string")).where(behind)
+            if last or found.where(key < listed[take]["least_date"]).limit(n).count() >= n:
+                return found.orderBy(key, "id").limit(n)
+            count = 0  # rows before the place, or hidden ones: look into as many again
 
     # The explorer table: all states at once, tagged with the version it was built from.
 
@@ -237,7 +355,7 @@ class Store:
     def explorer(self) -> DataFrame:
         """The pre-computed table if it is of the current version, else rebuilt."""
         version = self.current()["version"]
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/explorer/v={version}/_SUCCESS")
-        if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        files, done = self._files("explorer", f"v={version}", "_SUCCESS")
+        if files.exists(done):
             return self.spark.read.parquet(f"{self.path}/explorer/v={version}")
         return self.materialise_explorer()
