@@ -25,4 +25,4 @@ def check(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from checks import columns, dims, explorer, judging, search, sequences, sources, tables, text  # noqa: F401
+    from checks import columns, dims, explorer, judging, search, sequences, sources, star, tables, text  # noqa: F401

@@ -15,7 +15,7 @@ from ludograph.operators.openings import build_openings, name_states
 from ludograph.operators.replay import BoardStates
 from ludograph.plans.export import export_ids, export_pgn
 from ludograph.plans.ingest import ingest
-from ludograph.plans.tables import Store
+from ludograph.plans.tables import Store, Tables
 from ludograph.sources import records as R
 from ludograph.sources.openings import openings_from_lines, read_openings
 
@@ -252,6 +252,14 @@ def import_session_states(spark, d):
     return _by_session(done.positions, done.games)
 
 
+@check("ingest_06_stored_index", f"with {V.P} select cast(count(*) as bigint) as positions, (select cast(count(*) as bigint) from facts) as games from p")
+def import_stored_index(spark, d):
+    """The whole import with games and state index written and sorted."""
+    store, done = Store(spark, V.scratch(spark)), _imported(spark, d)
+    store.append(Tables(done.games, done.positions))
+    return store.meta().select("positions", "games")
+
+
 @check("src_06b_session_stream", _SESSION_GAMES)
 def session_stream(spark, d):
     """Sessions land in two drops, the second with some of the first again."""

@@ -32,11 +32,11 @@ def add(spark, d):
     return T.add_games(t, games, rows, V.HORIZON).positions
 
 
-@check("dml_02_replace", f"with {V.P} select hash, move, game_id, cast(ply as bigint) as ply, case when game_id % 2 = 1 then 3 else result end as result, elo, year from p where game_id % 2 = 0 or ply <= 1")
+@check("dml_02_replace", f"with {V.P} select hash, move, game_id, cast(ply as bigint) as ply, case when game_id % 2 = 1 then 3 else result end as result, elo, year from p")
 def replace(spark, d):
     t = tables(spark, d)
     odd = t.games.filter(F.col("id") % 2 == 1).withColumn("result", F.lit(3))
-    rows = t.positions.filter((F.col("game_id") % 2 == 1) & (F.col("ply") <= 1)).withColumn("result", F.lit(3))
+    rows = t.positions.filter(F.col("game_id") % 2 == 1).withColumn("result", F.lit(3))
     return T.replace_games(t, odd, rows).positions
 
 
