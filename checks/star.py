@@ -39,12 +39,13 @@ def star_store(spark, d):
                        F.col("result").cast("bigint").alias("result"), F.col("plies").cast("bigint").alias("plies"), "opening", "eco")
 
 
-@check("dim_03b_lasting_ids", f"""with {V.P}, n as (select 'User ' || cast(game_id // 100000000 as varchar) as name, {_PART} as part, game_id from facts),
-  first as (select name, min(part * 1000000000000000 + game_id) as place from n group by name)
+@check("dim_03b_lasting_ids", f"""with {V.P}, n as (select 'User ' || cast(game_id // 100000000 as varchar) as name, {_PART} as part, game_id * 2 as seq from facts
+    union all select '?', {_PART}, game_id * 2 + 1 from facts),
+  first as (select name, min(part * 1000000000000000 + seq) as place from n group by name)
   select cast(row_number() over (order by place) as bigint) as id, name from first""")
 def lasting_ids(spark, d):
-    """A second import adds the users that were not there, behind the ids given before."""
-    return loaded(spark, d).names("players").where("name <> '?'").select("id", "name")
+    """A second import adds the users that were not there, behind the ids given before. No day has a second player."""
+    return loaded(spark, d).names("players").select("id", "name")
 
 
 _STAR = f"with s as ({_SESSION_GAMES})"
