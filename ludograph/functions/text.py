@@ -17,18 +17,27 @@ SYMBOLS = {
 # Spellings of a result inside movetext.
 RESULT_TOKENS = ["1-0", "0-1", "*", "1/2-1/2", "½-½", "1/2", "0.5-0.5"]
 
-# The shapes a move can be written in.
-_PIECE_MOVE = r"[PNBRQK]?[a-h]?[1-8]?[x:-]?[a-h][1-8](?:=?[NBRQnbrq])?"
-_CASTLING = r"[O0]-?[O0](?:-?[O0])?"
-_PASS = r"--|Z0|@@|0000"
-MOVE_SHAPE = rf"^(?:{_PIECE_MOVE}|{_CASTLING}|{_PASS})[+#]*(?:e\.p\.)?$"
+# Fixed values of the move notation: letters of pieces, files, ranks, signs behind a move, and spellings of a pass.
+PIECES, FILES, RANKS = "KQRBNP", "a-h", "1-8"
+PASSES = ["--", "0000", "@@", "Z0"]
+
+# Its grammar. A man goes from a place, which may be told in full, by file or rank alone, or not at all, to a square; a
+# pawn that gets there may become a piece. Castling is two or three letters o, one for each square the king passes.
+_SQUARE = f"[{FILES}][{RANKS}]"
+_FROM = f"(?:{_SQUARE}|[{FILES}]|[{RANKS}])??"
+_BECOMES = "(?:=?[QRBNqrbn])?"
+_MAN = f"[{PIECES}]?{_FROM}[-x:]?{_SQUARE}{_BECOMES}"
+_CASTLE = "[0O](?:-?[0O]){1,2}"
+_TOLD = r"[#+]*(?:e\.p\.)?"
+_MOVE = f"(?:{_MAN}|{_CASTLE}|{'|'.join(PASSES)}){_TOLD}"
+MOVE_SHAPE = f"^{_MOVE}$"
 
 # A word is bounded by these; a move may carry its number in front and glyphs behind.
 # Spelled out, because a class of single characters is looked up in a table.
 _BREAK = r" \t\n\x0B\f\r\x{a0}\x{feff}{}()\[\];$\""
 _END = rf"(?![^{_BREAK}])"
 _NUMBER = r"(?:(?!0-0|0000)\d++\.*+|\.++)?+"
-_MOVE_WORD = rf"{_NUMBER}((?:{_PIECE_MOVE}|{_CASTLING}|{_PASS})[+#]*(?:e\.p\.)?)"
+_MOVE_WORD = rf"{_NUMBER}({_MOVE})"
 # Group 1 is the move, empty for other words. Every word is taken whole, so matches begin at words.
 MOVE_WORDS = rf"{_MOVE_WORD}[!?]*+{_END}|[^{_BREAK}]++"
 # The look ahead fails at once on most characters, before the costlier look behind.
@@ -266,58 +275,52 @@ def split_by_result(c: Column | str) -> Column:
 
 # ---- commands inside comments -----------------------------------------------------------
 
-_COMMAND = r"\[%(\w+)\s+([^\]]*)\]"
+# A command is a bracket that begins with a percent sign, a name and a blank.
+COMMAND = r"\[%(?=\w++\s)[^\]]*+\]"
 
 # Colour codes of arrows and marked squares.
 COLOURS = {"G": "#15781b", "R": "#882020", "Y": "#e68f00", "B": "#003088"}
 
 
+def commands(c: Column | str) -> Column:
+    """The commands of a comment: name and argument, in order."""
+    def read(command: Column) -> Column:
+        inner = F.substring(command, F.lit(3), F.char_length(command) - 3)
+        name = F.regexp_extract(inner, r"^\w+", 0)
+        return F.struct(name.alias("name"), F.trim(F.regexp_replace(F.substring(inner, F.char_length(name) + 1, F.char_length(inner)), r"^\s+", "")).alias("arg"))
+
+    return F.transform(F.regexp_extract_all(col(c), F.lit(COMMAND), F.lit(0)), read)
+
+
+def _drawn(found: Column, name: str, squares: int) -> Column:
+    """Words of all commands of a name that are a colour and so many squares: the colour's code, and the squares."""
+    codes = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
+    words = F.split(F.array_join(F.transform(F.filter(found, lambda e: e["name"] == name), lambda e: e["arg"]), ","), ",")
+    fit = F.filter(F.transform(words, F.trim), lambda w: w.rlike(f"^[{''.join(COLOURS)}](?:{_SQUARE}){{{squares}}}$"))
+    return F.transform(fit, lambda w: F.struct(
+        F.element_at(codes, F.left(w, F.lit(1))).alias("colour"), F.regexp_extract_all(w, F.lit(_SQUARE), F.lit(0)).alias("squares")))
+
+
 def comment_commands(c: Column | str) -> Column:
     """Struct of text (without commands), clock, eval, arrows, highlights of one comment."""
-    colour = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
-
     def read(p: Column) -> Column:
-        def values(name: str) -> Column:
-            return F.transform(F.filter(p["pairs"], lambda e: e["name"] == name), lambda e: F.trim(e["arg"]))
-
-        def last(name: str) -> Column:
-            return F.get(F.reverse(values(name)), F.lit(0))
-
-        def marks(name: str, pattern: str) -> Column:
-            words = F.flatten(F.transform(values(name), lambda v: F.split(v, ",")))
-            return F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w.rlike(pattern))
-
-        arrows = F.transform(
-            marks("cal", "^[RGYB][a-h][1-8][a-h][1-8]$"),
-            lambda w: F.struct(
-                F.element_at(colour, F.substring(w, 1, 1)).alias("colour"),
-                F.substring(w, 2, 2).alias("src"),
-                F.substring(w, 4, 2).alias("dst"),
-            ),
-        )
-        squares = F.transform(
-            marks("csl", "^[RGYB][a-h][1-8]$"),
-            lambda w: F.struct(
-                F.element_at(colour, F.substring(w, 1, 1)).alias("colour"),
-                F.substring(w, 2, 2).alias("square"),
-            ),
-        )
-        text = F.trim(F.regexp_replace(F.regexp_replace(p["raw"], _COMMAND, " "), r"\s+", " "))
+        def told(name: str) -> Column:  # the last of a name counts
+            same = F.filter(p["found"], lambda e: e["name"] == name)
+            return F.when(F.size(same) > 0, F.element_at(same, -1)["arg"])
+
+        arrow = lambda m: F.struct(m["colour"].alias("colour"), m["squares"][0].alias("src"), m["squares"][1].alias("dst"))
+        field = lambda m: F.struct(m["colour"].alias("colour"), m["squares"][0].alias("square"))
+        words = F.filter(F.split(F.regexp_replace(p["raw"], COMMAND, " "), r"\s+"), lambda w: w != "")
         return F.struct(
-            text.alias("text"),
-            F.regexp_replace(F.regexp_replace(last("clk"), "^0:", ""), r"\.\d+$", "").alias("clock"),
-            F.substring_index(last("eval"), ",", 1).alias("eval"),
-            arrows.alias("arrows"),
-            squares.alias("highlights"),
+            F.array_join(words, " ").alias("text"),
+            # Hours of nought and parts of a second are left out.
+            F.regexp_extract(told("clk"), r"(?s)^(?:0:)?(.*?)(?:\.\d+)?$", 1).alias("clock"),
+            F.get(F.split(told("eval"), ",", 2), F.lit(0)).alias("eval"),
+            F.transform(_drawn(p["found"], "cal", 2), arrow).alias("arrows"),
+            F.transform(_drawn(p["found"], "csl", 1), field).alias("highlights"),
         )
 
-    raw = col(c)
-    pairs = F.zip_with(
-        F.regexp_extract_all(raw, F.lit(_COMMAND), F.lit(1)),
-        F.regexp_extract_all(raw, F.lit(_COMMAND), F.lit(2)),
-        lambda n, a: F.struct(n.alias("name"), a.alias("arg")),
-    )
-    return let(F.struct(raw.alias("raw"), pairs.alias("pairs")), read)
+    return let(F.struct(col(c).alias("raw"), commands(c).alias("found")), read)
 
 
 def strip_annotations(
