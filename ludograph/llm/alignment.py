@@ -18,7 +18,6 @@ empty table gives no rows. Only key and text are read, so further columns and th
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import Recent, prepare, slices, staged
+from ludograph.llm.common import Recent, prepare, slices, staged, without_collection
 
 CACHED_BYTES = 128 << 20  # of each of two generations, in a worker
 MAX_MODEL = 64 << 20
@@ -195,11 +194,8 @@ def align_texts(df: DataFrame, model_a: str, model_b: bytes, key: str = "doc_id"
     shared = prepare(df.sparkSession).sparkContext.broadcast((model_a, model_b))
 
     def work(batches):
-        gc.disable()  # the remembered pieces hold no cycles, and looking through them again and again takes long
-        try:
+        with without_collection():
             yield from aligned(batches)
-        finally:
-            gc.enable()
 
     def aligned(batches):
         tool = aligner(*shared.value)

@@ -20,7 +20,6 @@ Columns named like a new one are replaced.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from array import array
 
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ludograph.llm.common import Recent, give_back, prepare, slices
+from ludograph.llm.common import Recent, give_back, prepare, slices, without_collection
 
 CACHED_BYTES = 48 << 20  # of each of two generations of words and of pieces, in a worker
 LONG_WORD = 400
@@ -259,13 +258,10 @@ def _extended(df: DataFrame, added: dict[str, T.DataType], column: str, make, dr
     schema = T.StructType([*[rest.schema.fields[i] for i in kept], *[T.StructField(n, t) for n, t in added.items()]])
 
     def extend(batches):
-        gc.disable()  # what is remembered holds no cycles, and looking through it again and again takes long
-        try:
+        with without_collection():
             for batch in slices(batches, 500):
                 columns = [*[batch.column(i) for i in kept], *make(batch.column(at))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        finally:
-            gc.enable()
 
     return rest.mapInArrow(extend, schema)
 

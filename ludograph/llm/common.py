@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ludograph.session import shared_folder, ship, staged
 
-__all__ = ["Recent", "dealt", "spare", "exclusive_sums", "fold", "give_back", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged"]
+__all__ = ["Recent", "dealt", "spare", "exclusive_sums", "fold", "give_back", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged", "without_collection"]
 
 SLICE_BYTES = 2 << 20
 TASK_BYTES = 32 << 20
@@ -74,6 +76,16 @@ def give_back() -> None:
         _C.malloc_trim(0)
 
 
+@contextmanager
+def without_collection():
+    """No search for cycles meanwhile: what is remembered in large tables holds none, and looking through it takes long."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = SLICE_BYTES):
     """Arrow batches cut into short ones of at most ``rows`` rows and (but for single rows) ``size`` bytes, so that
     Python objects of few rows live at a time."""

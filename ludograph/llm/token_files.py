@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import Recent, dealt, exclusive_sums, new_folder, open_file, prepare, slices, staged
+from ludograph.llm.common import Recent, dealt, exclusive_sums, new_folder, open_file, prepare, slices, staged, without_collection
 from ludograph.llm.elias_fano import EliasFano
 
 MAGIC = b"EFTOKEN1"
@@ -173,6 +173,10 @@ def write_token_files(df: DataFrame, model: str, end_id: int, key: str = "doc_id
     folder = folder or new_folder(spark, "token-files")
 
     def write(batches):
+        with without_collection():
+            yield from written(batches)
+
+    def written(batches):
         tool, part, file, seq = encoder(shared.value), TaskContext.get().partitionId(), None, 0
         end = np.array([end_id], dtype=tool.kind).tobytes()
         done = []
