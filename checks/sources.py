@@ -13,8 +13,8 @@ from ludograph.operators.explorer import explore
 from ludograph.operators.jobs import StepCounts
 from ludograph.operators.openings import build_openings, name_states
 from ludograph.operators.replay import BoardStates
-from ludograph.plans.export import export_ids, export_pgn
-from ludograph.plans.ingest import ingest
+from ludograph.plans.export import export_ids, export_pgn, record_text
+from ludograph.plans.ingest import Options, ingest
 from ludograph.plans.tables import Store, Tables
 from ludograph.sources import records as R
 from ludograph.sources.openings import openings_from_lines, read_openings
@@ -225,11 +225,12 @@ def _session_facts(games):
                         F.col("result").cast("bigint").alias("result"), F.col("ply_count").cast("bigint").alias("plies"), "opening", "eco")
 
 
-def _imported(spark, d):
-    path = V.scratch(spark)
-    _write_records(session_records(spark, d), path)
+def _imported(spark, d, options=Options(), path=None):
+    if path is None:
+        path = V.scratch(spark)
+        _write_records(session_records(spark, d), path)
     lines = spark.createDataFrame(_LINES, "eco string, name string, moves string")
-    return ingest(R.read_records(spark, path), JOB.named(lines), states=JOB)
+    return ingest(R.read_records(spark, path), JOB.named(lines), options, states=JOB)
 
 
 def _by_session(positions, games):
@@ -252,6 +253,23 @@ def import_session_states(spark, d):
     return _by_session(done.positions, done.games)
 
 
+@check("snk_02b_round_trip", _SESSION_GAMES)
+def round_trip(spark, d):
+    """Whole records written from steps, with tags, numbers and line breaks, and imported again."""
+    path = V.scratch(spark)
+    export_pgn(record_text(_imported(spark, d, Options(strip=True)).games), path)
+    return _session_facts(_imported(spark, d, path=path).games)
+
+
+@check("snk_03b_round_trip_ids", _SESSION_GAMES + " where f.game_id % 4 = 1")
+def round_trip_ids(spark, d):
+    """The same for a list of ids."""
+    path, games = V.scratch(spark), _imported(spark, d).games
+    listed = games.where(F.col("round").cast("bigint") % 4 == 1).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("id"))
+    export_pgn(export_ids(listed, record_text(games)).select("id", "record"), path)
+    return _session_facts(_imported(spark, d, path=path).games)
+
+
 @check("ingest_06_stored_index", f"with {V.P} select cast(count(*) as bigint) as positions, (select cast(count(*) as bigint) from facts) as games from p")
 def import_stored_index(spark, d):
     """The whole import with games and state index written and sorted."""
