@@ -10,6 +10,7 @@ from ludograph.functions.columns import MOVE_END, move_to_uci
 from ludograph.operators import explorer as E
 from ludograph.operators import reports
 from ludograph.operators.replay import index_rows, line_state
+from ludograph.plans.explorer_table import ExplorerTable
 
 START = "0|0|0|0|0"
 FIRST = "1|0|0|0|0"  # after one click
@@ -108,6 +109,24 @@ def report(spark, d):
     )
 
 
+@check(
+    "exp_09b_report_of_games",
+    f"""with {V.P}, mv as (select hash, upper(move) as shown, count(*) as games from p where move <> '{V.END}' group by hash, shown),
+    ranked as (select *, row_number() over (partition by hash order by elo desc, game_id desc) as rn from p)
+    select heads.hash, moves, top_games from
+    (select hash, string_agg(shown || ':' || games, ',' order by games desc, shown) as moves from mv group by hash) heads
+    join (select hash, string_agg(r.game_id || ':' || f.n || ':' || f.final, ',' order by r.rn) as top_games
+      from ranked r join facts f on f.game_id = r.game_id where rn <= 3 group by hash) top using (hash)""",
+)
+def report_of_games(spark, d):
+    """Moves by their text, and games with columns of their display rows."""
+    shown = V.sessions(spark, d).select("game_id", "n", "final")
+    r = E.explorer_report(V.positions(spark, d), k=3, end=V.END, text=F.upper, games=shown).where(F.size("moves") > 0)
+    move = lambda m: F.concat_ws(":", m["text"], m["games"].cast("string"))
+    game = lambda g: F.concat_ws(":", *[g[c].cast("string") for c in ("game_id", "n", "final")])
+    return r.select("hash", *[F.array_join(F.transform(c, f), ",").alias(c) for c, f in (("moves", move), ("top_games", game))])
+
+
 @check(
     "exp_10_explore_line",
     f"""with {V.CHESS} select case when m > 4 then ucis[5] else '{V.END}' end as uci, cast(count(*) as bigint) as games,
@@ -162,12 +181,8 @@ def materialised(spark, d):
     select hash, move, games, rank, 1 as level from l1 union all select hash, move, games, rank, 2 as level from l2""",
 )
 def opening_tree(spark, d):
-    pos = V.positions(spark, d)
-    rows = V.plies(spark, d)
-    # Where a move leads: the state one ply later of the same game (an equi-join on a unique key).
-    after = rows.select("game_id", (F.col("ply") - 1).alias("ply"), F.col("hash").alias("child"))
-    links = rows.select("game_id", "ply", "hash", "move").join(after, ["game_id", "ply"]).select("hash", "move", "child")
-    return E.opening_tree(E.explore_all(pos), links, START, 2, 3, V.END)
+    table = ExplorerTable(spark, V.scratch(spark)).write(E.explore_all(V.positions(spark, d, child=True)))
+    return table.tree(START, 2, 3, V.END)
 
 
 @check(

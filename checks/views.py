@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ludograph.functions import columns as C
 from ludograph.session import shared_folder, spread
-from ludograph.operators.sequences import first_visit, horizon, position_index, states, with_final
+from ludograph.operators.sequences import first_visit, horizon, position_index, states, with_child, with_final
 
 STEPS = ["click", "error", "purchase", "signup", "view"]
 END = "END"
@@ -135,8 +135,10 @@ def plies(spark: SparkSession, d: str, **kw) -> DataFrame:
     return with_final(rows, ["game_id"], "move", last, END)
 
 
-def positions(spark: SparkSession, d: str) -> DataFrame:
-    rows = first_visit(horizon(plies(spark, d), HORIZON), ["game_id"])
+def positions(spark: SparkSession, d: str, child: bool = False) -> DataFrame:
+    rows = plies(spark, d)
+    rows = with_child(rows, ["game_id"], HORIZON) if child else horizon(rows, HORIZON)
+    rows = first_visit(rows, ["game_id"])
     return position_index(rows, sessions(spark, d))
 
 

@@ -8,15 +8,15 @@ without a map-side reduction first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ludograph.functions.columns import MOVE_END, share
-from ludograph.operators.skew import top_k
-
-OPEN_STATES = 100_000  # states of a tree's level that may be broadcast
+from ludograph.operators.skew import largest, top_k
+from ludograph.session import staged
 
 
 @dataclass(frozen=True)
@@ -65,16 +65,15 @@ def _mean() -> Column:
     return F.floor(F.col("_elo_sum") / F.col("_elo_n") + 0.5).cast("int").alias("avg_elo")
 
 
-def _partials(positions: DataFrame) -> DataFrame:
-    return positions.groupBy("hash", "move").agg(*_stats())
-
-
 _TABLE = ["games", "white", "draws", "black"]
 
 
 def explore_all(positions: DataFrame, f: StateFilter | None = None) -> DataFrame:
-    """Next-step table of every state: one map-side reduced aggregation over the index."""
-    return _partials(state_filters(positions, f)).select("hash", "move", *_TABLE, _mean(), "last_year")
+    """Next-step table of every state: one map-side reduced aggregation over the index. An index that says where steps
+    lead (``child``) gives a table that does."""
+    child = ["child"] if "child" in positions.columns else []
+    rows = state_filters(positions, f).groupBy("hash", "move").agg(*_stats(), *[F.min(c).alias(c) for c in child])
+    return rows.select("hash", "move", *_TABLE, _mean(), "last_year", *child)
 
 
 def explore(positions: DataFrame, state, f: StateFilter | None = None) -> DataFrame:
@@ -145,47 +144,58 @@ def recent_games_all(positions: DataFrame, k: int = 8) -> DataFrame:
 
 def explorer_report(
     positions: DataFrame, state=None, *, names: DataFrame | None = None, k: int = 8, end=MOVE_END,
-    f: StateFilter | None = None,
+    f: StateFilter | None = None, text: Callable[[Column], Column] | None = None, games: DataFrame | None = None,
 ) -> DataFrame:
     """One row per state: totals, ended games, ranked moves, best and latest games, name.
 
-    ``state=None`` reports every state. The collected lists hold distinct moves and at most k games.
-    ``names`` is (hash, eco, name).
+    ``state=None`` reports every state. The index is read once: sums and the leading games are kept together for each
+    (state, move), and shrink before the shuffle. The lists hold distinct moves and at most k games. ``names`` is
+    (hash, eco, name). ``text`` shows a move; moves with equally many games go by it. ``games`` are display rows by
+    ``game_id``, whose columns the listed games get; they are joined to those games only.
     """
     rows = state_filters(positions if state is None else positions.filter(F.col("hash") == F.lit(state)), f)
-    table = explore_all(rows)
-    entry = F.struct(
-        (-F.col("games")).alias("_order"), "move", *_TABLE, "avg_elo", "last_year"
-    )
+    k = clamp_k(k)
+    best, recent = (F.struct(c, "game_id", "ply") for c in ("elo", "year"))
+    table = rows.groupBy("hash", "move").agg(*_stats(), largest(best, k).alias("_best"), largest(recent, k).alias("_recent"))
+    table = table.select("hash", "move", *_TABLE, _mean(), "last_year", "_best", "_recent")
+    shown = [] if text is None else [text(F.col("move")).alias("text")]
+    entry = F.struct((-F.col("games")).alias("_order"), *shown, "move", *_TABLE, "avg_elo", "last_year")
     listed = F.sort_array(F.collect_list(F.when(F.col("move") != end, entry)))
-    heads = table.groupBy("hash").agg(
+
+    def leading(name: str) -> Column:
+        found = F.slice(F.sort_array(F.flatten(F.collect_list(name)), asc=False), 1, k)
+        return F.transform(found, lambda g: F.struct(g["game_id"].alias("game_id"), g["ply"].alias("ply")))
+
+    out = table.groupBy("hash").agg(
         *[F.sum(c).alias(c) for c in _TABLE],
         F.sum(F.when(F.col("move") == end, F.col("games")).otherwise(0)).alias("ended"),
         F.transform(listed, lambda e: e.dropFields("_order")).alias("moves"),
+        leading("_best").alias("top_games"), leading("_recent").alias("recent_games"),
     )
-
-    def ids(rank: str, name: str) -> Column:
-        pairs = F.sort_array(F.collect_list(F.when(F.col(rank) <= clamp_k(k), F.struct(rank, "game_id", "ply"))))
-        return F.transform(pairs, lambda p: F.struct(p["game_id"].alias("game_id"), p["ply"].alias("ply"))).alias(name)
-
-    leading = _leading_games(rows, clamp_k(k)).groupBy("hash").agg(ids("_best", "top_games"), ids("_recent", "recent_games"))
-    out = heads.join(leading, "hash", "left")
+    if games is not None:
+        out = _with_display(staged(out), games)
     if names is not None:
         out = out.join(names.select("hash", "eco", "name"), "hash", "left")
     return out
 
 
-def _leading_games(rows: DataFrame, k: int, salts: int = 64) -> DataFrame:
-    """The rows that are among the first ``k`` of their state by rating (``_best``) or by date (``_recent``). Both
-    ranks come from one shuffle by state and game, which cuts hot states down, and one by state."""
+def _with_display(report: DataFrame, games: DataFrame) -> DataFrame:
+    """The listed games of a stored report with the columns of their display rows (NULL for games that have none)."""
+    lists = ["top_games", "recent_games"]
+    columns = [c for c in games.columns if c not in ("game_id", "ply")]
+
+    def tagged(name: str) -> Column:
+        return F.transform(name, lambda g, at: F.struct(F.lit(name).alias("list"), at.alias("at"), g.alias("g")))
 
-    def ranked(df: DataFrame, by: list[str]) -> DataFrame:
-        over = Window.partitionBy(*by)
-        ranks = [F.row_number().over(over.orderBy(*order)).alias(name) for name, order in (("_best", _best()), ("_recent", _recent()))]
-        return df.select("hash", "game_id", "ply", "elo", "year", *[c for c in by if c != "hash"], *ranks).where(F.least("_best", "_recent") <= k)
+    rows = report.select("hash", F.inline(F.concat(*map(tagged, lists)))).select("hash", "list", "at", "g.game_id", "g.ply")
+    rows = rows.join(games.select("game_id", *columns), "game_id", "left")
+    game = F.struct("at", F.struct("game_id", "ply", *columns).alias("g"))
 
-    cut = ranked(rows.withColumn("_salt", F.pmod(F.xxhash64("game_id"), F.lit(salts))), ["hash", "_salt"])
-    return ranked(cut, ["hash"])
+    def of(name: str) -> Column:
+        mine = F.sort_array(F.collect_list(F.when(F.col("list") == name, game)))
+        return F.transform(mine, lambda r: r["g"]).alias(name)
+
+    return report.drop(*lists).join(rows.groupBy("hash").agg(*map(of, lists)), "hash", "left")
 
 
 def guard(rows: DataFrame, text: str = "epd") -> DataFrame:
@@ -198,28 +208,22 @@ def guard(rows: DataFrame, text: str = "epd") -> DataFrame:
 
 
 def opening_tree(
-    table: DataFrame, links: DataFrame, root, depth: int = 2, breadth: int = 6, end=MOVE_END
+    rows_of: Callable[[DataFrame], DataFrame], root: DataFrame, depth: int = 2, breadth: int = 6, end=MOVE_END
 ) -> DataFrame:
     """The most played moves from a state, level by level.
 
-    ``table`` is a next-step table, ``links`` (hash, move, child) says where a move leads. At most
-    breadth^level states are open; table and links are cut to them before anything is ranked or grouped, and the open
-    states are broadcast where that bound is small.
+    ``rows_of`` gives the next-step rows, with ``child``, of some states (``hash``): of a stored table those files are
+    opened that can hold them (``ExplorerTable.of``). ``root`` is a frame of one ``hash``. At most breadth^level states are open;
+    each level is written, so the next one starts from its few rows.
     """
     order = [F.desc("games"), F.col("move")]
-
-    def ranked(rows: DataFrame, n: int) -> DataFrame:
-        best = top_k(rows.filter(F.col("move") != end), ["hash"], order, breadth, salt="move")
-        return best.select("hash", "move", "games", "rank", F.lit(n).alias("level"))
-
-    level = ranked(table.filter(F.col("hash") == F.lit(root)), 1)
-    out = level
-    for n in range(2, depth + 1):
-        small = F.broadcast if breadth ** (n - 1) <= OPEN_STATES else lambda df: df
-        taken = links.join(small(level.select("hash", "move")), ["hash", "move"], "left_semi")
-        opened = taken.groupBy("hash", "move").agg(F.min("child").alias("child")).select(F.col("child").alias("hash")).distinct()
-        level = ranked(table.join(small(opened), "hash", "left_semi"), n)
-        out = out.unionByName(level)
+    opened, out = root.select("hash"), None
+    for n in range(1, depth + 1):
+        best = top_k(rows_of(opened).filter(F.col("move") != end), ["hash"], order, breadth, salt="move")
+        level = staged(best.select("hash", "move", "games", "rank", "child").coalesce(1))
+        opened = level.where("child is not null").select(F.col("child").alias("hash")).distinct()
+        rows = level.drop("child").withColumn("level", F.lit(n))
+        out = rows if out is None else out.unionByName(rows)
     # A state met again on a deeper level is listed where it was met first.
     return out.groupBy("hash", "move", "games", "rank").agg(F.min("level").alias("level"))
 

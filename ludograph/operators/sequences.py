@@ -59,6 +59,13 @@ def horizon(df: DataFrame, n: int = 60, ply: str = "ply") -> DataFrame:
     return df.filter(F.col(ply) <= n)
 
 
+def with_child(plies: DataFrame, by: list[str], n: int = 60, state: str = "hash", ply: str = "ply", name: str = "child") -> DataFrame:
+    """States 0..n of each sequence with the state that the step leads to (NULL behind the last). Sequences are cut at n + 1
+    first, so none is long."""
+    rows = running(df=plies.filter(F.col(ply) <= n + 1), by=by, order=[ply], following={name: F.col(state)})
+    return horizon(rows, n, ply)
+
+
 def first_visit(df: DataFrame, by: list[str], state: str = "hash", ply: str = "ply", keep: list[str] | None = None) -> DataFrame:
     """One row per (sequence, state): its first occurrence, with that row's other columns."""
     keep = keep if keep is not None else [c for c in df.columns if c not in {*by, state, ply}]
@@ -69,11 +76,12 @@ def first_visit(df: DataFrame, by: list[str], state: str = "hash", ply: str = "p
 def position_index(plies: DataFrame, games: DataFrame, key: str = "game_id") -> DataFrame:
     """State rows with outcome, mean rating and year of their game.
 
-    ``plies`` holds (game, hash, move, ply) after ``horizon`` and ``first_visit``. An ordinary
+    ``plies`` holds (game, hash, move, ply), and ``child`` if it is known, after ``horizon`` and ``first_visit``. An ordinary
     equi-join on the game: the engine broadcasts, sorts or splits hot games by measured sizes.
     """
     facts = games.select(key, "result", "elo", "year")
-    return plies.join(facts, key).select("hash", "move", key, "ply", "result", "elo", "year")
+    child = ["child"] if "child" in plies.columns else []
+    return plies.join(facts, key).select("hash", "move", key, "ply", "result", "elo", "year", *child)
 
 
 PIECE = 1024

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 HOT_ROWS = 1_000_000
 
@@ -130,3 +131,8 @@ def top_k(
         .filter(F.col(rank) <= k)
     )
 
+
+def largest(value: Column, k: int) -> Column:
+    """Aggregate: the ``k`` largest values, the largest first, NULL fields last. Its state holds ``k`` values and merges, so
+    hot groups shrink before the shuffle."""
+    return InternalFunction.collect_top_k(value, max(k, 1), False)

@@ -23,7 +23,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ludograph.operators.explorer import explore_all
 from ludograph.operators.sequences import horizon as cut_horizon
+from ludograph.plans.explorer_table import ExplorerTable
 
 META = "version bigint, base bigint, horizon int, games bigint, positions bigint, batch bigint"
 # top: largest id so far; kind: what the version holds: rows, marks or both
@@ -344,18 +346,17 @@ class Store:
     # The explorer table: all states at once, tagged with the version it was built from.
 
     def materialise_explorer(self) -> DataFrame:
-        from ludograph.operators.explorer import explore_all
-
         version = self.current()["version"]
-        table = explore_all(self.read().positions)
-        path = f"{self.path}/explorer/v={version}"
-        table.repartitionByRange("hash", "move").sortWithinPartitions("hash", "move").write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        table = ExplorerTable(self.spark, f"{self.path}/explorer/v={version}")
+        return table.write(explore_all(self.read().positions)).read()
 
-    def explorer(self) -> DataFrame:
+    def explorer_table(self) -> ExplorerTable:
         """The pre-computed table if it is of the current version, else rebuilt."""
         version = self.current()["version"]
-        files, done = self._files("explorer", f"v={version}", "_SUCCESS")
-        if files.exists(done):
-            return self.spark.read.parquet(f"{self.path}/explorer/v={version}")
-        return self.materialise_explorer()
+        files, done = self._files("explorer", f"v={version}", "keys", "_SUCCESS")
+        if not files.exists(done):
+            self.materialise_explorer()
+        return ExplorerTable(self.spark, f"{self.path}/explorer/v={version}")
+
+    def explorer(self) -> DataFrame:
+        return self.explorer_table().read()
