@@ -6,8 +6,8 @@ fixed size that is broadcast. (Frequencies of whole shingles would give the shin
 because it has copies, so that large groups of near copies would fall below the threshold.)
 
 Steps: texts with equal words are one class, found by a 128-bit hash. ``BANDS`` x ``ROWS`` samples of each class give
-band keys. In a bucket every member is compared with the least id; members that are not near it are compared with all members
-of the bucket, in blocks inside the tasks. Pairs whose 2-bit samples or total weights exclude the threshold are not verified,
+band keys. In a bucket every member is compared with the least id; members that are not near it (far ones) are compared with
+all members of the bucket, in blocks inside the tasks. Pairs whose 2-bit samples or total weights exclude the threshold are not verified,
 nor pairs within one known component, since they change no result. Every other candidate pair is verified by the exact weighted
 Jaccard similarity of the whole texts. Links make components. A pair at the threshold is found with probability 0.995, above it
 more; nothing is capped.
@@ -247,29 +247,52 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
                         *(["tx"] if hashed else []))
 
 
-UNIT = ["band", "bucket", "i", "j"]
+UNIT = ["band", "bucket", "kind", "i", "j"]
+FAR, MIXED = 0, 1  # kinds of units: of two chunks of far members, or of a chunk of far members and one of the others
+
+
+def work_units(others: DataFrame) -> DataFrame:
+    """The members of buckets with far members, once for each unit of work they belong to. Far members and the others are
+    cut into chunks of bounded size apart: every two chunks of far members are a unit, and every chunk of far members
+    with every chunk of others. So a bucket of many near copies with a stray one costs its size, not its square."""
+    def chunks(of: Column) -> Column:
+        count, weight = (F.sum(F.when(of, v).otherwise(0)) for v in (F.lit(1), F.col("w")))
+        return F.greatest(F.ceil(count / CHUNK), F.ceil(weight / CHUNK_WEIGHT)).cast("long")
+
+    sizes = others.groupBy("band", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), chunks(F.col("far")).alias("fars"), chunks(~F.col("far")).alias("rests"))
+    cut = others.join(sizes.where("n > 1 and fars > 0").drop("n"), ["band", "bucket"])
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("id", "tx"), F.when(F.col("far"), F.col("fars")).otherwise(F.col("rests"))))
+
+    def unit(kind: int, i: str, j: str) -> str:
+        return f"named_struct('kind', {kind}, 'i', {i}, 'j', {j})"
+
+    two = f"transform(sequence(0L, fars - 1L), x -> {unit(FAR, 'least(mine, x)', 'greatest(mine, x)')})"
+    mixed = f"if(rests > 0, transform(sequence(0L, greatest(rests, 1L) - 1L), x -> {unit(MIXED, 'mine', 'x')}), array())"
+    met = f"transform(sequence(0L, fars - 1L), x -> {unit(MIXED, 'x', 'mine')})"
+    units = cut.withColumn("u", F.explode(F.expr(f"if(far, concat({two}, {mixed}), {met})")))
+    return units.select("band", "bucket", "u.kind", "u.i", "u.j", "id", "tx", "far", "root", "w", "p1", "p2")
 
 
 def _further_links(others: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Links (``a``, ``b``) between members of a bucket of which one is ``far`` from the bucket's least id, and which are not
-    in one component yet. A bucket is cut into chunks of bounded size, and every two chunks are one unit of work: first
-    the samples tell which members can have a partner at all, then those members' whole texts are compared, all at once.
-    Only local roots leave a unit, never its pairs."""
+    in one component yet. In each unit of work (see ``work_units``) the samples tell first which members can have a
+    partner at all, then those members' whole texts are compared, all at once. Only local roots leave a unit, never its
+    pairs."""
     shared = prepare(others.sparkSession).sparkContext.broadcast(idf)
-    sizes = others.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.max("far").alias("any_far"))
-    sizes = sizes.where("n > 1 and any_far").drop("any_far")
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_WEIGHT)).cast("long")
-    cut = others.join(sizes, ["band", "bucket"]).withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("id", "tx"), F.col("chunks")))
-    cut = cut.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1L)")))
-    units = cut.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
 
     def possible(batches):
         for t in groups(batches, UNIT):
             far, root, w, p1, p2 = (t[c].to_numpy() for c in ("far", "root", "w", "p1", "p2"))
-            differ = np.bitwise_count(((p1[:, None] ^ p1[None, :]) | (p2[:, None] ^ p2[None, :])).view(np.uint64))
-            near = (differ <= DIFFERENT) & (root[:, None] != root[None, :]) & (far[:, None] | far[None, :])
-            near &= np.minimum(w[:, None], w[None, :]) >= np.maximum(w[:, None], w[None, :]) * (threshold - 1e-6)
-            yield from t.select([*UNIT, "id", "tx"]).filter(pa.array(near.any(axis=1))).combine_chunks().to_batches()
+            x = np.flatnonzero(far)
+            y = x if t["kind"][0].as_py() == FAR else np.flatnonzero(~far)
+            differ = np.bitwise_count(((p1[x][:, None] ^ p1[y][None, :]) | (p2[x][:, None] ^ p2[y][None, :])).view(np.uint64))
+            near = (differ <= DIFFERENT) & (root[x][:, None] != root[y][None, :])
+            near &= np.minimum(w[x][:, None], w[y][None, :]) >= np.maximum(w[x][:, None], w[y][None, :]) * (threshold - 1e-6)
+            wanted = np.zeros(len(far), bool)
+            wanted[x[near.any(axis=1)]] = True
+            wanted[y[near.any(axis=0)]] = True
+            yield from t.select([*UNIT, "id", "tx"]).filter(pa.array(wanted)).combine_chunks().to_batches()
 
     def compare(batches):
         for t in groups(batches, UNIT):
@@ -277,8 +300,8 @@ def _further_links(others: DataFrame, texts: DataFrame, idf: np.ndarray, thresho
             at, root = local_roots(t["id"].to_numpy(), similarities(grams, weights, place) >= threshold - 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(t["id"].to_numpy()[at]), pa.array(root)], names=["a", "b"])
 
-    narrow = units.select(*UNIT, "id", "tx", "far", "root", "w", "p1", "p2").repartition(*UNIT).sortWithinPartitions(*UNIT)
-    wanted = staged(narrow.mapInArrow(possible, "band int, bucket long, i long, j long, id long, tx long"))
+    narrow = work_units(others).repartition(*UNIT).sortWithinPartitions(*UNIT)
+    wanted = staged(narrow.mapInArrow(possible, "band int, bucket long, kind int, i long, j long, id long, tx long"))
     wide = wanted.join(texts, ["id", "tx"]).select(*UNIT, "id", "text").repartition(*UNIT).sortWithinPartitions(*UNIT, "id")
     return staged(wide.mapInArrow(compare, "a long, b long"))
 

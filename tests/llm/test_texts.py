@@ -349,3 +349,29 @@ def test_groups_of_items_are_bounded(spark, monkeypatch):
     assert sum(map(len, groups)) == 40 and max(sum(len(r.text) for r in g) for g in groups) <= 800
     with pytest.raises(ValueError, match="broadcast"):
         decontaminate._item_groups(items.selectExpr("item_id", "repeat(text, 9) as text"), "item_id", "text")
+
+
+@pytest.mark.parametrize("n,far", [(5000, 1), (1500, 700), (900, 900), (1, 1), (400, 0)])
+def test_strays_meet_all_members_once(spark, n, far):
+    """Every pair with a far member shares a unit; rows grow with members and chunks of far ones, not with pairs."""
+    from ludograph.llm.weighted_minhash import CHUNK, FAR, UNIT, work_units
+
+    ids = F.col("id")
+    others = spark.range(n).select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("bucket"), "id", (ids * 3).alias("tx"), (ids < far).alias("far"),
+                                   ids.alias("root"), F.lit(1.0).alias("w"), ids.alias("p1"), ids.alias("p2"))
+    rows = work_units(others).collect()
+    if n < 2 or not far:
+        assert rows == []
+        return
+    units = {}
+    for r in rows:
+        units.setdefault(tuple(r[c] for c in UNIT), []).append((r["id"], r["far"]))
+    met = set()
+    for u, members in units.items():
+        assert len(members) == len(set(members)) <= 4 * CHUNK
+        x = [i for i, f in members if f]
+        y = x if u[2] == FAR else [i for i, f in members if not f]
+        met.update((i, j) for i in x for j in y)
+    assert {(min(p), max(p)) for p in met if p[0] != p[1]} == {(i, j) for i in range(far) for j in range(i + 1, n)}
+    fars, rests = -(-far // CHUNK), -(-(n - far) // CHUNK)
+    assert len(rows) == far * (fars + rests) + (n - far) * fars
