@@ -147,3 +147,18 @@ def test_no_python_in_tasks(spark, model):
     scanned = P.scan(read_table(spark, D, "documents"))
     plan = P.find_pii(scanned, model)._jdf.queryExecution().toString()
     assert not re.search(r"Python|Arrow|MapIn", plan)
+
+
+def test_every_span_counts(spark):
+    """All spans of all texts train and calibrate; those described alike are one row of their number."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.format_string("write kim%02d@mail.org now", F.col("id") % 20).alias("text"))
+    rows = P.examples(P.scan(docs))
+    spans = {r["held"]: r["n"] for r in rows.where("label = 1").groupBy("held").agg(F.count("*").alias("n")).collect()}
+    assert sum(spans.values()) == 2 * 12_000 and spans[False] > 2 * 4000
+    alike = P.counted(rows)
+    assert alike.agg(F.sum("n")).first()[0] == rows.count() and alike.count() < 1000
+
+
+def test_rows_alike_weigh_as_many(spark):
+    rows = [(0, 1.0, 0.9, 99.0), (0, 0.0, 0.9, 1.0), (0, 0.0, 0.7, 1.0), (0, 1.0, 0.6, 1.0), (1, 0.0, 0.99, 3.0), (2, 1.0, 0.4, 5.0)]
+    assert P.thresholds(spark.createDataFrame(rows, "kind int, label double, score double, n double"), 0.99) == (0.9, 2.0, 2.0, 2.0)
