@@ -19,10 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import prepare, slices
+from ludograph.llm.common import give_back, prepare, slices
 from ludograph.llm.labelled import training_rows
 from ludograph.llm.words import text_bytes, word_hashes
 
@@ -57,8 +58,11 @@ def counts_of(texts: pa.Array) -> np.ndarray:
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     total = counts.sum(axis=1, keepdims=True)
-    x = np.sqrt(counts / np.maximum(total, 1)) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = counts / np.maximum(total, 1)
+    np.sqrt(x, out=x)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -90,14 +94,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
             yield pa.RecordBatch.from_pydict({"counts": rows, "label": batch.column("label")})
 
     rows = training_rows(docs, labels, "quality", max_rows).mapInArrow(count, "counts binary, label double").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: rows["counts"][i].as_py())
+    order = pc.sort_indices(rows["counts"]).to_numpy()
     label = rows["label"].to_numpy()[order]
     if not 0 < label.sum() < len(label):
         return {"constant": float(label[0]) if len(label) else 1.0}
-    x = weigh(np.stack([np.frombuffer(rows["counts"][i].as_py(), np.float32) for i in order]), idf)
+    counts = np.empty((len(order), DIMS + 1), np.float32)
+    for row, i in zip(counts, order.tolist()):
+        row[:] = np.frombuffer(rows["counts"][i].as_buffer(), np.float32)
+    del rows
+    x = weigh(counts, idf)
+    del counts, row
     axes = _axes(x)
     near = x @ axes
     near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
+    del x
+    give_back()
     return {"idf": idf, "axes": axes, "near": near, "label": label.astype(np.float32)}
 
 

@@ -14,6 +14,9 @@ one label only, every score is that label; where there are none, every score is
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import prepare, slices
+from ludograph.llm.common import give_back, new_folder, open_file, prepare, slices
 from ludograph.llm.labelled import training_rows
 from ludograph.llm.words import text_bytes
 
@@ -94,25 +97,62 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     return (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Train on at most ``max_rows`` labelled documents, up to ``TOXIC_SHARE`` of them toxic. Their bags are made in tasks; the driver
-    gets at most ``max_rows`` bags of at most ``BUCKETS`` entries."""
-    prepare(docs.sparkSession)
+def write_bags(rows: DataFrame) -> DataFrame:
+    """Write the bag of each row's ``text`` to files of the shared folder, one a task: its buckets, then their shares.
+    Columns: path, at (the place in the file), n (buckets) and the row's label."""
+    folder = new_folder(prepare(rows.sparkSession), "bags")
 
-    def bags(batches):
+    def write(batches):
+        out, at, path = None, 0, f"{folder}/{uuid.uuid4().hex}.bags"
         for batch in slices(batches, 50):
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            places, sizes = [], []
+            for text in batch.column("text").to_pylist():
                 used, share = features(text)
-                yield pa.RecordBatch.from_pydict({"used": [used.tobytes()], "share": [share.astype(np.float16).tobytes()], "label": [label]})
+                data = used.tobytes() + share.astype(np.float16).tobytes()
+                out = out or open_file(path, "w")
+                out.write(data + bytes(-len(data) % 4))
+                places.append(at)
+                sizes.append(len(used))
+                at += len(data) + -len(data) % 4
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(places), pa.string()), pa.array(places, pa.int64()),
+                                              pa.array(sizes, pa.int64()), batch.column("label")], names=["path", "at", "n", "label"])
+        if out:
+            out.close()
+
+    return rows.select("text", "label").mapInArrow(write, "path string, at long, n long, label double")
+
+
+def read_bags(listed: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bags of listed rows, as views of a local file of the driver that the system maps: only what a step of the
+    training looks at need be in memory."""
+    starts, end = {}, 4
+    with tempfile.TemporaryFile() as local:
+        local.write(bytes(end))  # a file without bytes cannot be mapped
+        for path in sorted(set(listed["path"].to_pylist())):
+            with open_file(path) as file:
+                shutil.copyfileobj(file, local, 1 << 20)
+            starts[path], end = end, local.tell()
+        local.flush()
+        data = np.memmap(local, np.uint8, "r")
+    out = []
+    for path, at, n in zip(*(listed[c].to_pylist() for c in ("path", "at", "n"))):
+        at += starts[path]
+        out.append((np.frombuffer(data, np.int32, n, at), np.frombuffer(data, np.float16, n, at + 4 * n)))
+    return out
 
-    rows = training_rows(docs, labels, "toxic", max_rows, TOXIC_SHARE).mapInArrow(bags, "used binary, share binary, label double").toArrow()
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
+    """Train on at most ``max_rows`` labelled documents, up to ``TOXIC_SHARE`` of them toxic. Tasks write their bags (of at most
+    ``BUCKETS`` entries) to files; the driver gets a short row of each and holds the bags of one step."""
+    rows = write_bags(training_rows(docs, labels, "toxic", max_rows, TOXIC_SHARE)).toArrow()
     label = rows["label"].to_numpy()
     if not 0 < label.sum() < len(label):
         return np.zeros(BUCKETS, np.float32), 50.0 if label.sum() else -50.0
-    # Views of the one Arrow table, in an order that does not depend on the tasks' order.
-    found = [(np.frombuffer(u.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.float16)) for u, s in zip(rows["used"], rows["share"])]
+    found = read_bags(rows)  # taken in an order that does not depend on the tasks' order
     order = sorted(range(len(found)), key=lambda i: (label[i], len(found[i][0]), zlib.crc32(found[i][0]), zlib.crc32(found[i][1])))
-    return train([found[i] for i in order], label[order])
+    model = train([found[i] for i in order], label[order])
+    give_back()
+    return model
 
 
 def logits(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:

@@ -17,6 +17,7 @@ from ludograph.llm.decontaminate import align, find_leaks, without_leaks
 from ludograph.llm.labelled import training_rows
 from ludograph.llm.quality import fit_quality, score_quality
 from ludograph.llm.separators import count_tokens, write_flat_tokens
+from ludograph.llm import toxicity
 from ludograph.llm.toxicity import fit_toxicity, score_toxicity
 from ludograph.llm.vector_dedup import dedup_vectors
 from ludograph.llm.words import gram_hashes, word_hashes
@@ -375,3 +376,19 @@ def test_strays_meet_all_members_once(spark, n, far):
     assert {(min(p), max(p)) for p in met if p[0] != p[1]} == {(i, j) for i in range(far) for j in range(i + 1, n)}
     fars, rests = -(-far // CHUNK), -(-(n - far) // CHUNK)
     assert len(rows) == far * (fars + rests) + (n - far) * fars
+
+
+def test_bags_do_not_travel_to_the_driver(spark, monkeypatch):
+    """Whatever the length of the texts, training fetches short rows; the bags it reads are those of the texts."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in [0, 1, 4, *[20_000] * 40]]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, toxic int")
+    fetched, to_arrow = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: fetched.append(to_arrow(self)) or fetched[-1])
+    fit_toxicity(df, labels)
+    assert fetched and sum(t.nbytes for t in fetched) < 20_000
+    rows = training_rows(df, labels, "toxic", 100, 0.5)
+    got = sorted((used.tolist(), share.tolist()) for used, share in toxicity.read_bags(to_arrow(toxicity.write_bags(rows))))
+    want = (toxicity.features(r.text) for r in rows.collect())
+    assert got == sorted((used.tolist(), share.astype(np.float16).tolist()) for used, share in want)
