@@ -5,7 +5,8 @@ and position. A recursive query joins neighbours to the merge table and contract
 rank, until no pair is left. A row carries its neighbours' ids and ranks, so one step needs no sorting. Words met
 lately are remembered (a bounded number), each document then strings its words' ids together.
 
-Decoding: rows of (document, position, id) join the vocabulary; an ordered aggregation puts the bytes together.
+Decoding: the ids of a batch, in the order of documents and positions, look up their tokens' bytes in an Arrow array, which
+lays them one after another; documents are cut from it.
 
 The merge table holds each pair of tokens whose joined bytes are a token, with that token's rank: the least rank
 merges first, as in the rank file's own library. The vocabulary is broadcast (its size is checked). A word of n bytes
@@ -36,22 +37,12 @@ CACHED_BYTES = 48 << 20  # of each of two generations of words and of pieces, in
 LONG_WORD = 400
 CHUNK_BYTES = 400_000  # of distinct words in one recursive query
 MAX_VOCABULARY = 32 << 20
-
-START = """
-create or replace temp table start as
-with tokens as (
-  select w, p, t, lead(t) over (partition by w order by p) as nt, lag(t) over (partition by w order by p) as pt from given
-), ranked as (
-  select tokens.*, m.k from tokens left join merges m on m.pair = (t::bigint << 32) | nt
-)
-select w, p, t, (p + 1)::int as n, nt, k, pt, lag(k) over (partition by w order by p) as pk,
-       (count(k) over (partition by w))::int as c
-from ranked
-"""
+WIDE_RANK = (1 << 22) - 1  # vocabularies with such ranks take the query of long words for all words
 
 # w word, p position, t token; n, nt: position and token of the next row; pt: token of the row before;
 # k, pk: ranks of the pairs with either; c: pairs of the word that can merge. A step takes the least (k, p) of each word:
-# row p gets token k, row n goes, and the rows beside them learn of it. A word is done when c is 0.
+# row p gets token k, row n goes, and the rows beside them learn of it. A word is done when c is 0. What a step must know of a
+# pair is one number, so that the least of them is found fast: 22 bits of k, 9 of p, 9 of n, 22 of pt, 1 if pk is not null.
 ENCODE = """
 with recursive s as (
   select w, p, t, n, nt, k, pt, pk, c from start
@@ -63,15 +54,22 @@ with recursive s as (
     case when s.p = h.p then h.right_k when s.n = h.p then h.left_k else s.k end as k,
     case when s.p = h.n2 then h.k else s.pt end as pt,
     case when s.p = h.p then h.left_k when s.p = h.n2 then h.right_k else s.pk end as pk,
-    (s.c - 1 - (h.pk is not null)::int - (h.k2 is not null)::int
+    (s.c - 1 - h.pk - (h.k2 is not null)::int
        + (h.left_k is not null)::int + (h.right_k is not null)::int)::int as c
   from s join (
-    select b.w, b.a.p as p, b.a.n as n, b.a.k as k, b.a.pk as pk, d.n as n2, d.nt as t2, d.k as k2,
-           mr.k as right_k, ml.k as left_k
-    from (select w, min({'k': k, 'p': p, 'n': n, 'pt': pt, 'pk': pk}) as a from s where k is not null group by w) b
-    join s d on d.w = b.w and d.p = b.a.n
-    left join merges mr on mr.pair = (b.a.k::bigint << 32) | d.nt
-    left join merges ml on ml.pair = (b.a.pt::bigint << 32) | b.a.k
+    select b.w, b.p, b.n, b.k, b.pk, d.n as n2, d.nt as t2, d.k as k2, mr.k as right_k, ml.k as left_k
+    from (
+      select w, (a >> 41)::int as k, ((a >> 32) & 511)::int as p, ((a >> 23) & 511)::int as n,
+             nullif(((a >> 1) & 4194303)::int, 4194303) as pt, (a & 1)::int as pk
+      from (
+        select w, min((k::bigint << 41) | (p::bigint << 32) | (n::bigint << 23) | (coalesce(pt, 4194303)::bigint << 1)
+                      | (pk is not null)::bigint) as a
+        from s where k is not null group by w
+      )
+    ) b
+    join s d on d.w = b.w and d.p = b.n
+    left join merges mr on mr.pair = (b.k::bigint << 32) | d.nt
+    left join merges ml on ml.pair = (b.pt::bigint << 32) | b.k
   ) h on s.w = h.w
   where s.p <> h.n
 )
@@ -119,11 +117,6 @@ with recursive s as (
 select w, list(t order by p) as ids from s where c = 0 group by w
 """
 
-DECODE = """
-select d, unhex(array_to_string(list(hex order by p), '')) as bytes, count(*) as n
-from given join vocabulary using (id) group by d
-"""
-
 _coders: dict[bytes, ByteBpe] = {}
 
 
@@ -157,8 +150,16 @@ class ByteBpe:
             left, right, rank = np.frombuffer(pairs, dtype=np.int64).reshape(-1, 3).T
             self._load(name, pa.table({"pair": left << 32 | right, "k": rank.astype(np.int32)}))
             self.bytes = np.array([tokens[bytes([b])] for b in range(256)], dtype=np.int32)
+            self.pairs = np.full(1 << 16, -1, dtype=np.int32)  # ranks of two bytes, -1: none
+            for t, rank in tokens.items():
+                if len(t) == 2:
+                    self.pairs[t[0] << 8 | t[1]] = rank
+            self.wide = max(tokens.values()) >= WIDE_RANK
         else:
-            self._load(name, pa.table({"id": pa.array(tokens.values(), pa.int32()), "hex": [t.hex() for t in tokens]}))
+            by_id = sorted((rank, t) for t, rank in tokens.items())
+            self.ids = np.array([rank for rank, _ in by_id])
+            self.gaps = bool((self.ids != np.arange(len(by_id))).any())
+            self.tokens = pa.array([t for _, t in by_id], pa.large_binary())
         self.held.add(name)
         give_back()
 
@@ -181,14 +182,18 @@ class ByteBpe:
 
     def _merge(self, raw: list[bytes], sizes: np.ndarray, long: bool = False) -> list[bytes]:
         self._need("merges")
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.db.register("given", pa.table({
-            "w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "p": place.astype(np.int32),
-            "t": self.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)],
-        }))
-        self.db.execute(LONG_START if long else START)
-        found = self.db.sql(LONG_ENCODE if long else ENCODE).to_arrow_table()
-        self.db.unregister("given")
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        owner = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        place = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        if long or self.wide:
+            self.db.register("given", pa.table({"w": owner, "p": place, "t": self.bytes[data]}))
+            self.db.execute(LONG_START)
+            found = self.db.sql(LONG_ENCODE).to_arrow_table()
+            self.db.unregister("given")
+        else:
+            self.db.register("start", self._start(data, owner, place, sizes))
+            found = self.db.sql(ENCODE).to_arrow_table()
+            self.db.unregister("start")
         ids = found["ids"].combine_chunks()
         flat = ids.flatten().to_numpy().tobytes()
         ends = 4 * np.cumsum(ids.value_lengths().to_numpy())
@@ -197,6 +202,23 @@ class ByteBpe:
             out[w] = flat[a:b]
         return out
 
+    def _start(self, data: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        """The rows of words before any step: one a byte."""
+        token = self.bytes[data]
+        first, last = place == 0, np.zeros(len(data), bool)
+        last[np.cumsum(sizes)[sizes > 0] - 1] = True
+        rank = np.where(last, -1, self.pairs[data.astype(np.int32) << 8 | np.roll(data, -1)]).astype(np.int32)
+        pairs = np.bincount(owner[rank >= 0], minlength=len(sizes)).astype(np.int32)
+
+        def shifted(values: np.ndarray, by: int, none: np.ndarray) -> pa.Array:
+            return pa.array(np.roll(values, by), mask=none)
+
+        return pa.table({
+            "w": owner, "p": place, "t": token, "n": place + np.int32(1), "nt": shifted(token, -1, last),
+            "k": pa.array(rank, mask=rank < 0), "pt": shifted(token, 1, first),
+            "pk": shifted(rank, 1, first | (np.roll(rank, 1) < 0)), "c": pairs[owner],
+        })
+
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.cut.findall(p) for p in pieces]
         known = self.words.table(set().union(*cut))
@@ -212,24 +234,21 @@ class ByteBpe:
                 parts.append(self.cut.findall(text))
             else:
                 parts.append([first, *[" " + p for p in rest]] if first else [" " + p for p in rest])
-        known = self.pieces.table(set().union(*parts))
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype=np.int32) for p in parts]
+        known = self.pieces.lookup(parts)
+        return [np.frombuffer(b"".join(map(known, p)), dtype=np.int32) for p in parts]
 
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Bytes of id lists that lie one after another."""
         self._need("vocabulary")
-        self.db.register("given", pa.table({
-            "d": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "p": np.arange(len(flat)),
-            "id": flat.astype(np.int32, copy=False),
-        }))
-        found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("given")
-        out = [b""] * len(sizes)
-        for d, data in zip(found["d"].to_pylist(), found["bytes"].to_pylist()):
-            out[d] = data
-        if sum(found["n"].to_pylist()) != len(flat):
+        rows = np.searchsorted(self.ids, flat) if self.gaps else flat
+        if len(flat) and not (0 <= rows.min() and rows.max() < len(self.ids) and (not self.gaps or (self.ids[rows] == flat).all())):
             raise ValueError("an id is not in the vocabulary")
-        return out
+        found = self.tokens.take(pa.array(rows))
+        _, offsets, data = found.buffers()
+        if not data:
+            return [b""] * len(sizes)
+        ends = np.frombuffer(offsets, np.int64)[np.append(0, np.cumsum(sizes))].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(ends[:-1], ends[1:])]
 
 
 def coder(ranks: bytes, pattern: str) -> ByteBpe:

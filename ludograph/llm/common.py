@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +181,12 @@ class Recent:
             self.young.update(found)
             self.held += more
         return self.young
+
+    def lookup(self, lists: list[list]) -> Callable:
+        """A function that gives the value of every key of the lists. Most keys are held, so only others are collected."""
+        held, new = self.young, set()
+        for keys in lists:
+            new.update(filterfalse(held.__contains__, keys))
+        if self.table(new) is not held:  # a generation ended, and keys that were held may be in the older one
+            self.table(set().union(*lists))
+        return self.young.__getitem__

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from compare import compare, connect
 from ludograph.llm import queries
 from ludograph.llm.byte_bpe import ByteBpe, decode_ids, encode_and_decode, encode_texts
+from ludograph.llm.common import Recent
 from ludograph.llm.elias_fano import EliasFano
 from ludograph.llm.token_files import TokenFile, read_token_files, write_token_files
 from ludograph.llm.url_filter import judge_urls
@@ -274,3 +275,52 @@ def test_warc_query(spark):
         other = first[r.html or ""]
         want = (r.page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if other == r.page_id else "revisit", None if other == r.page_id else other)
         assert tuple(got[r.page_id]) == want
+
+
+class Recorder:
+    """A database connection that notes the statements it gets."""
+
+    def __init__(self, db, seen):
+        self.db, self.seen = db, seen
+
+    def __getattr__(self, name):
+        call = getattr(self.db, name)
+        return (lambda sql: self.seen.append(sql) or call(sql)) if name in ("sql", "execute") else call
+
+
+def test_short_words_take_one_statement():
+    """Words are merged by one query on rows that hold all it needs, without windows; decoding needs no query."""
+    tool, seen = ByteBpe(queries.content(queries.RANKS), P.PATTERN), []
+    tool._need("merges")
+    tool.db = Recorder(tool.db, seen)
+    texts = [t or "" for t in bpe_texts() if len(t or "") < 130]
+    ids = tool.encode(texts)
+    assert seen and len(set(seen)) == 1 and " over " not in seen[0]
+    seen.clear()
+    assert tool.decode(np.concatenate(ids), np.array([len(i) for i in ids])) == [t.encode() for t in texts] and not seen
+
+
+def test_vocabulary_of_wide_ranks_with_gaps():
+    """Ranks that do not fit a step's packed number, and that are no numbers in a row, give the same tokens."""
+    lines = [line.split() for line in queries.content(queries.RANKS).splitlines()]
+    wide = ByteBpe(b"\n".join(a + b" %d" % (5_000_000 + 3 * int(b)) for a, b in lines), P.PATTERN)
+    tool = ByteBpe(queries.content(queries.RANKS), P.PATTERN)
+    texts = [t or "" for t in bpe_texts()[:60]]
+    ids, other = tool.encode(texts), wide.encode(texts)
+    assert all((5_000_000 + 3 * a == b).all() and len(a) == len(b) for a, b in zip(ids, other))
+    assert wide.decode(np.concatenate(other), np.array([len(i) for i in other])) == [t.encode() for t in texts]
+    for bad in (5_000_001, 4, 1 << 30):
+        with pytest.raises(ValueError, match="not in the vocabulary"):
+            wide.decode(np.array([5_000_000, bad], np.int32), np.array([2]))
+    with pytest.raises(ValueError, match="not in the vocabulary"):
+        tool.decode(np.array([-1], np.int32), np.array([1]))
+
+
+def test_lookup_over_generations():
+    """Keys of the lists are found whatever was forgotten meanwhile; only keys that are not held are worked out."""
+    made = []
+    recent = Recent(lambda keys: made.extend(keys) or [k * 2 for k in keys], 6)
+    for lists in ([["a", "b"], ["b", "c", "a"]], [["a", "d"]], [["a", "b", "e", "f"], ["g", "c"], []], [["h", "a", "i", "j", "k", "l", "m", "n"]]):
+        get = recent.lookup(lists)
+        assert [[get(k) for k in keys] for keys in lists] == [[k * 2 for k in keys] for keys in lists]
+    assert sorted(made) == sorted(set(made)) == list("abcdefghijklmn")
