@@ -88,17 +88,20 @@ class TextEncoder:
         return out
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        fit = [self.shape.fullmatch(p) if "<|" not in p else None for p in pieces]
-        known = self.words.table({m[1] for m in fit if m} | {m[2] for m in fit if m and m[2]})
-        whole = iter(self._each([p for p, m in zip(pieces, fit) if not m]))
-        return [known[m[1]] + (known[m[2]] if m[2] else b"") if m else next(whole) for p, m in zip(pieces, fit)]
+        plain, rest = [p for p in pieces if p.isalpha()], [p for p in pieces if not p.isalpha()]
+        fit = {p: m for p in rest if "<|" not in p and (m := self.shape.fullmatch(p))}
+        known = self.words.table({*plain, *(m[1] for m in fit.values()), *(m[2] for m in fit.values() if m[2])})
+        out = {p: known[m[1]] + (known[m[2]] if m[2] else b"") for p, m in fit.items()}
+        whole = [p for p in rest if p not in fit]
+        out.update(zip(whole, self._each(whole)))
+        return [known[p] if p not in out else out[p] for p in pieces]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.proven:
             return self._each([t or "" for t in texts])
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.pieces.table(set().union(*parts))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        known = self.pieces.lookup(parts)
+        return [b"".join(map(known, p)) for p in parts]
 
 
 def encoder(model: str) -> TextEncoder:

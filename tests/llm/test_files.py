@@ -16,7 +16,7 @@ from ludograph.llm import queries
 from ludograph.llm.byte_bpe import ByteBpe, decode_ids, encode_and_decode, encode_texts
 from ludograph.llm.common import Recent
 from ludograph.llm.elias_fano import EliasFano
-from ludograph.llm.token_files import TokenFile, read_token_files, write_token_files
+from ludograph.llm.token_files import TextEncoder, TokenFile, read_token_files, write_token_files
 from ludograph.llm.url_filter import judge_urls
 from ludograph.llm.warc import candidates, make_record, manifest_of, read_warc, write_warc
 
@@ -324,3 +324,22 @@ def test_lookup_over_generations():
         get = recent.lookup(lists)
         assert [[get(k) for k in keys] for keys in lists] == [[k * 2 for k in keys] for keys in lists]
     assert sorted(made) == sorted(set(made)) == list("abcdefghijklmn")
+
+
+def test_pieces_of_letters_skip_the_pattern(monkeypatch):
+    """Pieces of letters only are words themselves; the others meet the pattern; ids are those of the library."""
+    from tokenizers import Tokenizer
+
+    model = queries.content(queries.WORD_BPE).decode()
+    tool, library = TextEncoder(model), Tokenizer.from_str(model)
+    met = []
+    shape = tool.shape
+
+    class Shape:
+        fullmatch = staticmethod(lambda p: met.append(p) or shape.fullmatch(p))
+
+    tool.shape = Shape
+    texts = ["Kim went, home (now)", "ünïcode straße, ΣΑΣ x", "<|endoftext|> a<|b", "don't 12 a1 ２ ①", "éa", ""]
+    assert [np.frombuffer(b, tool.kind).tolist() for b in tool.encode(texts)] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(p.isalpha() for p in met)
