@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludograph.llm.byte_bpe import encode_and_decode
-from ludograph.llm.common import read_table, spare, staged
+from ludograph.llm.common import among, read_table, spare, staged
 from ludograph.llm.decontaminate import without_leaks
 from ludograph.llm.quality import fit_quality, quality_score
 from ludograph.llm.queries import RANKS, content
@@ -40,13 +40,13 @@ def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     own = [f"`{c}`" for c in docs.columns]
     tx = spare("tx", *docs.columns)
     copies = staged(groups.where(~F.col("kept")).select("doc_id", F.col("tx").alias(tx)).distinct())
-    rest = docs.withColumn(tx, F.xxhash64("text")).join(copies, ["doc_id", tx], "left_anti").select(own)
+    rest = among(docs.withColumn(tx, F.xxhash64("text")), copies, ["doc_id", tx])[1].select(own)
     again = docs.where("doc_id is not null and text is not null").groupBy("doc_id", F.xxhash64("text").alias("tx"))
     again = staged(again.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct())
     if again.isEmpty():
         return rest
-    once = rest.join(again, "doc_id", "left_semi").select(own).dropDuplicates(["doc_id", "text"])
-    return rest.join(again, "doc_id", "left_anti").select(own).unionByName(once)
+    some, others = among(rest, again, ["doc_id"])
+    return others.unionByName(some.dropDuplicates(["doc_id", "text"]))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

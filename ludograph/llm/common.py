@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from itertools import filterfalse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from ludograph.session import shared_folder, ship, staged
 
-__all__ = ["Recent", "dealt", "spare", "exclusive_sums", "fold", "give_back", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged", "without_collection"]
+__all__ = ["Recent", "among", "dealt", "spare", "exclusive_sums", "fold", "give_back", "groups", "local_roots", "new_folder", "open_file", "prepare", "read_table", "slices", "staged", "without_collection"]
 
 SLICE_BYTES = 2 << 20
 TASK_BYTES = 32 << 20
+TABLE_BITS, KEY_BITS, MARKS = 1 << 26, 16, 3  # of a table of marks: bits at most, bits for a key at least, marks of a key
 _C = ctypes.CDLL(None)
 
 
@@ -70,6 +72,35 @@ def dealt(rows: DataFrame, size: Column, *keys: str, task_bytes: int = TASK_BYTE
     return rows.repartition(max(1, min(count, max(2 * cores, -(-int(total) // task_bytes)))), *keys)
 
 
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is in ``keys``, and all others, where ``keys`` are few among the rows and the rows are wide: the
+    semi join and the anti join, but only rows that a table of marks cannot rule out are shuffled. The marks are hashed bits
+    of the keys, some 0.5 % of other keys fit them by chance, and the join decides. The table is broadcast; it has at most
+    ``TABLE_BITS`` bits, so beyond some 4 million keys more rows fit, and are shuffled. ``keys`` are read twice."""
+    bits = min(TABLE_BITS, 1 << max(10, (KEY_BITS * keys.count() - 1).bit_length()))
+
+    h = F.xxhash64(*(F.col(c).cast(keys.schema[c].dataType) for c in on))
+    low, step = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    bit = keys.select(F.explode(F.array(*((low + step * i).bitwiseAND(F.lit(bits - 1)) for i in range(MARKS)))).alias("bit"))
+    words = bit.groupBy(F.expr("cast(bit div 32 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("word")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[words["at"].to_numpy()] = words["word"].to_numpy().astype(np.uint32)
+    shared = prepare(rows.sparkSession).sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def fits(hashes: pd.Series) -> pd.Series:
+        x = hashes.to_numpy().view(np.uint64)
+        low, step, out = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1), np.ones(len(x), bool)
+        for i in range(MARKS):
+            bit = low + step * np.uint64(i) & np.uint64(bits - 1)
+            out &= (shared.value[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+        return pd.Series(out)
+
+    own = [f"`{c}`" for c in rows.columns]
+    some, others = rows.where(fits(h)), rows.where(~fits(h))
+    return some.join(keys, on, "left_semi").select(own), others.union(some.join(keys, on, "left_anti").select(own))
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers are used again, and what they keep adds up over a job's stages."""
     pa.default_memory_pool().release_unused()

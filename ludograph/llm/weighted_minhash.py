@@ -12,7 +12,8 @@ nor pairs within one known component, since they change no result. Every other c
 Jaccard similarity of the whole texts. Links make components. A pair at the threshold is found with probability 0.995, above it
 more; nothing is capped.
 
-Texts are read twice (frequencies, samples); only the texts of documents that share a bucket are shuffled on.
+Texts are read for the frequencies, for the samples, and for the texts of documents that share a bucket; only these are
+shuffled on (see ``common.among``).
 
 Null texts and rows without an id link with nothing. Texts without any word link with equal texts only. Repeated
 rows are copies. Rows that share an id but not the text are nodes of their own. An empty table gives no rows.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludograph.llm.common import groups, local_roots, prepare, slices, staged
+from ludograph.llm.common import among, groups, local_roots, prepare, slices, staged
 from ludograph.llm.components import components
 from ludograph.llm.words import gram_hashes, mix, word_hashes
 
@@ -215,8 +216,11 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     leads = members.groupBy("band", "bucket").agg(F.min("m").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     grouped = staged(members.join(leads, ["band", "bucket"]))
     in_buckets = grouped.select(F.col("m.id").alias("id"), F.col("m.tx").alias("tx")).distinct()
+    if nodes is not None:
+        in_buckets = in_buckets.withColumnRenamed("id", "node").join(nodes, ["node", "tx"]).select("id", "tx")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tx"), F.col(text).alias("text"))
-    texts = staged(as_nodes(texts.where("id is not null and text is not null")).join(in_buckets, ["id", "tx"], "left_semi").dropDuplicates(["id", "tx"]))
+    texts, _ = among(texts.where("id is not null and text is not null"), staged(in_buckets), ["id", "tx"])
+    texts = staged(as_nodes(texts.dropDuplicates(["id", "tx"])))
 
     star = grouped.where("m.id != lead.id or m.tx != lead.tx").withColumn("near", _may_be_near("m", "lead", threshold))
     pairs = star.where("near").select(F.struct("lead.id", "lead.tx").alias("a"), F.struct("m.id", "m.tx").alias("b")).distinct()

@@ -3,6 +3,7 @@
 import collections
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ludograph.llm import decontaminate, queries
 from ludograph.llm import weighted_minhash as M
-from ludograph.llm.common import dealt
+from ludograph.llm.common import among, dealt, staged
 from ludograph.llm.decontaminate import align, find_leaks, without_leaks
 from ludograph.llm.labelled import training_rows
 from ludograph.llm.quality import fit_quality, score_quality
@@ -342,6 +343,46 @@ def test_near_distinct_of_repeated_ids(spark):
     assert M.dedup_texts(df).columns == ["doc_id", "class_id", "component_id", "kept"]
 
 
+def shuffled(spark):
+    """The shuffle files that there are, and their bytes."""
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return {f: f.stat().st_size for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+
+def test_near_distinct_shuffles_only_texts_of_buckets(spark):
+    """With copies among many documents, texts that share no bucket are in no shuffle, also where nothing is broadcast."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("0123456789abcdef", k=4000)) + f" {i} one two three four five" for i in range(600)]
+    rows = list(enumerate([*texts, *texts[:6]])) + [(2, texts[2])]
+    df = staged(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    before = shuffled(spark)
+    kept = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    try:
+        for name in kept:
+            spark.conf.set(name, "-1")
+        got = corpus_pipeline.near_distinct(spark, df, D).collect()
+    finally:
+        for name in kept:
+            spark.conf.unset(name)
+    assert sorted((r.doc_id, r.text) for r in got) == list(enumerate(texts))
+    assert sum(n for f, n in shuffled(spark).items() if f not in before) < sum(map(len, texts)) / 4
+
+
+def test_among_is_both_joins(spark, monkeypatch):
+    """Rows whose key is listed, and all others, whatever a full table of marks rules out."""
+    rows = spark.createDataFrame([(None if i % 50 == 0 else i, i % 7, f"t{i}") for i in range(500)], "`id` long, k int, `a.b` string")
+    keys = staged(spark.createDataFrame([(i, i % 7) for i in range(1, 500, 9)] + [(None, 0), (3, 4)], "id long, k long"))
+    want = {f"t{i}" for i in range(1, 500, 9) if i % 50}
+    for bits in (32, 1 << 26):
+        monkeypatch.setattr("ludograph.llm.common.TABLE_BITS", bits)
+        found, others = among(rows, keys, ["id", "k"])
+        assert found.columns == others.columns == rows.columns
+        assert {r["a.b"] for r in found.collect()} == want
+        assert sorted(r["a.b"] for r in others.collect()) == sorted({f"t{i}" for i in range(500)} - want)
+        found, others = among(rows, staged(keys.limit(0)), ["id", "k"])
+        assert found.count() == 0 and others.count() == 500
+
+
 def test_groups_of_items_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 400)
     rows = [(i, f"item number {i} " * 8) for i in range(40)] + [(7, "item number 7 " * 8)] * 30
