@@ -1,9 +1,10 @@
 """Byte-level BPE with DuckDB recursive queries in each partition.
 
-Encoding: texts are cut into words by the vocabulary's pattern. The distinct words of a batch become rows of token
-and position. A recursive query joins neighbours to the merge table and contracts each word's leftmost pair of least
-rank, until no pair is left. A row carries its neighbours' ids and ranks, so one step needs no sorting. Words met
-lately are remembered (a bounded number), each document then strings its words' ids together.
+Encoding: texts are cut at blanks in Arrow, and the distinct pieces of a batch by the vocabulary's pattern into words. The
+distinct words become rows of token and position. A recursive query joins neighbours to the merge table and contracts each
+word's leftmost pair of least rank, until no pair is left. A row carries its neighbours' ids and ranks, so one step needs no
+sorting. Words met lately are remembered (a bounded number). Pieces string their words' ids together, and texts those of their
+pieces, as Arrow lists.
 
 Decoding: the ids of a batch, in the order of documents and positions, look up their tokens' bytes in an Arrow array, which
 lays them one after another; documents are cut from it.
@@ -27,22 +28,25 @@ from array import array
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ludograph.llm.common import Recent, give_back, prepare, slices, without_collection
 
-CACHED_BYTES = 48 << 20  # of each of two generations of words and of pieces, in a worker
+CACHED_BYTES = 64 << 20  # of each of two generations of words, in a worker
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20  # of texts that are cut into distinct pieces together
 LONG_WORD = 400
-CHUNK_BYTES = 400_000  # of distinct words in one recursive query
+CHUNK_BYTES = 200_000  # of distinct words in one recursive query
 MAX_VOCABULARY = 32 << 20
 WIDE_RANK = (1 << 22) - 1  # vocabularies with such ranks take the query of long words for all words
 
 # w word, p position, t token; n, nt: position and token of the next row; pt: token of the row before;
-# k, pk: ranks of the pairs with either; c: pairs of the word that can merge. A step takes the least (k, p) of each word:
-# row p gets token k, row n goes, and the rows beside them learn of it. A word is done when c is 0. What a step must know of a
-# pair is one number, so that the least of them is found fast: 22 bits of k, 9 of p, 9 of n, 22 of pt, 1 if pk is not null.
+# k: rank of the pair with the next row; pk: the pair with the row before can merge; c: pairs of the word that can merge.
+# A step takes the least (k, p) of each word: row p gets token k, row n goes, and the rows beside them learn of it. A word is
+# done when c is 0. What a step must know of a pair is one number, so that the least of them is found fast: 22 bits of k,
+# 9 of p, 9 of n, 22 of pt, 1 of pk.
 ENCODE = """
 with recursive s as (
   select w, p, t, n, nt, k, pt, pk, c from start
@@ -53,7 +57,7 @@ with recursive s as (
     case when s.p = h.p then h.t2 when s.n = h.p then h.k else s.nt end as nt,
     case when s.p = h.p then h.right_k when s.n = h.p then h.left_k else s.k end as k,
     case when s.p = h.n2 then h.k else s.pt end as pt,
-    case when s.p = h.p then h.left_k when s.p = h.n2 then h.right_k else s.pk end as pk,
+    case when s.p = h.p then h.left_k is not null when s.p = h.n2 then h.right_k is not null else s.pk end as pk,
     (s.c - 1 - h.pk - (h.k2 is not null)::int
        + (h.left_k is not null)::int + (h.right_k is not null)::int)::int as c
   from s join (
@@ -63,7 +67,7 @@ with recursive s as (
              nullif(((a >> 1) & 4194303)::int, 4194303) as pt, (a & 1)::int as pk
       from (
         select w, min((k::bigint << 41) | (p::bigint << 32) | (n::bigint << 23) | (coalesce(pt, 4194303)::bigint << 1)
-                      | (pk is not null)::bigint) as a
+                      | pk::bigint) as a
         from s where k is not null group by w
       )
     ) b
@@ -132,9 +136,8 @@ class ByteBpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.held: set[str] = set()
         self.cut = regex.compile(pattern)
-        self.late = regex.compile(r" \s")
+        self.space = regex.compile(r"\s")
         self.words = Recent(self._encode_words, CACHED_BYTES, _bytes_of)
-        self.pieces = Recent(self._encode_pieces, CACHED_BYTES, _bytes_of)
 
     def _need(self, name: str) -> None:
         """Load the merge table or the vocabulary when it is first used: a worker mostly encodes or decodes only."""
@@ -216,26 +219,63 @@ class ByteBpe:
         return pa.table({
             "w": owner, "p": place, "t": token, "n": place + np.int32(1), "nt": shifted(token, -1, last),
             "k": pa.array(rank, mask=rank < 0), "pt": shifted(token, 1, first),
-            "pk": shifted(rank, 1, first | (np.roll(rank, 1) < 0)), "c": pairs[owner],
+            "pk": ~first & (np.roll(rank, 1) >= 0), "c": pairs[owner],
         })
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        cut = [self.cut.findall(p) for p in pieces]
-        known = self.words.table(set().union(*cut))
-        return [b"".join([known[w] for w in c]) for c in cut]
+    def _cut(self, pieces: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The words of pieces without a blank, each with a blank before it, one piece's after another's, and their numbers."""
+        if not len(pieces):
+            return [], np.zeros(0, np.int64)
+        joined = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), " ")[0].as_py()
+        words = self.cut.findall(joined)
+        begins = np.flatnonzero(np.array([w.startswith(" ") for w in words], bool))
+        if len(begins) == len(pieces):  # every blank begins a word, so no word lies in two pieces
+            return words, np.diff(begins, append=len(words))
+        cut = [self.cut.findall(" " + p) for p in joined[1:].split(" ")]
+        return [w for c in cut for w in c], np.array(list(map(len, cut)), dtype=np.int64)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one text's after another's, and their numbers. A blank before a visible character always begins
+        a word, so texts are cut there, which is cheap, and only distinct pieces meet the pattern. Texts with a blank
+        elsewhere meet it whole."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        parts = pc.split_pattern(texts, " ")
+        pieces, counts = parts.flatten().dictionary_encode(), parts.value_lengths().to_numpy()
+        names, at = pieces.dictionary, pieces.indices.to_numpy()
+        heads = np.cumsum(counts) - counts  # what is before a text's first blank
+        behind = np.ones(len(at), bool)
+        behind[heads] = False
+        first = pc.utf8_slice_codeunits(names, 0, 1)
+        late = [c for c in first.unique().to_pylist() if not c or self.space.match(c)]
+        odd = pc.is_in(first, pa.array(late, pa.string())).to_numpy(zero_copy_only=False)
+        whole = np.logical_or.reduceat(odd[at] & behind, heads)
+        behind &= ~np.repeat(whole, counts)
+
+        used = np.flatnonzero(np.bincount(at[behind], minlength=len(names)))
+        words, held = self._cut(names.take(pa.array(used)))
+        own = pc.if_else(pa.array(whole), texts, names.take(pa.array(at[heads]))).to_pylist()
+        own = [self.cut.findall(t) for t in own]
+        words += [w for c in own for w in c]
+        held = np.append(held, list(map(len, own)))
+        known = self.words.table(set(words))
+        coded = [known[w] for w in words]
+        ends = np.append(0, np.cumsum(list(map(len, coded)), dtype=np.int64) // 4)[np.append(0, np.cumsum(held))]
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
+
+        row = np.zeros(len(names), np.int64)
+        row[used] = np.arange(len(used))
+        row = row[at]
+        row[heads] = len(used) + np.arange(len(heads))
+        behind[heads] = True
+        sizes = np.add.reduceat(np.where(behind, np.diff(ends)[row], 0), heads)
+        return lists.take(pa.array(row[behind])).flatten().to_numpy(), sizes
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text. A blank before a visible character always begins a word, so texts are first cut there,
-        which is cheap, and only distinct pieces meet the pattern."""
-        parts = []
-        for text in texts:
-            first, *rest = (text or "").split(" ")
-            if rest and self.late.search(text):  # blanks in a row: the pattern cuts the whole text
-                parts.append(self.cut.findall(text))
-            else:
-                parts.append([first, *[" " + p for p in rest]] if first else [" " + p for p in rest])
-        known = self.pieces.lookup(parts)
-        return [np.frombuffer(b"".join(map(known, p)), dtype=np.int32) for p in parts]
+        """Ids of each text."""
+        flat, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return [flat[b - n : b] for b, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
 
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Bytes of id lists that lie one after another."""
@@ -278,7 +318,7 @@ def _extended(df: DataFrame, added: dict[str, T.DataType], column: str, make, dr
 
     def extend(batches):
         with without_collection():
-            for batch in slices(batches, 500):
+            for batch in slices(batches, BATCH_ROWS, BATCH_BYTES):
                 columns = [*[batch.column(i) for i in kept], *make(batch.column(at))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -286,9 +326,7 @@ def _extended(df: DataFrame, added: dict[str, T.DataType], column: str, make, dr
 
 
 def _encoded(tool: ByteBpe, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    lists = tool.encode(column.to_pylist())
-    sizes = np.array(list(map(len, lists)), dtype=np.int64)
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    flat, sizes = tool.encode_column(column)
     ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
     return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), flat, sizes
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -300,6 +301,39 @@ def test_short_words_take_one_statement():
     assert tool.decode(np.concatenate(ids), np.array([len(i) for i in ids])) == [t.encode() for t in texts] and not seen
 
 
+class Pattern:
+    """A compiled pattern that notes the texts it meets."""
+
+    def __init__(self, pattern, met):
+        self.pattern, self.met = pattern, met
+
+    def findall(self, text):
+        self.met.append(text)
+        return self.pattern.findall(text)
+
+
+def test_distinct_pieces_of_a_batch_meet_the_pattern_together():
+    """Pieces behind blanks are cut by one call for a batch, each once; ids are those of the library, for a part of an array too."""
+    import tiktoken
+
+    ranks, met = queries.content(queries.RANKS), []
+    tool = ByteBpe(ranks, P.PATTERN)
+    tool.cut = Pattern(tool.cut, met)
+    texts = ["Kim went, home (now)", "we went, home\n again\n", None, "went, went, went, a\x1cb", ""] * 40
+    tool.encode(texts)
+    together = [m for m in met if " " in m]
+    assert len(together) == 1 and sorted(together[0].split(" ")) == sorted(["", "went,", "home", "(now)", "home\n", "again\n", "a\x1cb"])
+    for pattern in (P.PATTERN, r"\s|\S+", "[a-z]+|[^a-z]"):  # the last cuts no word behind a blank with the blank
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        tool, texts = ByteBpe(ranks, pattern), bpe_texts()[:120] + ["a ", " a", "a  b c", " \n", "a \x1cb", "a\n b\n"]
+        flat, sizes = tool.encode_column(pa.array(["before", *texts, "behind"], pa.large_string()).slice(1, len(texts)))
+        ends = np.cumsum(sizes)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes)] == [library.encode_ordinary(t or "") for t in texts]
+        assert [i.tolist() for i in tool.encode(texts)] == [library.encode_ordinary(t or "") for t in texts]
+    assert [len(a) for a in tool.encode_column(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_vocabulary_of_wide_ranks_with_gaps():
     """Ranks that do not fit a step's packed number, and that are no numbers in a row, give the same tokens."""
     lines = [line.split() for line in queries.content(queries.RANKS).splitlines()]
