@@ -141,3 +141,13 @@ def test_wrap(spark):
 ])
 def test_dates(spark, text, want):
     assert one(spark, text, C.parse_partial_date) == want
+
+
+ANNOTATED = "1. c4!? $3 {wide} e5 (1... c5 $6 2. g3 {in) line} (2. b3?)) 2. Nc3 Nf6 {note\n[%clk 0:00:07] (of 4)} 3. g3 (3. e4 Bb4 (3... d6)) d5 4. cxd5 Nxd5 1-0"
+
+
+def test_paths_of_nested_variations(spark):
+    row = spark.createDataFrame([(ANNOTATED,)], "t string").select(T.tree("t").alias("nodes")).select(
+        F.transform("nodes", lambda n: F.array_join(T.tree_path("nodes", n["node"]), " ")).alias("p")).first()["p"]
+    assert row[:6] == ["c4", "c4 e5", "c4 c5", "c4 c5 g3", "c4 c5 b3", "c4 e5 Nc3"] and row[-1] == "c4 e5 Nc3 Nf6 g3 d5 cxd5 Nxd5"
+    assert "c4 e5 Nc3 Nf6 e4 d6" in row
