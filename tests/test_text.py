@@ -147,11 +147,12 @@ def test_dates(spark, text, want):
 
 ANNOTATED = "1. c4!? $3 {wide} e5 (1... c5 $6 2. g3 {in) line} (2. b3?)) 2. Nc3 Nf6 {note\n[%clk 0:00:07] (of 4)} 3. g3 (3. e4 Bb4 (3... d6)) d5 4. cxd5 Nxd5 1-0"
 MAKERS = {
+    "txt_12_tree": lambda c: T.tree(c),
     "txt_10_variations": lambda c: T._per_record(c, T._LINES, T._lines_of),
 }
 
 
-@pytest.mark.parametrize("name", ["txt_10_variations"])
+@pytest.mark.parametrize("name", ["txt_12_tree", "txt_10_variations"])
 def test_trees_cost_less_than_counting_nodes(spark, name):
     """Units are found in one pass and distinct ones read once, so whole trees cost less than the count by columns, which
     finds its tokens in seven passes."""
