@@ -175,3 +175,23 @@ def test_paths_of_nested_variations(spark):
         F.transform("nodes", lambda n: F.array_join(T.tree_path("nodes", n["node"]), " ")).alias("p")).first()["p"]
     assert row[:6] == ["c4", "c4 e5", "c4 c5", "c4 c5 g3", "c4 c5 b3", "c4 e5 Nc3"] and row[-1] == "c4 e5 Nc3 Nf6 g3 d5 cxd5 Nxd5"
     assert "c4 e5 Nc3 Nf6 e4 d6" in row
+
+
+def test_splitting_walks_pieces_not_words(spark):
+    """Words between results are one piece, so long games are split for a small multiple of what their words cost."""
+    line = "1. c4 e5 2. Nc3 Nf6 {1-0 came} 3. g3 d5 $4 4. cxd5 Nxd5 " * 20
+    texts = spark.range(0, 2_000, 1, 4).select(F.concat(F.lit(f"{line} 1-0 {{then}} {line} (0-1) 1/2 ; 1-0\n{line} *"), F.col("id").cast("string")).alias("t"))
+    texts = texts.localCheckpoint()
+
+    def seconds(make) -> float:
+        took = []
+        for _ in range(4):
+            begin = time.perf_counter()
+            texts.select(make("t").alias("r")).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - begin)
+        return min(took)
+
+    counts = texts.select(F.transform(X.split_by_result("t"), lambda g: F.size(X.mainline_tokens(g))).alias("n"), X.split_by_result("t").alias("g")).distinct()
+    row = counts.orderBy("g").first()
+    assert row["n"] == [160, 160, 160] and row["g"][1].endswith("(0-1) 1/2 ; 1-0")
+    assert seconds(X.split_by_result) < 2.5 * seconds(X.mainline_tokens)
