@@ -1,11 +1,14 @@
 """Replaying moves: what counts as the one legal move a token names."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ludograph.functions import columns as C
-from ludograph.functions.hashing import position_hash, to_hex
+from ludograph.functions.columns import spread_board
+from ludograph.functions.hashing import position_hash, rule_keys, to_hex
 from ludograph.operators import board as B
 from ludograph.operators.replay import line_state, plies, replay_games, text_state
 
@@ -143,3 +146,30 @@ def test_move_keys(spark):
     assert all(r["u"] == r["b"] for r in rows)
     assert rows[0]["m"] == 12 | 28 << 6 and rows[1]["m"] == 52 | 60 << 6 | 5 << 12
     assert df.select(F.max(C.uci_to_move(F.lit("e9e4")))).first()[0] is None
+
+
+def test_text_hash_costs_a_few_replaces(spark):
+    """The pieces of all texts of a batch are read at once, so a key costs a few times what spelling out its squares does."""
+    text = "rnb1kb1r/pp2pppp/2p2n2/q7/2BP4/2N2N2/PPP2PPP/R1BQK2R b KQkq - "
+    df = spark.range(0, 120_000, 1, 4).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("t")).localCheckpoint()
+
+    def seconds(make) -> float:
+        took = []
+        for _ in range(4):
+            begin = time.perf_counter()
+            df.select(make("t").alias("r")).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - begin)
+        return min(took)
+
+    assert seconds(position_hash) < 7 * seconds(spread_board)
+
+
+def test_text_hash_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "K"), (4, "8/8/8/8/8/8/8/8 w"), (5, "é7/8/8/8/8/8/8/7K9k - -")], "i int, t string")
+    got = {r["i"]: r["h"] for r in df.coalesce(1).select("i", position_hash("t").alias("h")).collect()}
+    keys = rule_keys()
+    at = lambda p, s: keys["pPnNbBrRqQkK".index(p) * 64 + (7 - s // 8) * 8 + s % 8]
+    rest = 0
+    for s in range(64):
+        rest ^= at("p", s)
+    assert got == {1: 0, 2: rest, 3: rest ^ at("p", 0) ^ at("K", 0), 4: keys[780], 5: at("K", 63)}
